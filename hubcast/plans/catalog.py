@@ -242,3 +242,9 @@ def q_trip_labels(spark, sf):
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}
+
+
+def all_queries() -> dict:
+    """Every registered query: SQL-checked operators, round trips, streams, invariants."""
+    from hubcast.plans import checks, roundtrips
+    return {**QUERIES, **roundtrips.QUERIES, **checks.QUERIES}

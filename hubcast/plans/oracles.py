@@ -280,3 +280,34 @@ ORACLES: dict[str, str] = {
                    "CAST(CASE WHEN tip_amt > 0 THEN 1 ELSE 0 END AS INTEGER) AS tipped, "
                    f"{R('greatest(tip_amt - 1.0E0, 0.0E0)')} AS tip_over_1 FROM cal",
 }
+
+
+ORACLES.update({
+    "csv_roundtrip": f"WITH {TRIPS} SELECT * FROM trips",
+    "csv_inferred": f"WITH {TRIPS} SELECT * FROM trips",
+    "csv_strings": f"WITH {TRIPS} SELECT * FROM trips",
+    "parquet_append": f"WITH {TRIPS} SELECT * FROM trips",
+    "json_roundtrip": f"WITH {TRIPS}, {CLEAN} SELECT * FROM clean",
+    "orc_roundtrip": f"WITH {TRIPS}, {CLEAN} SELECT * FROM clean",
+    "csv_combine": f"WITH {TRIPS} SELECT trip_id, vendor_name, fare_amt, CAST(NULL AS DOUBLE) AS tip_amt "
+                   "FROM trips WHERE vendor_name = 'VTS' UNION ALL SELECT trip_id, vendor_name, "
+                   "CAST(NULL AS DOUBLE) AS fare_amt, tip_amt FROM trips WHERE vendor_name = 'CMT'",
+    "checkpoint_roundtrip": f"WITH {TRIPS}, {CLEAN} SELECT trip_id, vendor_name, fare_amt FROM clean",
+    "persisted_distinct": f"WITH {TRIPS}, {CLEAN} SELECT DISTINCT vendor_name, passenger_count FROM clean",
+    "stream_project": f"WITH {TRIPS} SELECT trip_id, trip_pickup_datetime, fare_amt FROM trips",
+    "stream_hub_scores": f"{WITH_CAL} SELECT trip_id, cluster, pickup_wday, pickup_nday, pickup_hour, "
+                         "fare_amt, trip_distance FROM cal",
+    "stream_hub_hours": f"{WITH_HUB} SELECT cluster, date_trunc('hour', trip_pickup_datetime) AS window_start, "
+                        "count(*) AS rides FROM hub GROUP BY ALL",
+    "stream_model_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
+    "dev_sample_check": "SELECT TRUE AS within_cap, CAST(0 AS BIGINT) AS missing, TRUE AS cap_reached",
+    "random_split_check": "SELECT TRUE AS parts_sum_to_whole, CAST(0 AS BIGINT) AS overlap",
+    "kmeans_check": "SELECT CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok, CAST(5 AS BIGINT) AS k_found",
+    "linreg_check": "SELECT TRUE AS rides_residuals_ok, TRUE AS fpm_residuals_ok, TRUE AS stagewise_equal",
+    "glm_check": "SELECT TRUE AS wls_ok, TRUE AS gaussian_ok, TRUE AS poisson_ok, TRUE AS tweedie_ok, TRUE AS gamma_ok",
+    "tree_check": "SELECT TRUE AS gbt_ok, TRUE AS tree_ok",
+    "forest_check": "SELECT TRUE AS probs_sum_to_1, CAST(0 AS BIGINT) AS argmax_mismatch, TRUE AS importances_sum_to_1",
+    "model_reload_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
+    "scaler_check": "SELECT TRUE AS scaler_ok, TRUE AS binarizer_ok, TRUE AS normalizer_ok, TRUE AS indexer_ok",
+    "embedding_clusters_check": "SELECT TRUE AS sizes_ok, TRUE AS k_ok, TRUE AS cv_ok",
+})
