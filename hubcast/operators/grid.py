@@ -6,6 +6,7 @@ checked scalar subqueries.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +14,36 @@ MAX_LEVELS = 10_000
 
 
 def bounded_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
-    """Sorted distinct non-null values of ``col`` as an array (scalar subquery).
+    """Sorted distinct non-null values of ``col`` as an array (one scalar subquery).
 
     At most ``max_levels + 1`` values are ever gathered (distinct, then limit);
     the query fails with a clear error if the bound is exceeded, so the array
     is proven small before it is used.
     """
-    levels = (df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1)
-              .agg(F.array_sort(F.collect_list(col)).alias("levels"))).scalar()
-    return F.when(F.size(levels) <= max_levels, levels).otherwise(
+    gathered = F.array_sort(F.collect_list(col))
+    guarded = F.when(F.size(gathered) <= max_levels, gathered).otherwise(
         F.raise_error(F.lit(f"densify: more than {max_levels} levels in {col}")))
+    return (df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1)
+            .agg(guarded.alias("levels"))).scalar()
 
 
 def densify(df: DataFrame, keys: list[str], fill: dict | None = None,
-            max_levels: int = MAX_LEVELS) -> DataFrame:
+            max_levels: int = MAX_LEVELS, cache: bool = True) -> DataFrame:
     """J5 (``complete``): every combination of *observed* key values is present;
     ``fill`` gives values for the measure columns of added rows.
 
-    The first key's distinct values stay distributed; the other keys' levels
-    are bounded arrays exploded per row.  The observed rows are then joined
-    back on all keys (AQE picks broadcast or shuffle by measured size).
+    The input is normally an aggregate (one row per observed key combination).
+    It is read three times (distinct first key, level arrays, join back), so it
+    is cached once (``cache=True``) instead of being recomputed from the source
+    by each branch.  The first key's distinct values stay distributed; the
+    other keys' levels are bounded arrays exploded per row.
     """
     fill = dict(fill or {})
     unknown = [c for c in fill if c not in df.columns]
     if unknown:
         raise ValueError(f"densify: fill names unknown columns {unknown}")
+    if cache:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
     grid = df.select(keys[0]).distinct()
     for k in keys[1:]:
         grid = grid.withColumn(k, F.explode(bounded_levels(df, k, max_levels)))
@@ -86,9 +92,9 @@ def linspace_grid(df: DataFrame, x: str, y: str, n: int = 200) -> DataFrame:
     (distributed row generation, no join).
     """
     spark = df.sparkSession
-    b = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    x0, x1 = b.select("x0").scalar(), b.select("x1").scalar()
-    y0, y1 = b.select("y0").scalar(), b.select("y1").scalar()
+    b = df.agg(F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"),
+                        F.min(y).alias("y0"), F.max(y).alias("y1")).alias("b")).scalar()
+    x0, x1, y0, y1 = b["x0"], b["x1"], b["y0"], b["y1"]
     ids = spark.range(n * n)
     i = (F.col("id") / n).cast("long")
     j = F.col("id") % n

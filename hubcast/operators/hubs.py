@@ -38,12 +38,13 @@ def hub_centres(df: DataFrame, cluster: str = "cluster", lon: str = "start_lon",
     """A4 + W1 + W2 + W4: centre, size, letter (largest = A), colour and share per hub.
 
     The group-by has partial (map-side) aggregation, so a hub holding a third
-    of all rows costs no more than any other.  The rank/letter step runs on the
-    k-row aggregate only; the total is a scalar subquery, not a window.
+    of all rows costs no more than any other.  Rank, letter and share are
+    windows over the k-row aggregate (k = number of hubs), so the
+    single-partition window step handles k rows, never the trips.
     """
     agg = df.groupBy(cluster).agg(F.avg(lon).alias("center_lon"), F.avg(lat).alias("center_lat"),
                                   F.count(F.lit(1)).alias("size"))
-    total = agg.agg(F.sum("size")).scalar()
+    total = F.sum("size").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("size"), F.col(cluster)))
     palette = F.array(*[F.lit(c) for c in PASTEL1])
     return (agg.withColumn("_rank", rank)

@@ -57,8 +57,8 @@ def _edge(idx: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width histogram (count per bin, with the bin's left edge)."""
     src = df.where(F.col(col).isNotNull())
-    b = src.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
+    b = src.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, hi = b["lo"], b["hi"]
     idx = bin_index(F.col(col), lo, hi, bins)
     return (src.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
             .withColumn(col, _edge(F.col("bin"), lo, hi, bins)))
@@ -67,8 +67,9 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 def raster(df: DataFrame, x: str, y: str, resolution: int = 100) -> DataFrame:
     """2-D equal-width binning of two columns, count per cell."""
     src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    b = src.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
-    x0, x1, y0, y1 = (b.select(c).scalar() for c in ("x0", "x1", "y0", "y1"))
+    b = src.agg(F.struct(F.min(x).alias("x0"), F.max(x).alias("x1"),
+                         F.min(y).alias("y0"), F.max(y).alias("y1"))).scalar()
+    x0, x1, y0, y1 = b["x0"], b["x1"], b["y0"], b["y1"]
     out = src.groupBy(bin_index(F.col(x), x0, x1, resolution).alias("x_bin"),
                       bin_index(F.col(y), y0, y1, resolution).alias("y_bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
@@ -91,15 +92,15 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def standard_scale(df: DataFrame, columns: list[str], with_mean: bool = True,
                    with_std: bool = True, suffix: str = "_z") -> DataFrame:
     """M5 (SQL twin of ``StandardScaler``): ``(x - mean) / sd_samp``."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
-                   *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
+    stats = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in columns],
+                            *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])).scalar()
     out = {}
     for c in columns:
         z = F.col(c)
         if with_mean:
-            z = z - stats.select(f"m_{c}").scalar()
+            z = z - stats[f"m_{c}"]
         if with_std:
-            z = F.try_divide(z, stats.select(f"s_{c}").scalar())
+            z = F.try_divide(z, stats[f"s_{c}"])
         out[c + suffix] = z
     return df.withColumns(out)
 
