@@ -47,7 +47,8 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     folded into the last bin; a zero width (constant column) gives bin 0."""
     width = F.try_divide(hi - lo, F.lit(float(bins)))
     raw = F.floor(F.try_divide(x - lo, F.when(width != 0, width)))
-    return F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("int")
+    # ``least`` skips NULLs, so the zero-width case is mapped to 0 first.
+    return F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
 def _edge(idx: Column, lo: Column, hi: Column, bins: int) -> Column:

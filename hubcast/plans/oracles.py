@@ -89,7 +89,7 @@ RUNLOGS = """log_a AS (SELECT 'Model: Fit' AS action, value AS runtime, user_id
 
 def _bins(x: str, lo: str, hi: str, bins: int) -> str:
     w = f"(({hi}) - ({lo})) / {float(bins)!r}E0".replace("E0E0", "E0")
-    return f"CAST(coalesce(least(floor((({x}) - ({lo})) / nullif({w}, 0)), {bins - 1}), 0) AS INTEGER)"
+    return f"CAST(least(coalesce(floor((({x}) - ({lo})) / nullif({w}, 0)), 0), {bins - 1}) AS INTEGER)"
 
 
 def _edge(idx: str, lo: str, hi: str, bins: int) -> str:
