@@ -248,3 +248,79 @@ def all_queries() -> dict:
     """Every registered query: SQL-checked operators, round trips, streams, invariants."""
     from hubcast.plans import checks, roundtrips
     return {**QUERIES, **roundtrips.QUERIES, **checks.QUERIES}
+
+
+# ------------------------------------------------------------ further operators
+
+def q_table_counts(spark, sf):
+    """Row count of every driver table used by the library, one row each."""
+    names = ["lineitem", "orders", "customer", "part", "supplier", "nation", "region", "events", "embeddings"]
+    parts = [rollup.row_count(fx.table(spark, sf, n)).select(F.lit(n).alias("table_name"), "n") for n in names]
+    return runlog.stack_logs(parts)
+
+
+def q_hub_weekday_wide(spark, sf):
+    """Long → wide, rides per hub with one column per weekday."""
+    long = rollup.frequency(_cal(spark, sf), "cluster", "pickup_wday", sort=False, name="rides")
+    days = clean.WEEKDAYS_MON_FIRST
+    return rollup.long_to_wide(long, "cluster", "pickup_wday", "rides", days).fillna(0, subset=days)
+
+
+def q_hub_share_broadcast(spark, sf):
+    """Hub counts joined to hub centres, broadcast only after the centres'
+    row count is proven small."""
+    t = hubs.assign_hubs(_clean(spark, sf))
+    centres = hubs.hub_centres(t).select("cluster", "taxi_hub", "hub_pct")
+    counts = rollup.frequency(t, "cluster", "payment_type", sort=False)
+    return rounded(counts.join(joins.broadcast_if_small(centres, 1000), "cluster", "left"))
+
+
+def q_earliest_trip(spark, sf):
+    """First row by an explicit key (top-1, no full sort)."""
+    t = _clean(spark, sf).select("trip_pickup_datetime", "trip_id")
+    return t.orderBy("trip_pickup_datetime", "trip_id").limit(1)
+
+
+def q_runlog_stack(spark, sf):
+    """Bag union of step logs by column name (no de-duplication)."""
+    a = fx.runlog_a(spark, sf).withColumnRenamed("time", "runtime")
+    b = fx.runlog_b(spark, sf)
+    return runlog.stack_logs([a, b]).select(*LOG_COLUMNS)
+
+
+def q_tipped_north(spark, sf):
+    """P4 + P6 + P10: comparison filters on a result, range selection, bands."""
+    t = hubs.assign_hubs(_clean(spark, sf)).where((F.col("tip_amt") > 0) & (F.col("start_lat") < 40.8))
+    band = clean.case_when([(F.col("fare_amt") < 10, "low"), (F.col("fare_amt") < 30, "mid")], "high")
+    sel = clean.select_columns(t.withColumn("fare_band", band), ("start_lon", "start_lat"), "cluster",
+                               "fare_band", rename={"start_lon": "lon", "start_lat": "lat"})
+    out = sel.groupBy("cluster", "fare_band").agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("mean_lat"))
+    return rounded(out.where(F.col("n") > 0))
+
+
+def q_text_formats(spark, sf):
+    """F3 template, F4 first-match replace, F12 byte and number formats, F13 typed null,
+    P7 transmute, P9 same function over several columns."""
+    t = _clean(spark, sf)
+    out = clean.transmute(t, {
+        "trip_id": F.col("trip_id"),
+        "label": F.format_string("%s/%s", F.col("vendor_name"), F.date_format("trip_pickup_datetime", "yyyy-MM")),
+        "payment_first": F.regexp_replace(F.lower("payment_type"), "(?s)^(.*?)(?:a)", "$1A"),
+        "fare_gb": F.round(F.col("fare_amt") * F.lit(1e9) / F.lit(1024.0 ** 3), 2),
+        "fare_k": F.format_number(F.col("trip_id"), 0),
+        "no_value": F.lit(None).cast("double"),
+        "fare_amt": F.col("fare_amt"), "tip_amt": F.col("tip_amt"),
+    })
+    return rounded(out.withColumns(rollup.apply_to(["fare_amt", "tip_amt"], lambda c: F.round(c, 1))))
+
+
+def q_hourly_sql_stage(spark, sf):
+    """M1: the hourly rollup + rates as a SQL pipeline stage (``SQLTransformer``),
+    over trips with the fixed hubs; same answer as the DataFrame flagship."""
+    from hubcast.ml.pipelines import clean_statement, rollup_transformer
+    from pyspark.ml.feature import SQLTransformer
+    t = SQLTransformer(statement=clean_statement()).transform(fx.trips(spark, sf))
+    return rounded(rollup_transformer().transform(hubs.assign_hubs(t)))
+
+
+QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}

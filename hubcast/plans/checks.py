@@ -229,6 +229,43 @@ def q_embedding_clusters_check(spark, sf):
                     F.lit(best == best and best >= 0).alias("cv_ok"))
 
 
+def q_firewall_kmeans_check(spark, sf):
+    """M9: k-means (k = 4) on categorical columns through a one-sided formula;
+    every row is at its nearest centre in the encoded space."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import RFormula
+    fw = fx.firewall(spark, sf)
+    model = Pipeline(stages=[RFormula(formula="~ SourceIP + DestinationIP", featuresCol="features"),
+                             KMeans(k=4, seed=42, featuresCol="features", predictionCol="cluster")]).fit(fw)
+    km = model.stages[-1]
+    centres = [list(map(float, c)) for c in km.clusterCenters()]
+    pred = model.transform(fw).withColumn("v", vector_to_array("features"))
+    d2 = [reduce(lambda a, b: a + b, [(F.col("v")[j] - F.lit(c[j])) ** 2 for j in range(len(c))])
+          for c in centres]
+    best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("h")) for i, d in enumerate(d2)]))["h"]
+    dist_own = F.element_at(F.array(*d2), F.col("cluster") + 1)
+    dist_best = F.element_at(F.array(*d2), best + 1)
+    return pred.agg(F.count_if(dist_own > dist_best + F.lit(1e-9)).alias("misassigned"),
+                    (F.count(F.lit(1)) == F.lit(sum(km.summary.clusterSizes))).alias("sizes_ok"))
+
+
+def q_logistic_check(spark, sf):
+    """Logistic regression on the embeddings with a binary evaluator; the
+    fitted model beats chance on its training data and probabilities are valid."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    e = fx.table(spark, sf, "embeddings")
+    v = e.select(array_to_vector("embedding").alias("features"),
+                 (F.col("label") == F.lit(e.agg(F.min("label")).scalar())).cast("double").alias("y"))
+    m = LogisticRegression(featuresCol="features", labelCol="y", maxIter=50).fit(v)
+    scored = m.transform(v)
+    auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction").evaluate(scored)
+    p = vector_to_array("probability")
+    return scored.agg((F.max(F.abs(p[0] + p[1] - 1)) <= 1e-9).alias("probs_ok"),
+                      F.lit(auc >= 0.5).alias("auc_ok"))
+
+
 def q_grid_predictions(spark, sf):
     """Score the hub × weekday × hour grid with both response models; negative
     ride predictions clipped to 0.  Rows only (model numbers are seed- and

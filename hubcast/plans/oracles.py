@@ -311,3 +311,40 @@ ORACLES.update({
     "scaler_check": "SELECT TRUE AS scaler_ok, TRUE AS binarizer_ok, TRUE AS normalizer_ok, TRUE AS indexer_ok",
     "embedding_clusters_check": "SELECT TRUE AS sizes_ok, TRUE AS k_ok, TRUE AS cv_ok",
 })
+
+
+ORACLES.update({
+    "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in
+                                       ["lineitem", "orders", "customer", "part", "supplier", "nation", "region",
+                                        "events", "embeddings"]),
+    "hub_weekday_wide": f"{WITH_CAL} SELECT cluster, " + ", ".join(
+        f"count(*) FILTER (WHERE pickup_wday = '{d}') AS {d}" for d in ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"])
+        + " FROM cal GROUP BY cluster",
+    "hub_share_broadcast": f"{WITH_HUB}, {_centres_body()}, counts AS (SELECT cluster, payment_type, count(*) AS n "
+                           "FROM hub GROUP BY ALL) SELECT k.cluster, k.payment_type, k.n, c.taxi_hub, "
+                           f"{R('c.hub_pct')} AS hub_pct FROM counts k LEFT JOIN centres c ON k.cluster = c.cluster",
+    "earliest_trip": f"WITH {TRIPS}, {CLEAN} SELECT trip_pickup_datetime, trip_id FROM clean "
+                     "ORDER BY trip_pickup_datetime, trip_id LIMIT 1",
+    "runlog_stack": f"WITH {RUNLOGS} SELECT action, runtime, \"timestamp\", n_row, filesize FROM log_a "
+                    "UNION ALL SELECT action, runtime, \"timestamp\", n_row, filesize FROM log_b",
+    "tipped_north": f"{WITH_HUB}, t AS (SELECT cluster, start_lat AS lat, CASE WHEN fare_amt < 10 THEN 'low' "
+                    "WHEN fare_amt < 30 THEN 'mid' ELSE 'high' END AS fare_band FROM hub "
+                    "WHERE tip_amt > 0 AND start_lat < 40.8E0) "
+                    f"SELECT cluster, fare_band, count(*) AS n, {R('avg(lat)')} AS mean_lat FROM t GROUP BY ALL",
+    "text_formats": f"WITH {TRIPS}, {CLEAN} SELECT trip_id, vendor_name || '/' || strftime(trip_pickup_datetime, '%Y-%m') AS label, "
+                    "regexp_replace(lower(payment_type), 'a', 'A') AS payment_first, "
+                    f"{R('round(fare_amt * 1e9 / 1073741824.0E0, 2)')} AS fare_gb, format('{{:,}}', trip_id) AS fare_k, "
+                    f"CAST(NULL AS DOUBLE) AS no_value, {R('round(fare_amt, 1)')} AS fare_amt, {R('round(tip_amt, 1)')} AS tip_amt FROM clean",
+    "hourly_sql_stage": ORACLES["hourly_hub_rates"],
+})
+
+
+ORACLES.update({
+    "ingest_loop": f"WITH {TRIPS} SELECT * FROM trips",
+    "summary_bundle": ORACLES["week_hour_heat"],
+})
+
+ORACLES.update({
+    "firewall_kmeans_check": "SELECT CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok",
+    "logistic_check": "SELECT TRUE AS probs_ok, TRUE AS auc_ok",
+})

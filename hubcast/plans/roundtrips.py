@@ -99,6 +99,37 @@ def q_persisted_distinct(spark, sf):
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}
 
 
+def q_ingest_loop(spark, sf):
+    """K3 + U3: per-file CSV → Parquet conversion appending into one dataset; a
+    missing file is recorded as a failure and the other files still load."""
+    from hubcast.sources.schemas import trip_schema
+    trips = fx.raw_trips(spark, sf)
+    root = shared_dir(spark, "ingest")
+    sources = []
+    for vendor in ("VTS", "CMT"):
+        sources.append(io.write_csv(trips.where(F.col("vendor_name") == vendor), f"{root}/csv/{vendor}"))
+    sources.insert(1, f"{root}/csv/missing-file")
+    target = f"{root}/parquet"
+    results = io.ingest_files(spark, sources, lambda src: target, trip_schema(with_id=True), mode="append")
+    failed = [r.source for r in results if not r.ok]
+    if failed != [sources[1]]:
+        raise RuntimeError(f"ingest loop: unexpected failures {failed}")
+    return lower_columns(io.read_parquet(spark, target))
+
+
+def q_summary_bundle(spark, sf):
+    """K8: the four summaries written as one dated bundle; the heat table read back."""
+    from hubcast.operators.hubs import assign_hubs
+    from hubcast.operators.rollup import hourly_rollup, with_calendar
+    from hubcast.plans.catalog import rounded
+    from hubcast.plans.summaries import summaries, write_bundle
+    raw = fx.raw_trips(spark, sf)
+    clustered = with_calendar(assign_hubs(plausible_trips(lower_columns(raw))))
+    tables = summaries(raw, clustered, hourly_rollup(clustered), density_cap=10_000)
+    paths = write_bundle(tables, shared_dir(spark, "bundle"), run_date="2020-02-26")
+    return rounded(spark.read.parquet(paths["s_heatmap"]))
+
+
 # ---------------------------------------------------------------- streams
 
 def _stream_input(spark: SparkSession, sf: str, fmt: str) -> tuple[str, object]:
