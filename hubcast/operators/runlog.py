@@ -68,7 +68,8 @@ class RunLog:
         t0 = time.perf_counter()
         yield
         self.rows.append((action, time.perf_counter() - t0, datetime.now(), self.run_env,
-                          self.run_ram, n_row, filesize))
+                          self.run_ram, None if n_row is None else float(n_row),
+                          None if filesize is None else float(filesize)))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, RUNLOG_SCHEMA)

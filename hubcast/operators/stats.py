@@ -109,5 +109,5 @@ def standard_scale(df: DataFrame, columns: list[str], with_mean: bool = True,
 def simple_regression(df: DataFrame, y: str, x: str, by: list[str] | None = None) -> DataFrame:
     """Least-squares slope, intercept and R² of ``y ~ x`` (optionally per group)."""
     aggs = [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-            F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n")]
+            F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).cast("long").alias("n")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

@@ -80,10 +80,10 @@ FIREWALL = """firewall AS (SELECT CAST(event_id AS DOUBLE) AS ident, ts AS logTi
   CASE event_id % 3 WHEN 0 THEN 'HTTP' WHEN 1 THEN 'HTTPS' ELSE 'DNS' END AS ApplicationProtocol,
   value AS bytessent, value * 2 AS bytesrecvd FROM events)"""
 
-RUNLOGS = """log_a AS (SELECT 'Model: Fit' AS action, value AS runtime, user_id AS n_row, ts AS "timestamp",
-    CAST(NULL AS BIGINT) AS filesize FROM events WHERE event_type = 'view'),
-  log_b AS (SELECT 'Write: file' AS action, value AS runtime, CAST(NULL AS BIGINT) AS n_row, ts AS "timestamp",
-    event_id AS filesize FROM events WHERE event_type = 'click'),
+RUNLOGS = """log_a AS (SELECT 'Model: Fit' AS action, value AS runtime, CAST(user_id AS DOUBLE) AS n_row,
+    ts AS "timestamp", CAST(NULL AS DOUBLE) AS filesize FROM events WHERE event_type = 'view'),
+  log_b AS (SELECT 'Write: file' AS action, value AS runtime, CAST(NULL AS DOUBLE) AS n_row, ts AS "timestamp",
+    CAST(event_id AS DOUBLE) AS filesize FROM events WHERE event_type = 'click'),
   logs AS (SELECT DISTINCT * FROM (SELECT * FROM log_a UNION ALL SELECT * FROM log_b))"""
 
 
@@ -239,7 +239,7 @@ ORACLES: dict[str, str] = {
     "scaled_distance": _scaled_sql(),
     "fare_on_distance": f"WITH {TRIPS}, {CLEAN} SELECT {R('regr_slope(fare_amt, trip_distance)')} AS slope, "
                         f"{R('regr_intercept(fare_amt, trip_distance)')} AS intercept, "
-                        f"{R('regr_r2(fare_amt, trip_distance)')} AS r2, regr_count(fare_amt, trip_distance) AS n FROM clean",
+                        f"{R('regr_r2(fare_amt, trip_distance)')} AS r2, CAST(regr_count(fare_amt, trip_distance) AS BIGINT) AS n FROM clean",
     "url_manifest": f"WITH {TRIPS}, m AS (SELECT DISTINCT strftime(trip_pickup_datetime, '%Y') AS year, "
                     "strftime(trip_pickup_datetime, '%m') AS month FROM trips WHERE trip_pickup_datetime IS NOT NULL) "
                     "SELECT year, month, year || '-' || month || '.csv' AS filename, "

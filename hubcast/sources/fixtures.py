@@ -77,14 +77,15 @@ def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runlog_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run log, first header variant: ``action, time, n_row, timestamp``."""
+    """Run log, first header variant: ``action, time, n_row, timestamp`` (numbers
+    are doubles, as the logs were written)."""
     return (table(spark, sf_dir, "events").where("event_type = 'view'")
             .selectExpr("'Model: Fit' AS action", "value AS time",
-                        "user_id AS n_row", "ts AS timestamp"))
+                        "CAST(user_id AS DOUBLE) AS n_row", "ts AS timestamp"))
 
 
 def runlog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log, second header variant: ``action, runtime, timestamp, filesize``."""
     return (table(spark, sf_dir, "events").where("event_type = 'click'")
             .selectExpr("'Write: file' AS action", "value AS runtime",
-                        "ts AS timestamp", "event_id AS filesize"))
+                        "ts AS timestamp", "CAST(event_id AS DOUBLE) AS filesize"))

@@ -60,6 +60,6 @@ RUNLOG_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampNTZType()),
     T.StructField("run_env", T.StringType()),
     T.StructField("run_ram", T.StringType()),
-    T.StructField("n_row", T.LongType()),
+    T.StructField("n_row", T.DoubleType()),
     T.StructField("filesize", T.DoubleType()),
 ])
