@@ -14,16 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), exact: bool = True,
+def percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), method: str = "distributed",
                 accuracy: int = 10_000) -> DataFrame:
-    """Percentiles, one row per probability (linear interpolation when exact).
-
-    ``exact=True`` uses ``percentile`` (partial aggregation keeps one count per
-    distinct value).  For columns with billions of distinct values use
-    ``exact=False``: ``percentile_approx`` keeps a bounded sketch per task.
+    """Percentiles, one row per probability.
+
+    * ``distributed`` (default): exact, linear interpolation, computed with
+      bucketed running counts (``operators.ranking``); no task holds more than
+      one value range.
+    * ``aggregate``: Spark's exact ``percentile`` aggregate; its final merge
+      holds one count per distinct value in one task — fine for low-cardinality
+      columns.
+    * ``approx``: ``percentile_approx`` (bounded sketch, returns data values).
     """
+    if method == "distributed":
+        from hubcast.operators.ranking import exact_percentiles
+        return exact_percentiles(df, col, probs)
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = F.percentile(col, arr) if exact else F.percentile_approx(col, arr, accuracy)
+    agg = F.percentile(col, arr) if method == "aggregate" else F.percentile_approx(col, arr, accuracy)
     return (df.agg(agg.alias("_p"))
             .select(F.posexplode("_p").alias("_i", "value"))
             .select(F.element_at(arr, F.col("_i") + 1).alias("percentile"),

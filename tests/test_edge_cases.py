@@ -117,3 +117,12 @@ def test_first_appearance_rank(spark):
     df = spark.createDataFrame([(3, "x"), (1, "y"), (2, "x")], "t int, v string")
     got = {r[0]: r[1] for r in clean.first_appearance_rank(df, "v", "t").collect()}
     assert got == {"y": 1, "x": 2}
+
+
+def test_distributed_percentiles_match_aggregate_with_hot_value(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.rand(1) * 100).alias("x"))
+    probs = (0.0, 0.1, 0.33, 0.5, 0.9, 1.0)
+    a = sorted(stats.percentiles(df, "x", probs).collect())
+    b = sorted(stats.percentiles(df, "x", probs, method="aggregate").collect())
+    assert all(abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b))
