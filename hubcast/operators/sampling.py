@@ -74,3 +74,14 @@ def development_sample(df: DataFrame, fraction: float = 0.01, cap: int = 30_000,
                        seed: int = 42) -> DataFrame:
     """K4: Bernoulli sample, then at most ``cap`` rows picked at random (top-k)."""
     return sample_n(bernoulli_sample(df, fraction, seed), cap, seed)
+
+
+def write_development_sample(df: DataFrame, out_dir: str, fraction: float = 0.01, cap: int = 30_000,
+                             seed: int = 42) -> dict[str, str]:
+    """K4: draw the development sample once (cached), write it as Parquet and CSV."""
+    sample = development_sample(df, fraction, cap, seed).persist()
+    paths = {"parquet": f"{out_dir.rstrip('/')}/parquet", "csv": f"{out_dir.rstrip('/')}/csv"}
+    sample.write.mode("overwrite").parquet(paths["parquet"])
+    sample.write.mode("overwrite").option("header", True).csv(paths["csv"])
+    sample.unpersist()
+    return paths

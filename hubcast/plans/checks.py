@@ -43,16 +43,21 @@ def _clean(spark, sf):
 
 
 def q_dev_sample_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Sample size within the cap and every sampled row drawn from
-    the input no more often than it occurs there."""
+    """The sample is written as Parquet and CSV; both copies hold the
+    same rows, at most ``cap`` of them, each drawn from the input no more often
+    than it occurs there."""
     src = _clean(spark, sf)
     src = src.withColumn("_h", row_hash(src))
     cap = 1000
-    s = sampling.development_sample(src, fraction=0.5, cap=cap, seed=42)
+    paths = sampling.write_development_sample(src.select("_h", "trip_id", "fare_amt"),
+                                              shared_dir(spark, "dev-sample"), fraction=0.5, cap=cap)
+    s = spark.read.parquet(paths["parquet"])
+    c = spark.read.schema(s.schema).option("header", True).csv(paths["csv"])
     cs = s.groupBy("_h").agg(F.count(F.lit(1)).alias("k"))
     cx = src.groupBy("_h").agg(F.count(F.lit(1)).alias("m"))
     excess = cs.join(cx, "_h", "left").agg(F.count_if(F.col("m").isNull() | (F.col("k") > F.col("m")))).scalar()
-    return s.agg((F.count(F.lit(1)) <= cap).alias("within_cap"), excess.alias("missing"),
+    copies_differ = multiset_mismatches(s, c, ["_h", "trip_id", "fare_amt"])
+    return s.agg((F.count(F.lit(1)) <= cap).alias("within_cap"), (excess + copies_differ).alias("missing"),
                  (F.count(F.lit(1)) == F.lit(cap)).alias("cap_reached"))
 
 
@@ -266,6 +271,26 @@ def q_logistic_check(spark, sf):
                       F.lit(auc >= 0.5).alias("auc_ok"))
 
 
+def q_stream_batch_scores_check(spark, sf):
+    """X2 (whole model through ``foreachBatch``): with all arrived files in one
+    micro-batch, the streamed predictions equal the batch predictions."""
+    from hubcast.plans.roundtrips import _stream_input
+    from hubcast.streaming import jobs
+    models, trips = _fitted(spark, sf)
+    src, schema = _stream_input(spark, sf, "parquet")
+    sink, ckpt = shared_dir(spark, "stream-scores"), shared_dir(spark, "stream-ckpt")
+    jobs.score_batches(jobs.file_stream(spark, src, schema, "parquet").transform(_lower), models, sink, ckpt)
+    keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour", "p_rides", "p_fpm"]
+    streamed = spark.read.parquet(sink).select(*keys)
+    batch = models.predict(models.hourly(trips)).select(*keys)
+    return spark.range(1).select(multiset_mismatches(streamed, batch, keys).alias("mismatches"))
+
+
+def _lower(df: DataFrame) -> DataFrame:
+    from hubcast.operators.clean import lower_columns
+    return lower_columns(df)
+
+
 def q_grid_predictions(spark, sf):
     """Score the hub × weekday × hour grid with both response models; negative
     ride predictions clipped to 0.  Rows only (model numbers are seed- and

@@ -94,3 +94,17 @@ def run_complete_to_table(agg: DataFrame, table_path: str, checkpoint: str) -> N
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def score_batches(stream: DataFrame, models, sink: str, checkpoint: str) -> None:
+    """X2, whole model: every micro-batch is rolled up to hub × hour and scored by
+    the fitted response models.  Each epoch overwrites its own folder
+    (``epoch=<id>``), so a retried epoch replaces rather than duplicates its
+    output; the writes are distributed ``foreachBatch`` jobs."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        scored = models.predict(models.hourly(batch))
+        scored.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
