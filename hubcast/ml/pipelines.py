@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 
 from hubcast.operators.clean import DEFAULT_BOUNDS, TripBounds
+from hubcast.session import spread_for_iteration
 
 
 def clean_statement(b: TripBounds = DEFAULT_BOUNDS) -> str:
@@ -134,13 +135,19 @@ class FittedModels:
 
 
 def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParams = KMeansParams(),
-               features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True) -> FittedModels:
+               features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True,
+               cluster_fraction: float = 1.0) -> FittedModels:
     """Fit clustering once, roll up once, fit one regression per response.
 
     The hourly table (one row per hub × year × month × weekday × hour) is small
     relative to the trips and is cached for the per-response fits.
+
+    ``cluster_fraction < 1`` fits the k centres on a seeded Bernoulli sample
+    (k-means caches and rescans its input every iteration; five 2-D centres do
+    not need every trip).  All trips are still assigned and rolled up.
     """
-    km = cluster_pipeline(params).fit(trips)
+    fit_input = trips if cluster_fraction >= 1.0 else trips.sample(False, cluster_fraction, params.seed)
+    km = cluster_pipeline(params).fit(spread_for_iteration(fit_input))
     hourly = rollup_transformer().transform(km.transform(trips))
     if persist_hourly:
         hourly = hourly.persist()

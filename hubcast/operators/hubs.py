@@ -34,16 +34,18 @@ def assign_hubs(df: DataFrame, centres=FIXED_HUBS, lon: str = "start_lon",
 
 
 def hub_centres(df: DataFrame, cluster: str = "cluster", lon: str = "start_lon",
-                lat: str = "start_lat") -> DataFrame:
+                lat: str = "start_lat", extra_means=()) -> DataFrame:
     """A4 + W1 + W2 + W4: centre, size, letter (largest = A), colour and share per hub.
 
     The group-by has partial (map-side) aggregation, so a hub holding a third
     of all rows costs no more than any other.  Rank, letter and share are
     windows over the k-row aggregate (k = number of hubs), so the
     single-partition window step handles k rows, never the trips.
+    ``extra_means`` adds attribute means to the same single aggregation pass.
     """
     agg = df.groupBy(cluster).agg(F.avg(lon).alias("center_lon"), F.avg(lat).alias("center_lat"),
-                                  F.count(F.lit(1)).alias("size"))
+                                  F.count(F.lit(1)).alias("size"),
+                                  *[F.avg(c).alias(c) for c in extra_means])
     total = F.sum("size").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("size"), F.col(cluster)))
     palette = F.array(*[F.lit(c) for c in PASTEL1])
@@ -51,7 +53,7 @@ def hub_centres(df: DataFrame, cluster: str = "cluster", lon: str = "start_lon",
             .select(cluster, "center_lon", "center_lat", "size",
                     F.char(F.lit(64) + F.col("_rank")).alias("taxi_hub"),
                     F.element_at(palette, F.col("_rank").cast("int")).alias("hub_color"),
-                    (F.col("size") / total).alias("hub_pct")))
+                    (F.col("size") / total).alias("hub_pct"), *list(extra_means)))
 
 
 def hub_means(df: DataFrame, cluster: str = "cluster",
@@ -60,9 +62,19 @@ def hub_means(df: DataFrame, cluster: str = "cluster",
     return df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def hub_profile(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Hub centres left-joined with hub attribute means (both k rows)."""
-    return hub_centres(df, cluster).join(hub_means(df, cluster), on=cluster, how="left")
+HUB_ATTRIBUTES = ("passenger_count", "trip_distance", "fare_amt", "tip_amt")
+
+
+def hub_profile(df: DataFrame, cluster: str = "cluster", join: bool = False) -> DataFrame:
+    """Hub centres with hub attribute means.
+
+    Default: one aggregation pass computes both (one scan, one shuffle).
+    ``join=True`` builds the two k-row tables separately and left-joins them,
+    as the original did — two scans of the input.
+    """
+    if join:
+        return hub_centres(df, cluster).join(hub_means(df, cluster), on=cluster, how="left")
+    return hub_centres(df, cluster, extra_means=HUB_ATTRIBUTES)
 
 
 def map_centre(centres: DataFrame) -> DataFrame:

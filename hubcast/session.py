@@ -70,3 +70,17 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread_for_iteration(df):
+    """Make a DataFrame that an iterative algorithm will cache span the cluster.
+
+    Iterative fits (k-means) cache their input and scan it once per iteration;
+    if the input has fewer partitions than the cluster has cores (a few large
+    row groups), every iteration runs on a few cores only.  Only then is it
+    repartitioned (round-robin) to the default parallelism; large inputs, which
+    already have many splits, are returned unchanged (no extra shuffle).
+    The partition count is known at planning time; no job is run.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
