@@ -350,3 +350,5 @@ ORACLES.update({
 })
 
 ORACLES.update({"stream_batch_scores_check": "SELECT CAST(0 AS BIGINT) AS mismatches"})
+
+ORACLES.update({"ingest_one_job": f"WITH {TRIPS} SELECT * FROM trips"})

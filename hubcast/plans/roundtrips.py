@@ -84,6 +84,18 @@ def q_file_manifest(spark, sf):
     return io.file_manifest(spark, path, "csv", "overwrite", out_root=path + "-parquet")
 
 
+def q_ingest_one_job(spark, sf):
+    """K3 (single job): every source file in one scan, output partitioned by
+    source file; the converted rows read back."""
+    from hubcast.sources.schemas import trip_schema
+    trips = fx.raw_trips(spark, sf)
+    root = shared_dir(spark, "ingest1")
+    srcs = [io.write_csv(trips.where(F.col("vendor_name") == v), f"{root}/csv/{v}") for v in ("VTS", "CMT")]
+    target = f"{root}/parquet"
+    io.ingest_one_job(spark, srcs, target, trip_schema(with_id=True), partition_by_file=True)
+    return lower_columns(io.read_parquet(spark, target).drop("source_file"))
+
+
 def q_checkpoint_roundtrip(spark, sf):
     """K6: reliable checkpoint into the shared folder cuts the lineage; same rows."""
     t = plausible_trips(fx.trips(spark, sf)).select("trip_id", "vendor_name", "fare_amt")

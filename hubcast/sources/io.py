@@ -47,22 +47,24 @@ def read_parquet(spark: SparkSession, path, persist: bool = False) -> DataFrame:
     return df.persist() if persist else df
 
 
-def file_manifest(spark: SparkSession, path: str, fmt: str = "csv", mode: str = "overwrite",
+def file_manifest(spark: SparkSession, path: str, extension: str = "csv", mode: str = "overwrite",
                   out_root: str = "") -> DataFrame:
     """One row per input file: path, name, title (no extension, no '-'),
     size in bytes and GB, and the output path for the chosen mode.
 
-    Built from the scan's hidden ``_metadata`` column, so the listing is part of
-    the distributed scan and never enumerated on the driver.
+    Uses the ``binaryFile`` source without its ``content`` column, so files are
+    listed but never read; one row per file, built by the scan tasks.
     """
-    meta = (spark.read.format(fmt).option("header", True).load(path)
-            .select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size").distinct())
-    title = F.regexp_replace(F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), "-", "")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}")
+             .option("recursiveFileLookup", True).load(path).select("path", "length"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    title = F.regexp_replace(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), "-", "")
     out = (F.concat_ws("/", F.lit(out_root.rstrip("/")), title) if mode == "overwrite"
            else F.lit(out_root.rstrip("/")))
-    return meta.select("file_path", "file_name", title.alias("title"), "file_size",
-                       F.round(F.col("file_size") / F.lit(1024.0 ** 3), 2).alias("file_gb"),
-                       out.alias("out_path"))
+    return files.select(F.col("path").alias("file_path"), name.alias("file_name"), title.alias("title"),
+                        F.col("length").alias("file_size"),
+                        F.round(F.col("length") / F.lit(1024.0 ** 3), 2).alias("file_gb"),
+                        out.alias("out_path"))
 
 
 def combine_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -136,6 +138,22 @@ def ingest_files(spark: SparkSession, sources: list[str], target_for, schema: T.
     return results
 
 
+def ingest_one_job(spark: SparkSession, sources: list[str], target: str, schema: T.StructType,
+                   mode: str = "overwrite", partition_by_file: bool = False) -> DataFrame:
+    """K3 as a single distributed job: all sources in one CSV scan; files that are
+    corrupt or vanish after listing are skipped by the scan (per-read options,
+    no session change); optional output partition per source file.  Returns a
+    per-file row count (the log), computed from the written data."""
+    df = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
+          .option("ignoreMissingFiles", True).csv(sources))
+    df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    w = df.write.mode(mode)
+    if partition_by_file:
+        w = w.partitionBy("source_file")
+    w.parquet(target)
+    return spark.read.parquet(target).groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def persist_as(df: DataFrame, name: str) -> DataFrame:
     """K5: cache and register under a name."""
     out = df.persist()
