@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hubcast.functions.calendar import calendar_columns, month_label, shift_zone, to_day, trip_seconds
-from hubcast.functions.numeric import clip_negative, indicator, tie_round
-from hubcast.functions.text import (basename_sans_ext, dollar, number_big_mark, pad2, recode, remove_all,
-                                    split_to_columns)
+from hubcast.functions.calendar import calendar_columns, month_label, shift_zone, to_day
+from hubcast.functions.numeric import clip_negative, indicator, tie_round, typed_null
+from hubcast.functions.text import (basename_sans_ext, dollar, format_bytes_gb, number_big_mark, pad2, recode,
+                                    remove_all, replace_first, split_to_columns, template)
 from hubcast.operators import clean, grid, hubs, joins, rollup, runlog, sampling, stats
 from hubcast.plans.flagship import clean_hub_trips, hourly_hub_rates
 from hubcast.sources import fixtures as fx
@@ -311,11 +311,11 @@ def q_text_formats(spark, sf):
     t = _clean(spark, sf)
     out = clean.transmute(t, {
         "trip_id": F.col("trip_id"),
-        "label": F.format_string("%s/%s", F.col("vendor_name"), F.date_format("trip_pickup_datetime", "yyyy-MM")),
-        "payment_first": F.regexp_replace(F.lower("payment_type"), "(?s)^(.*?)(?:a)", "$1A"),
-        "fare_gb": F.round(F.col("fare_amt") * F.lit(1e9) / F.lit(1024.0 ** 3), 2),
-        "fare_k": F.format_number(F.col("trip_id"), 0),
-        "no_value": F.lit(None).cast("double"),
+        "label": template("%s/%s", "vendor_name", F.date_format("trip_pickup_datetime", "yyyy-MM")),
+        "payment_first": replace_first(F.lower("payment_type"), "a", "A"),
+        "fare_gb": format_bytes_gb(F.col("fare_amt") * F.lit(1e9)),
+        "fare_k": number_big_mark("trip_id"),
+        "no_value": typed_null("double"),
         "fare_amt": F.col("fare_amt"), "tip_amt": F.col("tip_amt"),
     })
     return rounded(out.withColumns(rollup.apply_to(["fare_amt", "tip_amt"], lambda c: F.round(c, 1))))
