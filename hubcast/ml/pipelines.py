@@ -113,10 +113,22 @@ def rollup_transformer() -> SQLTransformer:
     return SQLTransformer(statement=ROLLUP_STATEMENT)
 
 
+def feature_pipeline(features: list[str] = DEFAULT_FEATURES) -> Pipeline:
+    """M4 + M2 (one-sided): one-hot hub id (drop last), then a label-free formula
+    that indexes strings by descending frequency, one-hots them (drop last) and
+    assembles the vector.  Fitted once and shared by every response model."""
+    return Pipeline(stages=[
+        OneHotEncoder(inputCols=["cluster"], outputCols=["en_cluster"], dropLast=True),
+        RFormula(formula="~ " + " + ".join(features), featuresCol="features_x", handleInvalid="keep"),
+    ])
+
+
 @dataclass
 class FittedModels:
+    """Fitted clustering, shared feature encoding and one linear model per response."""
     cluster: PipelineModel
-    regressions: dict[str, PipelineModel] = field(default_factory=dict)
+    features: PipelineModel | None = None
+    regressions: dict = field(default_factory=dict)
 
     def assign(self, trips: DataFrame) -> DataFrame:
         """Clean + hub assignment (row-level stages only; usable on streams)."""
@@ -126,21 +138,21 @@ class FittedModels:
         return rollup_transformer().transform(self.assign(trips))
 
     def predict(self, frame: DataFrame, responses: list[str] | None = None) -> DataFrame:
-        """Chain the fitted models on one frame; each adds ``p_<response>``."""
-        out = frame
+        """Encode once, then every response model adds ``p_<response>``."""
+        out = self.features.transform(frame)
         for r in responses or list(self.regressions):
-            m = self.regressions[r]
-            out = m.transform(out).drop("features_" + r, "label_" + r, "en_cluster")
-        return out
+            out = self.regressions[r].transform(out)
+        return out.drop("features_x", "en_cluster")
 
 
 def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParams = KMeansParams(),
                features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True,
                cluster_fraction: float = 1.0) -> FittedModels:
-    """Fit clustering once, roll up once, fit one regression per response.
+    """Fit clustering once, roll up once, encode once, fit one linear
+    regression per response.
 
-    The hourly table (one row per hub × year × month × weekday × hour) is small
-    relative to the trips and is cached for the per-response fits.
+    The encoded hourly table (one row per hub × year × month × weekday × hour)
+    is small relative to the trips and is cached for the per-response fits.
 
     ``cluster_fraction < 1`` fits the k centres on a seeded Bernoulli sample
     (k-means caches and rescans its input every iteration; five 2-D centres do
@@ -149,21 +161,27 @@ def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParam
     fit_input = trips if cluster_fraction >= 1.0 else trips.sample(False, cluster_fraction, params.seed)
     km = cluster_pipeline(params).fit(spread_for_iteration(fit_input))
     hourly = rollup_transformer().transform(km.transform(trips))
+    feats = feature_pipeline(features).fit(hourly)
+    encoded = feats.transform(hourly)
     if persist_hourly:
-        hourly = hourly.persist()
-    regs = {r: regression_pipeline(r, features).fit(hourly.where(f"{r} IS NOT NULL"))
+        encoded = encoded.persist()
+    regs = {r: LinearRegression(featuresCol="features_x", labelCol=r, predictionCol=f"p_{r}",
+                                solver="auto").fit(encoded.where(f"{r} IS NOT NULL"))
             for r in responses}
-    return FittedModels(cluster=km, regressions=regs)
+    return FittedModels(cluster=km, features=feats, regressions=regs)
 
 
 def save_models(models: FittedModels, path: str) -> None:
-    """K7: save the fitted pipelines (overwrite)."""
+    """K7: save the fitted stages (overwrite)."""
     models.cluster.write().overwrite().save(f"{path}/cluster")
+    models.features.write().overwrite().save(f"{path}/features")
     for r, m in models.regressions.items():
         m.write().overwrite().save(f"{path}/model_{r}")
 
 
 def load_models(path: str, responses) -> FittedModels:
-    """K7: load fitted pipelines saved by :func:`save_models`."""
+    """K7: load the stages saved by :func:`save_models`."""
+    from pyspark.ml.regression import LinearRegressionModel
     return FittedModels(cluster=PipelineModel.load(f"{path}/cluster"),
-                        regressions={r: PipelineModel.load(f"{path}/model_{r}") for r in responses})
+                        features=PipelineModel.load(f"{path}/features"),
+                        regressions={r: LinearRegressionModel.load(f"{path}/model_{r}") for r in responses})
