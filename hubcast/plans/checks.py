@@ -107,8 +107,9 @@ def q_linreg_check(spark, sf):
             worst.append(scored.groupBy(g).agg(F.abs(F.avg(res)).alias("m")).agg(F.max("m").alias("m")))
         biggest = reduce(lambda a, b: a.unionByName(b), worst).agg(F.max("m")).scalar()
         out.append((biggest <= F.lit(TOL) * scale).alias(f"{r}_residuals_ok"))
-    stage = models.cluster.stages[-1].transform(models.cluster.stages[1].transform(
-        models.cluster.stages[0].transform(trips)))  # M20: stages applied one by one
+    stage = trips
+    for i in range(len(models.cluster.stages)):  # M20: fitted stages applied one at a time
+        stage = mm.apply_stage(models.cluster, i, stage)
     keys = ["_h", "cluster"]
     diff = multiset_mismatches(stage.select(row_hash(trips).alias("_h"), "cluster"),
                                models.assign(trips).select(row_hash(trips).alias("_h"), "cluster"), keys)
@@ -291,17 +292,19 @@ def _lower(df: DataFrame) -> DataFrame:
     return lower_columns(df)
 
 
+RESPONSES = ("rides", "ppr", "dpr", "fpr", "tpr", "fpm", "tpm")
+
+
 def q_grid_predictions(spark, sf):
-    """Score the hub × weekday × hour grid with both response models; negative
-    ride predictions clipped to 0.  Rows only (model numbers are seed- and
-    layout-dependent)."""
-    models, trips = _fitted(spark, sf)
-    hubs = models.assign(trips).select("cluster")
-    g = hub_week_hour_grid(hubs)
-    scored = models.predict(g)
+    """The hub × weekday × hour grid scored by all seven response models in
+    one chain (no joins); negative ride predictions clipped to 0, rates rounded.
+    Rows only (model numbers are seed- and layout-dependent)."""
+    models = fit_models(fx.trips(spark, sf), RESPONSES)
+    hubs = models.assign(fx.trips(spark, sf)).select("cluster")
+    scored = models.predict(hub_week_hour_grid(hubs))
     return scored.select("cluster", "pickup_nday", "pickup_wday", "pickup_hour",
-                         F.greatest(F.col("p_rides"), F.lit(0.0)).alias("p_rides"),
-                         F.round("p_fpm", 2).alias("p_fpm"))
+                         F.round(F.greatest(F.col("p_rides"), F.lit(0.0)), 2).alias("p_rides"),
+                         *[F.round(f"p_{r}", 2).alias(f"p_{r}") for r in RESPONSES[1:]])
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}
