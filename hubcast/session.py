@@ -46,11 +46,19 @@ def get_session(master: str | None = None, app: str = "hubcast",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set a private one only if unset."""
+    """The shared checkpoint folder of the session.
+
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
+    in local mode (tests) is a private folder created when it is unset; on a
+    cluster a machine-local folder would not be visible to other executors, so
+    an unset setting is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="hubcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
