@@ -104,9 +104,10 @@ def main() -> None:
     log.append_to(spark, shared_dir(spark, "bench-runlog"))
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     sf = os.path.basename(sf_dir).replace("sf", "")
+    throughput = {k: round(rows / v) for k, v in times.items() if v > 0 and k not in ("export_models",)}
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf) if sf else sf_dir,
-                      "rows": rows, "cpus": cpus, "cold_seconds": cold}))
+                      "rows": rows, "rows_per_sec": throughput, "cpus": cpus, "cold_seconds": cold}))
     spark.stop()
 
 
