@@ -4,7 +4,7 @@ Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 Each query runs to completion into the ``noop`` sink (full execution, nothing
 collected on the driver); ingest reads typed CSV and writes real Parquet into
 the shared scratch folder; ``fit_models`` is k-means + two linear regressions
-on the hourly table, as in the reference's model step; ``export_models`` /
+on the hourly table, as in the original model step; ``export_models`` /
 ``load_models`` save and reload the fitted pipelines.
 
 Every step first runs once, untimed, on the smallest data set

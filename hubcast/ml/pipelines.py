@@ -57,7 +57,7 @@ FROM (
 
 @dataclass
 class KMeansParams:
-    """K-means settings of the reference's hub clustering."""
+    """K-means settings of the original hub clustering."""
     k: int = 5
     seed: int = 42
     max_iter: int = 20
@@ -92,7 +92,7 @@ def regression_pipeline(response: str, features: list[str] = DEFAULT_FEATURES,
                         hour_as_category: bool = False) -> Pipeline:
     """M4 + M2 + M11: one-hot the hub id (drop last), formula, linear regression.
 
-    ``pickup_hour`` enters as a number by default (as in the reference); pass
+    ``pickup_hour`` enters as a number by default (as in the original model); pass
     ``hour_as_category=True`` to encode it as a factor.
     """
     stages = [OneHotEncoder(inputCols=["cluster"], outputCols=["en_cluster"], dropLast=True)]

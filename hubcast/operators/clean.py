@@ -19,7 +19,7 @@ def lower_columns(df: DataFrame) -> DataFrame:
 class TripBounds:
     """Open (strict) bounds of the plausibility filter.
 
-    Fixed values: the default box and ranges of the reference's clean stage.
+    Fixed values: the default box and ranges of the original clean stage.
     """
     lon_min: float = -74.05
     lon_max: float = -73.75
@@ -39,7 +39,7 @@ def plausibility_condition(b: TripBounds = DEFAULT_BOUNDS, require_pickup: bool
     """P2 predicate over lower-case trip columns.  All bounds are strict.
 
     ``total_amt > 0`` has no upper bound, so NaN passes it (NaN > 0 is true in
-    Spark); this is kept as in the reference.
+    Spark); this is kept as originally specified.
     """
     c = F.col
     cond = ((c("start_lon") > b.lon_min) & (c("start_lon") < b.lon_max)
@@ -118,7 +118,7 @@ def case_when(pairs: list[tuple[Column, object]], otherwise=None) -> Column:
     return expr
 
 
-# Weekday labels Monday first, as the reference orders its heat table.
+# Weekday labels Monday first, the order of the published heat table.
 WEEKDAYS_MON_FIRST = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
 

@@ -1,6 +1,6 @@
 """Trip, firewall and run-log tables derived from the driver's parquet tables.
 
-The reference ships no data, only schemas.  These recipes derive tables of the
+The original workflow ships no data, only schemas.  These recipes derive tables of the
 same shape from ``lineitem`` and ``events`` so that every operator runs over
 real, growing input.  The same expressions appear in the DuckDB oracles
 (``hubcast.plans.oracles``).

@@ -1,4 +1,4 @@
-"""Fixed schemas of the reference data model (names and types as published)."""
+"""Fixed schemas of the trip, firewall and run-log data model (names and types as published)."""
 
 from pyspark.sql import types as T
 
