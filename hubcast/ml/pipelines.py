@@ -171,6 +171,21 @@ def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParam
     return FittedModels(cluster=km, features=feats, regressions=regs)
 
 
+def cluster_summary(models: FittedModels, trips: DataFrame) -> DataFrame:
+    """Centre and size per cluster.  A reloaded model has no training
+    summary, so sizes are recomputed by assigning the trips (one aggregation);
+    the k centres come from the model (k rows)."""
+    from pyspark.sql import functions as F
+    km = models.cluster.stages[-1]
+    spark = trips.sparkSession
+    feats = list(KMeansParams().features)
+    centres = spark.createDataFrame(
+        [(i, *map(float, c)) for i, c in enumerate(km.clusterCenters())],
+        ["cluster"] + [f"center_{f}" for f in feats])
+    sizes = models.assign(trips).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return centres.join(sizes, "cluster", "left").fillna(0, subset=["size"])
+
+
 def save_models(models: FittedModels, path: str) -> None:
     """K7: save the fitted stages (overwrite)."""
     models.cluster.write().overwrite().save(f"{path}/cluster")

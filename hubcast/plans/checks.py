@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubcast.ml import models as mm
-from hubcast.ml.pipelines import FittedModels, fit_models, load_models, save_models
+from hubcast.ml.pipelines import FittedModels, cluster_summary, fit_models, load_models, save_models
 from hubcast.operators import sampling
 from hubcast.operators.clean import plausible_trips
 from hubcast.operators.grid import hub_week_hour_grid
@@ -191,9 +191,14 @@ def q_model_reload_check(spark, sf):
                                                   F.col("p_fpm").alias("q_fpm"))
     keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour"]
     j = a.join(b, keys, "full_outer")
+    # The reloaded model lost its training summary; sizes recomputed by transform.
+    trained = sorted(models.cluster.stages[-1].summary.clusterSizes)
+    sizes = cluster_summary(again, trips).select(F.sort_array(F.collect_list("size")).alias("s"))
+    sizes_equal = sizes.select(F.col("s") == F.array(*[F.lit(int(x)).cast("long") for x in trained])).scalar()
     return j.agg(F.count_if(F.col("p_rides").isNull() | F.col("q_rides").isNull()
                             | (F.col("p_rides") != F.col("q_rides"))
-                            | (F.col("p_fpm") != F.col("q_fpm"))).alias("mismatches"))
+                            | (F.col("p_fpm") != F.col("q_fpm"))).alias("mismatches"),
+                 sizes_equal.alias("sizes_equal"))
 
 
 def q_scaler_check(spark, sf):

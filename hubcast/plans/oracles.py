@@ -307,7 +307,7 @@ ORACLES.update({
     "glm_check": "SELECT TRUE AS wls_ok, TRUE AS gaussian_ok, TRUE AS poisson_ok, TRUE AS tweedie_ok, TRUE AS gamma_ok",
     "tree_check": "SELECT TRUE AS gbt_ok, TRUE AS tree_ok",
     "forest_check": "SELECT TRUE AS probs_sum_to_1, CAST(0 AS BIGINT) AS argmax_mismatch, TRUE AS importances_sum_to_1",
-    "model_reload_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
+    "model_reload_check": "SELECT CAST(0 AS BIGINT) AS mismatches, TRUE AS sizes_equal",
     "scaler_check": "SELECT TRUE AS scaler_ok, TRUE AS binarizer_ok, TRUE AS normalizer_ok, TRUE AS indexer_ok",
     "embedding_clusters_check": "SELECT TRUE AS sizes_ok, TRUE AS k_ok, TRUE AS cv_ok",
 })
