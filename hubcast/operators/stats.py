@@ -49,6 +49,18 @@ def correlation_triangle(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs).selectExpr(f"stack({len(pairs)}, {stack}) AS (term_x, term_y, corr)")
 
 
+def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
+    """A16 through ``pyspark.ml.stat.Correlation`` (pearson or spearman), lower
+    triangle in long form.  The k × k matrix is computed by a distributed
+    aggregation; only the k² numbers come back."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(df.select(*columns))
+    m = Correlation.corr(vec, "_v", method).head()[0].toArray()
+    rows = [(columns[i], columns[j], float(m[i][j])) for i in range(len(columns)) for j in range(i)]
+    return df.sparkSession.createDataFrame(rows, "term_x string, term_y string, corr double")
+
+
 def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin of ``x`` in ``[lo, hi]``: ``floor((x-lo)/w)``, the top edge
     folded into the last bin; a zero width (constant column) gives bin 0."""

@@ -352,3 +352,9 @@ ORACLES.update({
 ORACLES.update({"stream_batch_scores_check": "SELECT CAST(0 AS BIGINT) AS mismatches"})
 
 ORACLES.update({"ingest_one_job": f"WITH {TRIPS} SELECT * FROM trips"})
+
+ORACLES.update({
+    "firewall_csv_typed": f"WITH {FIREWALL} SELECT ident, logTime, SourceIP, DestinationIP, Action, rule, "
+                          "ApplicationProtocol, bytessent, bytesrecvd, Action = 'Denied' AS IsDenied, "
+                          "CAST(ident AS BIGINT) % 2 = 0 AS IsLogged FROM firewall",
+})

@@ -57,7 +57,7 @@ def q_json_roundtrip(spark, sf):
     """JSON lines written, read back with the schema."""
     t = plausible_trips(fx.trips(spark, sf))
     path = io.write_json(t, shared_dir(spark, "trips-json"))
-    return spark.read.schema(t.schema).json(path)
+    return io.read_json(spark, path, t.schema)
 
 
 def q_orc_roundtrip(spark, sf):
@@ -96,6 +96,27 @@ def q_ingest_one_job(spark, sf):
     return lower_columns(io.read_parquet(spark, target).drop("source_file"))
 
 
+FLAGS = ["IsDenied", "IsLogged"]
+
+
+def q_firewall_csv_typed(spark, sf):
+    """S3 on the fixed firewall schema: the log written as CSV (boolean flags as
+    text in mixed spellings, absent columns empty), read back with every flag
+    as a string and typed on demand with ``try_cast``."""
+    from hubcast.sources.schemas import firewall_schema
+    fw = fx.firewall(spark, sf).withColumns({
+        "IsDenied": F.when(F.col("Action") == "Denied", F.lit("true")).otherwise(F.lit("false")),
+        "IsLogged": F.when(F.col("ident") % 2 == 0, F.lit("YES")).otherwise(F.lit("no"))})
+    schema = firewall_schema(FLAGS)
+    full = fw.select(*[F.col(f.name) if f.name in fw.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
+    path = io.write_csv(full, shared_dir(spark, "firewall-csv"))
+    raw = io.read_csv(spark, path, schema=schema)
+    return io.typed(raw, {f: "boolean" for f in FLAGS}).select(
+        "ident", "logTime", "SourceIP", "DestinationIP", "Action", "rule", "ApplicationProtocol",
+        "bytessent", "bytesrecvd", *FLAGS)
+
+
 def q_checkpoint_roundtrip(spark, sf):
     """K6: reliable checkpoint into the shared folder cuts the lineage; same rows."""
     t = plausible_trips(fx.trips(spark, sf)).select("trip_id", "vendor_name", "fare_amt")
@@ -151,7 +172,7 @@ def _stream_input(spark: SparkSession, sf: str, fmt: str) -> tuple[str, object]:
     src = shared_dir(spark, f"stream-in-{fmt}")
     for part in range(3):
         chunk = trips.where(F.pmod(F.floor(F.col("trip_id") / 8), F.lit(3)) == part)
-        chunk.write.mode("append").format(fmt).option("header", True).save(src)
+        io.ts_options(chunk.write.mode("append").format(fmt).option("header", True)).save(src)
     return src, trip_schema(with_id=True)
 
 
@@ -164,7 +185,7 @@ def q_stream_project(spark, sf):
     jobs.run_to_files(jobs.project_stream(jobs.file_stream(spark, src, schema, "csv", 8), cols),
                       out, ckpt, fmt="csv")
     sub = T.StructType([schema[c] for c in cols])
-    return lower_columns(spark.read.schema(sub).option("header", True).csv(out))
+    return lower_columns(io.read_csv(spark, out, schema=sub))
 
 
 def q_stream_hub_scores(spark, sf):

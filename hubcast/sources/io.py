@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Text formats for timestamps in CSV / JSON.  The writers'
+# defaults keep milliseconds only; these keep microseconds, and readers use the
+# same patterns, so a round trip is lossless.
+TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TS_LTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def ts_options(rw):
+    """Apply the microsecond timestamp formats to a reader or writer."""
+    return rw.option("timestampNTZFormat", TS_NTZ_FORMAT).option("timestampFormat", TS_LTZ_FORMAT)
+
+
 # ---------------------------------------------------------------- scans
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, header: bool = True,
@@ -27,7 +39,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     * neither → every column a string (S3); type later with :func:`typed`.
     * ``repartition > 0`` → ``repartition(n)`` after the read (S5).
     """
-    reader = spark.read.option("header", header).option("sep", delimiter)
+    reader = ts_options(spark.read.option("header", header).option("sep", delimiter))
     if schema is not None:
         reader = reader.schema(schema)
     elif infer:
@@ -41,6 +53,11 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items()})
 
 
+def read_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    """JSON lines scan with a schema (same timestamp formats as the writer)."""
+    return ts_options(spark.read.schema(schema)).json(path)
+
+
 def read_parquet(spark: SparkSession, path, persist: bool = False) -> DataFrame:
     """Parquet scan, lazy or cached."""
     df = spark.read.parquet(path) if isinstance(path, str) else spark.read.parquet(*path)
@@ -72,7 +89,7 @@ def combine_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Each path is an independent lazy scan; the union is a single plan.
     """
-    frames = [spark.read.option("header", True).option("inferSchema", True).csv(p) for p in paths]
+    frames = [ts_options(spark.read.option("header", True).option("inferSchema", True)).csv(p) for p in paths]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -95,13 +112,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> str:
     """K2: CSV write with header."""
-    df.write.mode(mode).option("header", header).csv(path)
+    ts_options(df.write.mode(mode).option("header", header)).csv(path)
     return path
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """JSON lines write."""
-    df.write.mode(mode).json(path)
+    """JSON lines write (microsecond timestamps)."""
+    ts_options(df.write.mode(mode)).json(path)
     return path
 
 
@@ -144,7 +161,7 @@ def ingest_one_job(spark: SparkSession, sources: list[str], target: str, schema:
     corrupt or vanish after listing are skipped by the scan (per-read options,
     no session change); optional output partition per source file.  Returns a
     per-file row count (the log), computed from the written data."""
-    df = (spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True)
+    df = (ts_options(spark.read.schema(schema).option("header", True)).option("ignoreCorruptFiles", True)
           .option("ignoreMissingFiles", True).csv(sources))
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     w = df.write.mode(mode)

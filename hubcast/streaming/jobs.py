@@ -24,7 +24,8 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     """Stream of the files arriving in ``path`` (new files are picked up as they land)."""
     r = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        r = r.option("header", True)
+        from hubcast.sources.io import ts_options
+        r = ts_options(r.option("header", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)
@@ -36,7 +37,8 @@ def run_to_files(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parq
     w = (stream.writeStream.format(fmt).outputMode("append").option("path", sink)
          .option("checkpointLocation", checkpoint))
     if fmt == "csv":
-        w = w.option("header", True)
+        from hubcast.sources.io import ts_options
+        w = ts_options(w.option("header", True))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     q = w.start()
     if available_now:

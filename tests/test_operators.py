@@ -77,3 +77,26 @@ def test_first_per_key_breaks_ties_explicitly(spark):
     df = spark.createDataFrame([(1, 5, "x"), (1, 5, "a"), (2, 1, "z")], "k int, t int, v string")
     got = {r["k"]: r["v"] for r in rollup.first_per_key(df, "k", ["t", "v"]).collect()}
     assert got == {1: "a", 2: "z"}
+
+
+def test_correlation_matrix_matches_pairwise(spark):
+    df = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") % 13).cast("double").alias("b"),
+                                 (F.col("id") * F.col("id")).cast("double").alias("c"))
+    a = {(r[0], r[1]): r[2] for r in stats.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    b = {(r[0], r[1]): r[2] for r in stats.correlation_triangle(df, ["a", "b", "c"]).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_local_table(spark):
+    df = io.local_table(spark, [(1, "x")], "k int, v string")
+    assert df.collect()[0]["v"] == "x"
+
+
+def test_csv_and_json_keep_microseconds_and_empty_flags_become_null(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, 7, 179575), "")], "t timestamp_ntz, flag string")
+    p = io.write_csv(df, shared_dir(spark, "us-csv"))
+    back = io.typed(io.read_csv(spark, p, schema=df.schema), {"flag": "boolean"}).first()
+    assert back["t"].microsecond == 179575 and back["flag"] is None
+    j = io.write_json(df.select("t"), shared_dir(spark, "us-json"))
+    assert io.read_json(spark, j, df.select("t").schema).first()["t"].microsecond == 179575
