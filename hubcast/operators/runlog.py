@@ -75,4 +75,6 @@ class RunLog:
         return spark.createDataFrame(self.rows, RUNLOG_SCHEMA)
 
     def append_to(self, spark: SparkSession, path: str, fmt: str = "csv") -> None:
-        self.to_df(spark).coalesce(1).write.mode("append").option("header", True).format(fmt).save(path)
+        """Append the step rows (a handful) as one small file."""
+        from hubcast.sources.io import ts_options
+        ts_options(self.to_df(spark).coalesce(1).write.mode("append").option("header", True)).format(fmt).save(path)
