@@ -300,6 +300,26 @@ def _lower(df: DataFrame) -> DataFrame:
 RESPONSES = ("rides", "ppr", "dpr", "fpr", "tpr", "fpm", "tpm")
 
 
+def q_model_summaries_check(spark, sf):
+    """A1 / A4 / A6 / A8 from the fitted model: hub sizes and heat-table rides both
+    add up to the clean trip count; the heat table has every observed
+    weekday × hour cell; the density table respects its cap."""
+    from hubcast.plans.summaries import model_summaries
+    models, trips = _fitted(spark, sf, responses=())
+    s = model_summaries(models, fx.raw_trips(spark, sf), density_cap=10_000)
+    n_clean = _clean(spark, sf).agg(F.count(F.lit(1))).scalar()
+    heat = s["s_heatmap"]
+    cells = heat.agg(F.count(F.lit(1)) == F.count_distinct("pickup_wday") * F.count_distinct("pickup_hour")).scalar()
+    heat_sum = heat.agg(F.sum("rides")).scalar()
+    dens = s["s_blackmap"].agg(F.count(F.lit(1))).scalar()
+    n_raw = s["s_summary"].select("n").scalar()
+    return s["s_centers"].agg((F.sum("size") == n_clean).alias("centres_sum_ok"),
+                              (heat_sum == n_clean).alias("heat_sum_ok"), cells.alias("heat_complete"),
+                              (dens <= 10_000).alias("density_cap_ok"),
+                              (n_raw >= n_clean).alias("summary_ok"),
+                              F.max(F.col("taxi_hub") == "A").alias("letters_ok"))
+
+
 def q_grid_predictions(spark, sf):
     """The hub × weekday × hour grid scored by all seven response models in
     one chain (no joins); negative ride predictions clipped to 0, rates rounded.

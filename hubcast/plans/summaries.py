@@ -27,6 +27,16 @@ def summaries(raw_trips: DataFrame, clustered: DataFrame, hourly: DataFrame,
     }
 
 
+def model_summaries(models, raw_trips: DataFrame, density_cap: int | None = 10_000,
+                    seed: int = 42) -> dict[str, DataFrame]:
+    """The four summaries from a fitted model: hubs are the fitted k-means
+    clusters (training assignments recomputed by ``transform``), the heat
+    table comes from the fitted rollup stage."""
+    from hubcast.operators.clean import lower_columns
+    trips = lower_columns(raw_trips)
+    return summaries(raw_trips, models.assign(trips), models.hourly(trips), density_cap, seed)
+
+
 def write_bundle(tables: dict[str, DataFrame], out_dir: str, run_date: str) -> dict[str, str]:
     """K8: one Parquet directory per summary under ``<out>/<run_date>/``."""
     paths = {}
