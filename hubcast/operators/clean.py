@@ -129,12 +129,13 @@ def level_rank(col, levels: list[str]) -> Column:
 
 
 def first_appearance_rank(df: DataFrame, value: str, order_key: str) -> DataFrame:
-    """P12 (``fct_inorder``): rank of each distinct value by its first appearance.
+    """P12 (``fct_inorder``): rank of each distinct value by its first appearance
+    (ties broken by the value itself).
 
-    One row per distinct value; the rank is computed on that level table, which
-    has one row per category.
+    One row per distinct value; the ranking is a distributed row number
+    (bucketed running counts), so no single task holds all levels.
     """
-    from pyspark.sql import Window
+    from hubcast.operators.ranking import distributed_row_number
     levels = df.groupBy(value).agg(F.min(order_key).alias("_first"))
-    w = Window.orderBy("_first", value)
-    return levels.select(value, F.row_number().over(w).cast("int").alias(f"{value}_rank"))
+    ranked = distributed_row_number(levels, "_first", tiebreak=(value,), out=f"{value}_rank")
+    return ranked.select(value, f"{value}_rank")

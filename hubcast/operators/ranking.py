@@ -24,14 +24,17 @@ def _bucket_of(v: Column, bounds: Column) -> Column:
 
 
 def running_count(values: DataFrame, v: str, c: str, buckets: int = 512,
-                  accuracy: int = 100_000) -> DataFrame:
-    """For a table of distinct values ``v`` with counts ``c``, add ``cum`` (rows with
-    value ≤ v) and ``cum_before`` (rows with value < v), in global value order."""
+                  accuracy: int = 100_000, tiebreak: tuple = ()) -> DataFrame:
+    """For a table of values ``v`` (numeric) with counts ``c``, add ``cum`` (rows up
+    to and including this one) and ``cum_before``, in global order of ``v`` then
+    ``tiebreak``.  With distinct ``v`` this is "rows with value ≤ v"; equal
+    ``v`` always share a bucket, so ``tiebreak`` columns order them exactly."""
     bounds = values.agg(F.array_distinct(F.percentile_approx(
         v, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), accuracy)).alias("b")).scalar()
     tagged = values.withColumn("_bounds", bounds).withColumn("_b", _bucket_of(F.col(v), F.col("_bounds"))) \
         .drop("_bounds")
-    within = Window.partitionBy("_b").orderBy(v).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_b").orderBy(v, *tiebreak).rowsBetween(Window.unboundedPreceding,
+                                                                         Window.currentRow)
     tagged = tagged.withColumn("_local", F.sum(c).over(within))
     totals = tagged.groupBy("_b").agg(F.sum(c).alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,3 +69,20 @@ def exact_percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), buckets:
     hi = F.element_at(F.col("m"), F.ceil("h"))
     return out.select(F.element_at(ps, F.col("_i") + 1).alias("percentile"),
                       (lo + (F.col("h") - F.floor("h")) * (hi - lo)).alias("value"))
+
+
+def distributed_row_number(df: DataFrame, order: str, tiebreak: tuple = (), out: str = "rank",
+                           buckets: int = 512) -> DataFrame:
+    """1-based row number in global order of ``order`` (numeric, date or
+    timestamp) then ``tiebreak`` — without a single-partition window."""
+    key = F.col(order)
+    dtype = dict(df.dtypes)[order]
+    if dtype.startswith("timestamp"):
+        key = F.unix_micros(key.cast("timestamp")).cast("double")
+    elif dtype == "date":
+        key = F.unix_date(key).cast("double")
+    else:
+        key = key.cast("double")
+    tagged = df.withColumn("_ord", key).withColumn("_one", F.lit(1))
+    ranked = running_count(tagged, "_ord", "_one", buckets, tiebreak=tuple(tiebreak))
+    return ranked.withColumn(out, F.col("cum").cast("int")).drop("_ord", "_one", "cum", "cum_before")

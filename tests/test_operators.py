@@ -100,3 +100,23 @@ def test_csv_and_json_keep_microseconds_and_empty_flags_become_null(spark):
     assert back["t"].microsecond == 179575 and back["flag"] is None
     j = io.write_json(df.select("t"), shared_dir(spark, "us-json"))
     assert io.read_json(spark, j, df.select("t").schema).first()["t"].microsecond == 179575
+
+
+def test_distributed_row_number_matches_window(spark):
+    from pyspark.sql import Window
+    from hubcast.operators.ranking import distributed_row_number
+    df = spark.range(3000).select((F.col("id") % 97).cast("double").alias("k"), F.col("id").alias("v"))
+    a = {r["v"]: r["rank"] for r in distributed_row_number(df, "k", ("v",), buckets=16).collect()}
+    w = Window.orderBy("k", "v")
+    b = {r["v"]: r["r"] for r in df.select("v", F.row_number().over(w).alias("r")).collect()}
+    assert a == b
+
+
+def test_first_appearance_rank_with_timestamps_and_ties(spark):
+    import datetime as dt
+    from hubcast.operators.clean import first_appearance_rank
+    t0 = dt.datetime(2020, 1, 1)
+    df = spark.createDataFrame([(t0, "b"), (t0, "a"), (t0 + dt.timedelta(hours=1), "c"), (t0, "b")],
+                               "t timestamp_ntz, v string")
+    got = {r[0]: r[1] for r in first_appearance_rank(df, "v", "t").collect()}
+    assert got == {"a": 1, "b": 2, "c": 3}
