@@ -107,9 +107,14 @@ def group_means(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def share_table(df: DataFrame, key: str) -> DataFrame:
-    """One-way table with share of total (total via a scalar subquery)."""
+    """One-way table with share of total.
+
+    The total is a scalar subquery over the grouped counts themselves; Spark
+    reuses the counts' shuffle for it (``ReusedExchange``), so the input is
+    scanned once and no window puts all keys into one partition.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("percent", F.col("n") / total)
 
 
