@@ -120,3 +120,17 @@ def test_first_appearance_rank_with_timestamps_and_ties(spark):
                                "t timestamp_ntz, v string")
     got = {r[0]: r[1] for r in first_appearance_rank(df, "v", "t").collect()}
     assert got == {"a": 1, "b": 2, "c": 3}
+
+
+def test_forest_importances_carry_feature_names(spark):
+    from hubcast.ml import models as mm
+    rows = [(f"10.0.0.{i % 4}", "HTTP" if i % 3 else "DNS", "Denied" if i % 4 == 0 else "Establish")
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "SourceIP string, ApplicationProtocol string, Action string")
+    model = mm.forest_classifier(df, "Action", ["SourceIP", "ApplicationProtocol"], trees=5)
+    imp = mm.feature_importances(model, df, keep_positive=False).collect()
+    names = [r["feature"] for r in imp]
+    assert any(n.startswith("SourceIP") for n in names)
+    assert abs(sum(r["importance"] for r in imp) - 1.0) < 1e-9
+    probs = mm.class_probabilities(model, df)
+    assert {"probability_Establish", "probability_Denied", "predicted"} <= set(probs.columns)
