@@ -137,6 +137,13 @@ class FittedModels:
     def hourly(self, trips: DataFrame) -> DataFrame:
         return rollup_transformer().transform(self.assign(trips))
 
+    def as_pipeline_model(self, response: str) -> PipelineModel:
+        """One fitted pipeline for one response, raw trips in, hourly predictions
+        out (clean → cluster → rollup → encode → regress), built from the shared
+        fitted stages; it can be saved and reloaded as a single model."""
+        return PipelineModel(stages=[*self.cluster.stages, rollup_transformer(), *self.features.stages,
+                                     self.regressions[response]])
+
     def predict(self, frame: DataFrame, responses: list[str] | None = None) -> DataFrame:
         """Encode once, then every response model adds ``p_<response>``."""
         out = self.features.transform(frame)
