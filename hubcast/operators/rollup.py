@@ -7,7 +7,7 @@ with the number of groups, not with the number of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hubcast.functions.calendar import calendar_columns
@@ -55,16 +55,38 @@ def week_hour_heat(df: DataFrame, rides: str | None = "rides", fare: str = "fare
 
     ``rides=None`` counts rows (trips input, A7); otherwise sums the rides column
     of an hourly rollup (A6).  Every observed weekday × observed hour cell is
-    present (J5), missing cells filled with 0; weekdays ranked Mon..Sun (P12);
-    hour padded to two characters.
+    present (``complete``), missing cells filled with 0; weekdays ranked
+    Mon..Sun (P12); hour padded to two characters.
+
+    Plan: one scalable aggregation (partial + final) down to at most 7 × 24 = 168
+    rows; everything after it works on that bounded table in one pass — the
+    observed hour levels come from a window over the ≤ 168 rows, each weekday's
+    observed cells are looked up in a per-weekday map while the hour levels
+    are exploded, so no join, cache or extra scan is needed, and the final
+    sort runs on one partition of ≤ 168 rows.
     """
     n = F.count(F.lit(1)) if rides is None else F.sum(rides)
     agg = df.groupBy("pickup_wday", "pickup_hour").agg(
         n.cast("long").alias("rides"), F.try_divide(F.sum(fare), F.sum(distance)).alias("fpm"))
-    full = densify(agg, ["pickup_wday", "pickup_hour"], fill={"rides": 0, "fpm": 0.0})
+    hours = F.array_sort(F.collect_set("pickup_hour").over(Window.partitionBy()))
+    per_day = (agg.withColumn("_hours", hours)
+               .groupBy("pickup_wday")
+               .agg(F.map_from_entries(F.collect_list(F.struct("pickup_hour", F.struct("rides", "fpm"))))
+                    .alias("_cells"), F.first("_hours").alias("_hours")))
+    full = per_day.select("pickup_wday", F.explode("_hours").alias("pickup_hour"), "_cells").select(
+        "pickup_wday", "pickup_hour",
+        F.coalesce(F.element_at("_cells", F.col("pickup_hour"))["rides"], F.lit(0).cast("long")).alias("rides"),
+        F.coalesce(F.element_at("_cells", F.col("pickup_hour"))["fpm"], F.lit(0.0)).alias("fpm"))
     return (full.withColumn("wday_rank", level_rank("pickup_wday", WEEKDAYS_MON_FIRST))
             .withColumn("pickup_hour", pad2("pickup_hour"))
-            .orderBy("wday_rank", "pickup_hour"))
+            .coalesce(1).sortWithinPartitions("wday_rank", "pickup_hour"))
+
+
+def hub_hour_complete(df: DataFrame) -> DataFrame:
+    """J5 on a hub × hour count: every observed hub × every observed hour, 0 where
+    no trip was seen (generic ``densify`` with bounded level arrays)."""
+    counts = df.groupBy("cluster", "pickup_hour").agg(F.count(F.lit(1)).alias("rides"))
+    return densify(counts, ["cluster", "pickup_hour"], fill={"rides": 0})
 
 
 def pickup_density(df: DataFrame, lon: str = "start_lon", lat: str = "start_lat",

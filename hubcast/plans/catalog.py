@@ -82,6 +82,10 @@ def q_week_hour_heat_raw(spark, sf):
                                          distance="trip_distance"))
 
 
+def q_hub_hour_complete(spark, sf):
+    return rollup.hub_hour_complete(_cal(spark, sf))
+
+
 def q_pickup_density(spark, sf):
     return rollup.pickup_density(_clean(spark, sf))
 

@@ -363,3 +363,10 @@ ORACLES.update({
     "model_summaries_check": "SELECT TRUE AS centres_sum_ok, TRUE AS heat_sum_ok, TRUE AS heat_complete, "
                              "TRUE AS density_cap_ok, TRUE AS summary_ok, TRUE AS letters_ok",
 })
+
+ORACLES.update({
+    "hub_hour_complete": f"{WITH_CAL}, agg AS (SELECT cluster, pickup_hour, count(*) AS rides FROM cal GROUP BY ALL) "
+                         "SELECT c.cluster, h.pickup_hour, coalesce(a.rides, 0) AS rides "
+                         "FROM (SELECT DISTINCT cluster FROM agg) c CROSS JOIN (SELECT DISTINCT pickup_hour FROM agg) h "
+                         "LEFT JOIN agg a ON a.cluster = c.cluster AND a.pickup_hour = h.pickup_hour",
+})
