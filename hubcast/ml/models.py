@@ -55,11 +55,20 @@ def glm(df: DataFrame, y: str, x: list[str], family: str = "gaussian", link: str
                             GeneralizedLinearRegression(**kw)]).fit(df)
 
 
-def gbt_regression(df: DataFrame, y: str, x: list[str], max_iter: int = 20, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees."""
+def gbt_regression(df: DataFrame, y: str, x: list[str], max_iter: int = 20, seed: int = 42,
+                   checkpoint_interval: int = 10) -> PipelineModel:
+    """Gradient-boosted trees.
+
+    Boosting builds a long lineage (one step per tree); its intermediate
+    predictions are checkpointed every ``checkpoint_interval`` trees into the
+    session's shared checkpoint folder, so a lost executor never replays the
+    whole chain.
+    """
+    from hubcast.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
     return Pipeline(stages=[VectorAssembler(inputCols=x, outputCol="features"),
                             GBTRegressor(labelCol=y, featuresCol="features", maxIter=max_iter,
-                                         seed=seed)]).fit(df)
+                                         seed=seed, checkpointInterval=checkpoint_interval)]).fit(df)
 
 
 def tree_regression(df: DataFrame, y: str, x: list[str], max_depth: int = 5, seed: int = 42) -> PipelineModel:
