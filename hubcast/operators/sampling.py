@@ -11,13 +11,27 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, uniformly at random.
-
-    Planned as a top-k (``TakeOrderedAndProject``): each task keeps its own n
-    best random keys, so nothing larger than ``n`` rows per task moves.
+def sample_n(df: DataFrame, n: int, seed: int = 42, sigmas: float = 6.0) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows, uniformly at random without replacement.
+
+    The result is the ``n`` rows with the smallest random key ``u = rand(seed)``.
+    A plain ``orderBy(u).limit(n)`` sends up to ``n`` rows from *every* task to
+    one final task; here rows are first filtered to ``u < t`` with ``t`` chosen
+    so that about ``n + sigmas·sqrt(n)`` rows pass, and only those are sorted.
+    If fewer than ``n`` pass (probability below 1e-9 at six sigmas) the
+    threshold is dropped, so the answer is always exact.  Costs two counts
+    (input and candidates); the keys are reproducible for a fixed input layout.
     """
-    return df.orderBy(F.rand(seed)).limit(n)
+    import math
+    keyed = df.withColumn("_u", F.rand(seed))
+    total = df.count()
+    t = (n + sigmas * math.sqrt(max(n, 1)) + 10) / max(total, 1)
+    cand = keyed
+    if t < 1.0:
+        cand = keyed.where(F.col("_u") < F.lit(t))
+        if cand.count() < min(n, total):
+            cand = keyed
+    return cand.orderBy("_u").limit(n).drop("_u")
 
 
 def random_split(df: DataFrame, weights: dict[str, float], seed: int = 42) -> dict[str, DataFrame]:

@@ -134,3 +134,12 @@ def test_forest_importances_carry_feature_names(spark):
     assert abs(sum(r["importance"] for r in imp) - 1.0) < 1e-9
     probs = mm.class_probabilities(model, df)
     assert {"probability_Establish", "probability_Denied", "predicted"} <= set(probs.columns)
+
+
+def test_sample_n_equals_full_sort_on_random_keys(spark):
+    from hubcast.operators import sampling
+    df = spark.range(20000).repartition(7)
+    got = sorted(r[0] for r in sampling.sample_n(df, 300, seed=7).collect())
+    want = sorted(r[0] for r in df.withColumn("_u", F.rand(7)).orderBy("_u").limit(300).collect())
+    assert got == want and len(set(got)) == 300
+    assert sampling.sample_n(df, 50_000).count() == 20000
