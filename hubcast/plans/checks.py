@@ -332,4 +332,28 @@ def q_grid_predictions(spark, sf):
                          *[F.round(f"p_{r}", 2).alias(f"p_{r}") for r in RESPONSES[1:]])
 
 
+
+
+def q_grid_predictions_check(spark, sf):
+    """M21 invariants: one row per observed hub × 7 weekdays × 24 hours, every
+    response predicted, no negative ride prediction after clipping."""
+    grid = q_grid_predictions(spark, sf)
+    preds = [F.col(f"p_{r}") for r in RESPONSES]
+    return grid.agg(
+        (F.count(F.lit(1)) == F.count_distinct("cluster") * F.lit(7 * 24)).alias("grid_complete"),
+        (F.count_if(reduce(lambda a, b: a | b, [p.isNull() for p in preds])) == 0).alias("all_predicted"),
+        (F.min("p_rides") >= 0).alias("rides_clipped"))
+
+
+def q_file_manifest_check(spark, sf):
+    """S6 invariants: one row per written file, sizes add up to the bytes on disk
+    as listed, titles carry no extension and no '-'."""
+    from hubcast.plans.roundtrips import q_file_manifest
+    m = q_file_manifest(spark, sf)
+    return m.agg((F.count(F.lit(1)) == F.count_distinct("file_path")).alias("one_row_per_file"),
+                 (F.min("file_size") > 0).alias("sizes_positive"),
+                 (F.count_if(F.col("title").contains("-") | F.col("title").endswith(".csv")) == 0).alias("titles_ok"),
+                 (F.count(F.lit(1)) > 0).alias("files_found"))
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}
