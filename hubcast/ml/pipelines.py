@@ -113,14 +113,20 @@ def rollup_transformer() -> SQLTransformer:
     return SQLTransformer(statement=ROLLUP_STATEMENT)
 
 
-def feature_pipeline(features: list[str] = DEFAULT_FEATURES) -> Pipeline:
+def feature_pipeline(features: list[str] = DEFAULT_FEATURES, hour_as_category: bool = False) -> Pipeline:
     """M4 + M2 (one-sided): one-hot hub id (drop last), then a label-free formula
     that indexes strings by descending frequency, one-hots them (drop last) and
-    assembles the vector.  Fitted once and shared by every response model."""
-    return Pipeline(stages=[
-        OneHotEncoder(inputCols=["cluster"], outputCols=["en_cluster"], dropLast=True),
-        RFormula(formula="~ " + " + ".join(features), featuresCol="features_x", handleInvalid="keep"),
-    ])
+    assembles the vector.  Fitted once and shared by every response model.
+    ``pickup_hour`` is numeric by default; ``hour_as_category=True`` encodes it
+    as a factor (24 levels, drop last)."""
+    stages = [OneHotEncoder(inputCols=["cluster"], outputCols=["en_cluster"], dropLast=True)]
+    feats = list(features)
+    if hour_as_category:
+        stages.append(SQLTransformer(
+            statement="SELECT *, lpad(CAST(pickup_hour AS STRING), 2, '0') AS pickup_hour_f FROM __THIS__"))
+        feats = ["pickup_hour_f" if f == "pickup_hour" else f for f in feats]
+    stages.append(RFormula(formula="~ " + " + ".join(feats), featuresCol="features_x", handleInvalid="keep"))
+    return Pipeline(stages=stages)
 
 
 @dataclass
@@ -149,12 +155,12 @@ class FittedModels:
         out = self.features.transform(frame)
         for r in responses or list(self.regressions):
             out = self.regressions[r].transform(out)
-        return out.drop("features_x", "en_cluster")
+        return out.drop("features_x", "en_cluster", "pickup_hour_f")
 
 
 def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParams = KMeansParams(),
                features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True,
-               cluster_fraction: float = 1.0) -> FittedModels:
+               cluster_fraction: float = 1.0, hour_as_category: bool = False) -> FittedModels:
     """Fit clustering once, roll up once, encode once, fit one linear
     regression per response.
 
@@ -168,7 +174,7 @@ def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParam
     fit_input = trips if cluster_fraction >= 1.0 else trips.sample(False, cluster_fraction, params.seed)
     km = cluster_pipeline(params).fit(spread_for_iteration(fit_input))
     hourly = rollup_transformer().transform(km.transform(trips))
-    feats = feature_pipeline(features).fit(hourly)
+    feats = feature_pipeline(features, hour_as_category).fit(hourly)
     encoded = feats.transform(hourly)
     if persist_hourly:
         encoded = encoded.persist()

@@ -22,3 +22,14 @@ def test_single_pipeline_per_response(spark):
     j = a.join(b, keys, "full_outer")
     assert j.where(F.col("p_fpm").isNull() | F.col("q").isNull() | (F.abs(F.col("p_fpm") - F.col("q")) > 1e-9)).count() == 0
     assert j.count() == b.count()
+
+
+def test_hour_as_category_fits_every_hour_level(spark):
+    trips = fx.trips(spark, SF_SMALL)
+    models = fit_models(trips, ("rides",), hour_as_category=True)
+    scored = models.predict(models.hourly(trips))
+    res = scored.agg(F.max(F.abs(F.col("rides") - F.col("p_rides")))).first()[0]
+    by_hour = scored.groupBy("pickup_hour").agg(F.abs(F.avg(F.col("rides") - F.col("p_rides"))).alias("m"))
+    # With hour as a factor the residuals average to zero within every hour.
+    assert by_hour.agg(F.max("m")).first()[0] < 1e-6 * max(res, 1.0)
+    assert "pickup_hour_f" not in scored.columns
