@@ -135,6 +135,13 @@ class FittedModels:
     cluster: PipelineModel
     features: PipelineModel | None = None
     regressions: dict = field(default_factory=dict)
+    training: DataFrame | None = None  # cached encoded hourly table used for the fits
+
+    def release(self) -> None:
+        """Drop the cached training table (the fitted models stay usable)."""
+        if self.training is not None:
+            self.training.unpersist()
+            self.training = None
 
     def assign(self, trips: DataFrame) -> DataFrame:
         """Clean + hub assignment (row-level stages only; usable on streams)."""
@@ -181,7 +188,8 @@ def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParam
     regs = {r: LinearRegression(featuresCol="features_x", labelCol=r, predictionCol=f"p_{r}",
                                 solver="auto").fit(encoded.where(f"{r} IS NOT NULL"))
             for r in responses}
-    return FittedModels(cluster=km, features=feats, regressions=regs)
+    return FittedModels(cluster=km, features=feats, regressions=regs,
+                        training=encoded if persist_hourly else None)
 
 
 def cluster_summary(models: FittedModels, trips: DataFrame) -> DataFrame:

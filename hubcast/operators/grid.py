@@ -35,7 +35,8 @@ def densify(df: DataFrame, keys: list[str], fill: dict | None = None,
     The input is normally an aggregate (one row per observed key combination).
     It is read three times (distinct first key, level arrays, join back), so it
     is cached once (``cache=True``) instead of being recomputed from the source
-    by each branch.  The first key's distinct values stay distributed; the
+    by each branch; the cache holds only that aggregate and can be released
+    with ``spark.catalog.clearCache()`` once the result is written.  The first key's distinct values stay distributed; the
     other keys' levels are bounded arrays exploded per row.
     """
     fill = dict(fill or {})

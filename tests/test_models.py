@@ -33,3 +33,11 @@ def test_hour_as_category_fits_every_hour_level(spark):
     # With hour as a factor the residuals average to zero within every hour.
     assert by_hour.agg(F.max("m")).first()[0] < 1e-6 * max(res, 1.0)
     assert "pickup_hour_f" not in scored.columns
+
+
+def test_release_keeps_models_usable(spark):
+    trips = fx.trips(spark, SF_SMALL)
+    models = fit_models(trips, ("fpm",))
+    models.release()
+    assert models.training is None
+    assert models.predict(models.hourly(trips), ["fpm"]).count() > 0
