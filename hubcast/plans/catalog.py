@@ -320,6 +320,7 @@ def q_text_formats(spark, sf):
         "fare_gb": format_bytes_gb(F.col("fare_amt") * F.lit(1e9)),
         "fare_k": number_big_mark("trip_id"),
         "no_value": typed_null("double"),
+        "log_fare": F.log(F.col("fare_amt")),
         "fare_amt": F.col("fare_amt"), "tip_amt": F.col("tip_amt"),
     })
     return rounded(out.withColumns(rollup.apply_to(["fare_amt", "tip_amt"], lambda c: F.round(c, 1))))

@@ -334,7 +334,7 @@ ORACLES.update({
     "text_formats": f"WITH {TRIPS}, {CLEAN} SELECT trip_id, vendor_name || '/' || strftime(trip_pickup_datetime, '%Y-%m') AS label, "
                     "regexp_replace(lower(payment_type), 'a', 'A') AS payment_first, "
                     f"{R('round(fare_amt * 1e9 / 1073741824.0E0, 2)')} AS fare_gb, format('{{:,}}', trip_id) AS fare_k, "
-                    f"CAST(NULL AS DOUBLE) AS no_value, {R('round(fare_amt, 1)')} AS fare_amt, {R('round(tip_amt, 1)')} AS tip_amt FROM clean",
+                    f"CAST(NULL AS DOUBLE) AS no_value, {R('ln(fare_amt)')} AS log_fare, {R('round(fare_amt, 1)')} AS fare_amt, {R('round(tip_amt, 1)')} AS tip_amt FROM clean",
     "hourly_sql_stage": ORACLES["hourly_hub_rates"],
 })
 
