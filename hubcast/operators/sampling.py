@@ -18,9 +18,12 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, sigmas: float = 6.0) -> Data
     A plain ``orderBy(u).limit(n)`` sends up to ``n`` rows from *every* task to
     one final task; here rows are first filtered to ``u < t`` with ``t`` chosen
     so that about ``n + sigmas·sqrt(n)`` rows pass, and only those are sorted.
-    If fewer than ``n`` pass (probability below 1e-9 at six sigmas) the
-    threshold is dropped, so the answer is always exact.  Costs two counts
-    (input and candidates); the keys are reproducible for a fixed input layout.
+
+    Two passes over the input: a count, then the filter, whose ~n surviving
+    candidates are cached while they are counted so the final sort reads the
+    cache.  If fewer than ``n`` pass (probability below 1e-9 at six sigmas) the
+    threshold is dropped, so the answer is always exact.  The keys are
+    reproducible for a fixed input layout.
     """
     import math
     keyed = df.withColumn("_u", F.rand(seed))
@@ -28,8 +31,9 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, sigmas: float = 6.0) -> Data
     t = (n + sigmas * math.sqrt(max(n, 1)) + 10) / max(total, 1)
     cand = keyed
     if t < 1.0:
-        cand = keyed.where(F.col("_u") < F.lit(t))
+        cand = keyed.where(F.col("_u") < F.lit(t)).persist()
         if cand.count() < min(n, total):
+            cand.unpersist()
             cand = keyed
     return cand.orderBy("_u").limit(n).drop("_u")
 
