@@ -46,6 +46,11 @@ def hub_centres(df: DataFrame, cluster: str = "cluster", lon: str = "start_lon",
     agg = df.groupBy(cluster).agg(F.avg(lon).alias("center_lon"), F.avg(lat).alias("center_lat"),
                                   F.count(F.lit(1)).alias("size"),
                                   *[F.avg(c).alias(c) for c in extra_means])
+    return decorate_centres(agg, cluster, extra_means)
+
+
+def decorate_centres(agg: DataFrame, cluster: str = "cluster", extra_means=()) -> DataFrame:
+    """W1 + W2 + W4 on a k-row table of (cluster, center_lon, center_lat, size)."""
     total = F.sum("size").over(Window.partitionBy())
     rank = F.row_number().over(Window.orderBy(F.desc("size"), F.col(cluster)))
     palette = F.array(*[F.lit(c) for c in PASTEL1])

@@ -68,6 +68,12 @@ def week_hour_heat(df: DataFrame, rides: str | None = "rides", fare: str = "fare
     n = F.count(F.lit(1)) if rides is None else F.sum(rides)
     agg = df.groupBy("pickup_wday", "pickup_hour").agg(
         n.cast("long").alias("rides"), F.try_divide(F.sum(fare), F.sum(distance)).alias("fpm"))
+    return complete_heat(agg)
+
+
+def complete_heat(agg: DataFrame) -> DataFrame:
+    """Complete, rank and pad a (pickup_wday, pickup_hour, rides, fpm) table of at
+    most 7 × 24 rows (see :func:`week_hour_heat`)."""
     hours = F.array_sort(F.collect_set("pickup_hour").over(Window.partitionBy()))
     per_day = (agg.withColumn("_hours", hours)
                .groupBy("pickup_wday")

@@ -153,12 +153,11 @@ def q_ingest_loop(spark, sf):
 def q_summary_bundle(spark, sf):
     """K8: the four summaries written as one dated bundle; the heat table read back."""
     from hubcast.operators.hubs import assign_hubs
-    from hubcast.operators.rollup import hourly_rollup, with_calendar
     from hubcast.plans.catalog import rounded
-    from hubcast.plans.summaries import summaries, write_bundle
+    from hubcast.plans.summaries import summaries_one_pass, write_bundle
     raw = fx.raw_trips(spark, sf)
-    clustered = with_calendar(assign_hubs(plausible_trips(lower_columns(raw))))
-    tables = summaries(raw, clustered, hourly_rollup(clustered), density_cap=10_000)
+    clustered = assign_hubs(plausible_trips(lower_columns(raw)))
+    tables = summaries_one_pass(raw, clustered, density_cap=10_000)
     paths = write_bundle(tables, shared_dir(spark, "bundle"), run_date="2020-02-26")
     return rounded(spark.read.parquet(paths["s_heatmap"]))
 

@@ -143,3 +143,18 @@ def test_sample_n_equals_full_sort_on_random_keys(spark):
     want = sorted(r[0] for r in df.withColumn("_u", F.rand(7)).orderBy("_u").limit(300).collect())
     assert got == want and len(set(got)) == 300
     assert sampling.sample_n(df, 50_000).count() == 20000
+
+
+def test_one_pass_summaries_equal_separate(spark):
+    from hubcast.operators.rollup import hourly_rollup
+    from hubcast.plans.catalog import rounded
+    from hubcast.plans.flagship import clean_hub_trips
+    from hubcast.plans.summaries import summaries, summaries_one_pass
+    from hubcast.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    raw = fx.raw_trips(spark, SF_SMALL)
+    cal = clean_hub_trips(raw)
+    a = summaries(raw, cal, hourly_rollup(cal), density_cap=None)
+    b = summaries_one_pass(raw, cal, density_cap=None)
+    for k in a:
+        assert sorted(rounded(a[k]).collect()) == sorted(rounded(b[k].select(*a[k].columns)).collect()), k
