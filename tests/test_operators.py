@@ -158,3 +158,15 @@ def test_one_pass_summaries_equal_separate(spark):
     b = summaries_one_pass(raw, cal, density_cap=None)
     for k in a:
         assert sorted(rounded(a[k]).collect()) == sorted(rounded(b[k].select(*a[k].columns)).collect()), k
+
+
+def test_hub_profile_single_pass_equals_join_form(spark):
+    from hubcast.operators import hubs
+    from hubcast.operators.clean import plausible_trips
+    from hubcast.plans.catalog import rounded
+    from hubcast.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    t = hubs.assign_hubs(plausible_trips(fx.trips(spark, SF_SMALL)))
+    a = rounded(hubs.hub_profile(t))
+    b = rounded(hubs.hub_profile(t, join=True)).select(*a.columns)
+    assert sorted(a.collect()) == sorted(b.collect())
