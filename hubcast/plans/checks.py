@@ -334,6 +334,19 @@ def q_grid_predictions(spark, sf):
 
 
 
+def q_density_cap_check(spark, sf):
+    """A8 with its cap: exactly ``min(cap, cells)`` cells, each one a cell of the
+    full density table with the same count."""
+    from hubcast.operators.rollup import pickup_density
+    full = pickup_density(_clean(spark, sf))
+    capped = sampling.sample_n(full, 10_000, seed=42)
+    cells = full.agg(F.count(F.lit(1))).scalar()
+    foreign = capped.join(full, ["lat_r", "lon_r", "n"], "left_anti").agg(F.count(F.lit(1))).scalar()
+    return capped.agg((F.count(F.lit(1)) == F.least(cells, F.lit(10_000))).alias("size_ok"),
+                      foreign.alias("foreign_cells"),
+                      (F.count(F.lit(1)) == F.count_distinct("lat_r", "lon_r")).alias("distinct_cells"))
+
+
 def q_grid_predictions_check(spark, sf):
     """M21 invariants: one row per observed hub × 7 weekdays × 24 hours, every
     response predicted, no negative ride prediction after clipping."""

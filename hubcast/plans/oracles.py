@@ -375,3 +375,5 @@ ORACLES.update({
     "grid_predictions_check": "SELECT TRUE AS grid_complete, TRUE AS all_predicted, TRUE AS rides_clipped",
     "file_manifest_check": "SELECT TRUE AS one_row_per_file, TRUE AS sizes_positive, TRUE AS titles_ok, TRUE AS files_found",
 })
+
+ORACLES.update({"density_cap_check": "SELECT TRUE AS size_ok, CAST(0 AS BIGINT) AS foreign_cells, TRUE AS distinct_cells"})
