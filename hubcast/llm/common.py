@@ -27,14 +27,14 @@ from hubcast.session import checkpoint_root
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and return a scan of it."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/llm/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(RELEASE_SHUFFLES, "false")
     spark.conf.set(RELEASE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     finally:
         spark.conf.set(RELEASE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_part
 from .decontam import contaminated
+from .katz import katz
 from .langid import identify
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -29,6 +30,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_part(7) == 2
+    model = katz(_table(spark, sf_dir, "documents"), ~held_out)
+    return model.scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                               F.lit(model.constants["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = doc_part(4) == 2
     scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held_out)
@@ -66,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_toxicity, op5_simhash, op6_packing, op7_sharding, op8_topk,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_toxicity, op5_simhash, op6_packing, op7_sharding, op8_topk,
                                    op9_decontamination, op10_language, pipeline)}
 
 #: A-Z to a-z only, as the operators do; and the white space they know.
