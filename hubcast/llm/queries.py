@@ -15,6 +15,7 @@ from .katz import katz
 from .langid import identify
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data, spelled
 from .sharding import shard_by_bytes
 from .simhash import simhash_components
 from .topk import exact_topk
@@ -43,6 +44,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* and base_sha256 describe the base spans; ``spans`` also has what the method adds."""
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    short = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat(short, "added")).alias("spans"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -74,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_toxicity, op5_simhash, op6_packing, op7_sharding, op8_topk,
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_katz, op3_toxicity, op4_pii, op5_simhash, op6_packing, op7_sharding, op8_topk,
                                    op9_decontamination, op10_language, pipeline)}
 
 #: A-Z to a-z only, as the operators do; and the white space they know.
