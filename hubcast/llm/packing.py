@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from .common import arrow_map, pieces, record, shuffle_width, stage
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-_ADJACENT = re.compile(r"\s\s|\s\Z")
+_PAIR = re.compile(r"\s\s")
+_OTHER = re.compile(r"[^\S\n ]")
 
 
 def default_tokenizer() -> str:
@@ -46,8 +48,8 @@ class CachedTokenizer:
     The vocabulary's splitting pattern never joins text across a single space
     or line feed that stands between two other characters: a space opens the
     next chunk and a line feed is a chunk of its own.  So such texts are encoded
-    chunk by chunk, each distinct chunk once per worker (``cached`` at most);
-    texts with runs of white space are encoded whole.
+    chunk by chunk, each distinct chunk once per worker (``cached`` are kept);
+    texts with runs of white space, or white space of another kind, are encoded whole.
     """
 
     def __init__(self, path: str, cached: int):
@@ -55,37 +57,66 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cached, self.cache = cached, {}
+        self.cached = cached
+        self.known: dict[str, bytes] = {}  # chunk -> ids; a chunk stands after a space unless it starts with a line feed
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space: one token run each, so many are encoded at a time."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 4096):
+            part = words[lo:lo + 4096]
+            enc = self.tok.encode(" " + " ".join(part), add_special_tokens=False)
+            ids, runs = np.array(enc.ids, "<u4").tobytes(), np.array(enc.word_ids)
+            cuts = np.flatnonzero(np.diff(runs)) + 1
+            if len(cuts) + 1 != len(part):
+                out += self._encode([" " + w for w in part])
+                continue
+            ends = np.r_[0, cuts * 4, len(ids)].tolist()
+            out += [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks not known yet."""
+        words, rest, tails = [], [], []
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            elif c[-1:] in (".", ",") and c[:-1].isalpha():
+                tails.append(c)  # a mark after a letter is a token run of its own
+            else:
+                rest.append(c)
+        words += {c[:-1] for c in tails} - self.known.keys() - set(words)
+        new = dict(zip(words, self._encode_words(words), strict=True))
+        new.update(zip(rest, self._encode([c if c[:1] == "\n" else " " + c for c in rest]), strict=True))
+        for c in tails:
+            stem = c[:-1]
+            new[c] = (new.get(stem) or self.known[stem]) + self.marks[c[-1]]
+        return new
+
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Only single spaces and line feeds, each between two other characters."""
+        return not (text[:1].isspace() or text[-1:].isspace() or _PAIR.search(text) or _OTHER.search(text))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.cached:
-            self.cache.clear()
-        cache = self.cache
-        cache.setdefault("", b"")
-        chunked = [None if _ADJACENT.search(t) else self._chunks(t) for t in texts]
-        fresh = list({c for chunks in chunked if chunks for c in chunks if c not in cache})
-        tails = [c for c in fresh if len(c) > 2 and c[-1] in ".," and c[-2].isalpha()]
-        stems = {c[:-1] for c in tails} | ({".", ","} if tails else set())
-        missing = list((set(fresh) - set(tails)) | {c for c in stems if c not in cache})
-        cache.update(zip(missing, self._encode(missing), strict=True))
-        cache.update((c, cache[c[:-1]] + cache[c[-1]]) for c in tails)  # a mark after a letter is a token run of its own
-        get = cache.__getitem__
-        return [self._encode([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunked, strict=True)]
+        chunked = [None if not self._plain(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        fresh = set().union(*(c[1:] for c in chunked if c)) - self.known.keys()
+        known = self.known
+        if fresh:
+            new = self._learn(fresh)
+            if len(known) + len(new) <= self.cached:
+                known.update(new)
+            else:  # a full cache stays as it is: what came early is what is frequent
+                known = ChainMap(new, known)
+        firsts = self._encode([c[0] for c in chunked if c] + [t for t, c in zip(texts, chunked, strict=True) if not c])
+        n = sum(c is not None for c in chunked)
+        head, whole, get = iter(firsts[:n]), iter(firsts[n:]), known.__getitem__
+        return [next(whole) if c is None else next(head) + b"".join(map(get, c[1:])) for c in chunked]
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
@@ -161,7 +192,7 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0,
-                   keep_ids: bool = False, cached_chunks: int = 600_000) -> DataFrame:
+                   keep_ids: bool = False, cached_chunks: int = 1_200_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (if ``keep_ids``), sequence_id, offset: one row per piece."""
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
