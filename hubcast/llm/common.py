@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,14 +119,14 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Little-endian bytes of an array, byte plane by byte plane: runs of equal bytes compress well."""
+    """Bytes of an array, byte plane by byte plane (runs of equal bytes), compressed."""
     x = np.ascontiguousarray(x)
-    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def from_planes(data: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    flat = np.frombuffer(data, np.uint8).reshape(size, -1)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(flat.T).view(dtype).ravel()
 
 

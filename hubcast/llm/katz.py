@@ -46,7 +46,7 @@ from .common import arrow_map, from_planes, from_rising, groups, mix, planes, re
 
 K = 5
 START, END = 0, 1
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 _ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("parts", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
 ROWS = "kind string, shard int, block long, parts array<binary>, stats array<long>"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -117,8 +117,9 @@ def _blocks(shards: int, hot: np.ndarray):
             q = _runs(c[pick])
             words = c[pick][q]
             at = np.repeat(start[pick], per[pick]) + _within(per[pick])
-            return _row("pairs", shard, block, [rising(words), planes(np.diff(_ends(q, len(pick))).astype(np.uint32)),
-                                                planes(np.diff(p[pick], prepend=np.uint64(0))), planes(per[pick]), planes(doc[at]), flags.tobytes()])
+            contexts, which = np.unique(p[pick], return_inverse=True)
+            return _row("pairs", shard, block, [rising(words), planes(np.diff(_ends(q, len(pick))).astype(np.uint32)), rising(contexts),
+                                                planes(which.astype(np.uint32)), planes(per[pick]), planes(doc[at]), flags.tobytes()])
         spread = np.isin(c, hot) if len(hot) else np.zeros(len(c), bool)
         shard = shard_of(np.where(spread, mix(c ^ mix(p, 5), 9), c), shards)
         by = np.argsort(shard, kind="stable")
@@ -152,9 +153,9 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 
 def _unpack(parts):
-    words, q, p, per, docs, flags = parts
+    words, q, contexts, which, per, docs, flags = parts
     q = from_planes(q, np.uint32).astype(np.int64)
-    p = np.cumsum(from_planes(p, np.uint64), dtype=np.uint64)
+    p = from_rising(contexts)[from_planes(which, np.uint32)]
     return np.repeat(from_rising(words), q), p, from_planes(per, np.uint32).astype(np.int64), docs, np.frombuffer(flags, np.uint8)
 
 
@@ -194,7 +195,10 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
                  *_histogram(c1[known], K + 1)[1:K + 2].tolist(), *_histogram(c2, K + 1)[1:K + 2].tolist()]
         seen = c2 > 0
         yield _row("words", shard, 0, [rising(w[known]), planes(c1[known])], stats)
-        yield _row("bigrams", shard, 0, [planes(np.diff(word[seen], prepend=np.uint64(0))), planes(ctx[seen]), planes(c2[seen].astype(np.uint32))])
+        after, each = np.unique(word[seen], return_counts=True)
+        contexts, which = np.unique(ctx[seen], return_inverse=True)
+        yield _row("bigrams", shard, 0, [rising(after), planes(each.astype(np.uint32)), rising(contexts), planes(which.astype(np.uint32)), planes(c2[seen].astype(np.uint32))])
+        del after, each, contexts, which
         yield from context_rows(ctx[seen], c2[seen], per_pair[seen])
         del order, cur, prev, sums
         lo = 0
@@ -354,7 +358,7 @@ class KatzModel:
         self.tables, self.contexts, self.scores, self.constants = tables, contexts, scores, constants
 
 
-def katz(docs: DataFrame, learn: Column, shard_tokens: int = 1 << 22, bytes_per_token: float = 6.5) -> KatzModel:
+def katz(docs: DataFrame, learn: Column, shard_tokens: int = 3 << 20, bytes_per_token: float = 6.5) -> KatzModel:
     """Train on the rows where ``learn`` (a condition on doc_id) holds and score every row."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
