@@ -42,11 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, from_planes, from_rising, groups, mix, planes, record, rising, shard_of, shuffle_width, stage, utf8
+from .common import arrow_map, from_planes, from_rising, groups, mix, planes, record, rising, shard_of, stage, utf8
 
 K = 5
 START, END = 0, 1
 BLOCK_TOKENS = 1 << 21
+HELD_BYTES = 48 << 20
 _ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("parts", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
 ROWS = "kind string, shard int, block long, parts array<binary>, stats array<long>"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -165,7 +166,7 @@ def _histogram(counts: np.ndarray, upto: int) -> np.ndarray:
 
 def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
     """Counts of one word shard; what it adds to its documents, contexts and tables."""
-    def shard_rows(shard, rows):
+    def shard_rows(held, shard, rows):
         cur, prev, sums, sizes = [], [], [], []
         for _, parts in rows:
             c, p, per, docs, flags = _unpack(parts)
@@ -204,7 +205,7 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         lo = 0
         for (block, parts), n in zip(rows, sizes, strict=True):
             _, p, per, docs, flags = _unpack(parts)
-            yield from document_rows(block, p, per, from_planes(docs, np.uint32), len(flags), entry1[lo:lo + n], entry2[lo:lo + n])
+            yield from document_rows(held, block, p, per, from_planes(docs, np.uint32), len(flags), entry1[lo:lo + n], entry2[lo:lo + n])
             lo += n
 
     def context_rows(ctx, c2, c1):
@@ -223,7 +224,7 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
             yield _row("sums", shard[lo], 0, [rising(h[lo:hi]), planes(np.concatenate([x[lo:hi] for x in cols]).astype(np.uint32)),
                                               planes(np.concatenate([x[lo:hi] for x in large]).astype(np.int64))])
 
-    def document_rows(block, p, per, docs, n_docs, e1, e2):
+    def document_rows(held, block, p, per, docs, n_docs, e1, e2):
         c1, c2 = np.repeat(e1, per), np.repeat(e2, per)
 
         def add(keep, weights=None):
@@ -233,7 +234,9 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         log1 = np.log10(np.maximum(c1, 1))
         real = [add(every, np.log10(c1 + 1)), add(c2 > K, np.log10(np.maximum(c2, 1))), add(unseen & (c1 > K), log1)]
         whole = [add(c1 > 0)] + [add(c2 == r) for r in range(1, K + 1)] + [add(unseen & (c1 == r)) for r in range(K + 1)] + [add(unseen & (c1 > K))]
-        yield _row("shares", 0, block, [planes(np.concatenate(real)), planes(np.concatenate(whole).astype(np.uint32))])
+        share = np.array(real), np.array(whole, np.uint32)
+        kept = held.get(block)
+        held[block] = share if kept is None else (kept[0] + share[0], kept[1] + share[1])
         ask = np.flatnonzero(np.repeat(e2 == 0, per))
         if len(ask):
             h, d = np.repeat(p, per)[ask], docs[ask]
@@ -245,14 +248,25 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
                 run = _runs(h[lo:hi])
                 yield _row("unseen", shard[lo], block, [rising(h[lo:hi][run]), planes(np.diff(_ends(run, hi - lo)).astype(np.uint32)), planes(d[lo:hi])])
 
+    def told(held):
+        """Documents' shares added up over the shards of a task so far; only documents that have one."""
+        for block, (real, whole) in held.items():
+            at = np.flatnonzero(real.any(axis=0) | whole.any(axis=0))
+            yield _batch([_row("shares", 0, block, [rising(at.astype(np.uint64)), planes(real[:, at].ravel()), planes(whole[:, at].ravel())])])
+        held.clear()
+
     def run(batches):
+        held: dict[int, tuple] = {}
         for shard, table in groups(batches, "shard"):
             rows = list(zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("parts").to_pylist(), strict=True))
             for _, block, parts in (r for r in rows if r[0] == "block"):
                 yield _batch([_row("block", 0, block, parts)])
             if pairs := [r[1:] for r in rows if r[0] == "pairs"]:
                 del rows, table
-                yield from (_batch([r]) for r in shard_rows(shard, pairs))
+                yield from (_batch([r]) for r in shard_rows(held, shard, pairs))
+            if sum(real.nbytes + whole.nbytes for real, whole in held.values()) > HELD_BYTES:
+                yield from told(held)
+        yield from told(held)
     return run
 
 
@@ -287,7 +301,9 @@ def _contexts(d1: list[float], d2: list[float], total: int):
                 at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
                 value = np.where(h[at] == asked, worth[at], 0.0) if len(h) else np.zeros(len(asked))
                 docs = from_planes(parts[2], np.uint32)
-                yield _batch([_row("answers", 0, block, [planes(np.bincount(docs, np.repeat(value, from_planes(parts[1], np.uint32))))])])
+                total_of = np.bincount(docs, np.repeat(value, from_planes(parts[1], np.uint32)))
+                at = np.flatnonzero(total_of)
+                yield _batch([_row("answers", 0, block, [rising(at.astype(np.uint64)), planes(total_of[at])])])
     return run
 
 
@@ -299,22 +315,20 @@ def _finish(d1: list[float], d2: list[float], total: int, distinct: int, unknown
 
     def run(batches):
         for _, table in groups(batches, "block"):
-            real = whole = answers = head = None
-            for kind, parts in zip(table.column("kind").to_pylist(), table.column("parts").to_pylist(), strict=True):
+            rows = list(zip(table.column("kind").to_pylist(), table.column("parts").to_pylist(), strict=True))
+            head = next(parts for kind, parts in rows if kind == "block")
+            n = from_planes(head[2], np.uint32).astype(np.int64)
+            real, whole, answers = np.zeros((3, len(n))), np.zeros((2 * K + 3, len(n)), np.int64), np.zeros(len(n))
+            for kind, parts in rows:
                 if kind == "block":
-                    head = parts
-                elif kind == "shares":
-                    r, w = from_planes(parts[0], np.float64).reshape(3, -1), from_planes(parts[1], np.uint32).reshape(2 * K + 3, -1).astype(np.int64)
-                    real, whole = (r, w) if real is None else (real + r, whole + w)
+                    continue
+                at = from_rising(parts[0]).astype(np.int64)
+                if kind == "shares":
+                    real[:, at] += from_planes(parts[1], np.float64).reshape(3, -1)
+                    whole[:, at] += from_planes(parts[2], np.uint32).reshape(2 * K + 3, -1)
                 else:
-                    x = from_planes(parts[0], np.float64)
-                    if answers is None or len(answers) < len(x):
-                        answers, x = x, (np.zeros(0) if answers is None else answers)
-                    answers[:len(x)] += x
-            n = from_planes(head[2], np.uint32).astype(np.int64)
-            score = real[1] + of_bigram @ whole[1:K + 1] - real[0] + real[2] + of_word @ whole[K + 1:]
-            if answers is not None:
-                score[:len(answers)] += answers
+                    answers[at] += from_planes(parts[1], np.float64)
+            score = real[1] + of_bigram @ whole[1:K + 1] - real[0] + real[2] + of_word @ whole[K + 1:] + answers
             ids, valid = from_planes(head[0], np.int64), np.frombuffer(head[1], np.uint8)
             yield record(_SCORES, doc_id=pa.array(ids, pa.int64(), mask=valid == 0), n_tokens=n, n_known=whole[0],
                          base_score=real[0] - n * np.log10(total + distinct + 1), score=score)
@@ -363,10 +377,12 @@ def katz(docs: DataFrame, learn: Column, shard_tokens: int = 3 << 20, bytes_per_
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     size = base.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("b")).first()
-    shards = max(1, round((size["b"] or 0) / bytes_per_token / shard_tokens), min(shuffle_width(spark), (size["b"] or 0) >> 20))
+    shards = max(1, round((size["b"] or 0) / bytes_per_token / shard_tokens))
+    # A task takes a few shards and adds up what they say of a document before it tells.
+    tasks = max(min(shards, spark.sparkContext.defaultParallelism), -(-shards // 3))
     hot, hot_counts = _hot_words(base, size["n"], shards)
     packed = arrow_map(base, _blocks(shards, hot), ROWS)
-    tables = stage(arrow_map(packed.repartition(shards, "shard").sortWithinPartitions("shard"), _count(shards, hot, hot_counts), ROWS), "katz", "kind")
+    tables = stage(arrow_map(packed.repartition(tasks, "shard").sortWithinPartitions("shard"), _count(shards, hot, hot_counts), ROWS), "katz", "kind")
     words = tables.where(F.col("kind") == "words")
     sums = words.agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(N_STATS)]).first()
     stats = np.array([x or 0 for x in sums], np.int64)
@@ -378,7 +394,7 @@ def katz(docs: DataFrame, learn: Column, shard_tokens: int = 3 << 20, bytes_per_
     d1, d2 = discounts(n1), discounts(n2)
     unknown = (1 + sum((1 - d) * r * n for r, (d, n) in enumerate(zip(d1, n1, strict=False), 1))) / (total + 1)
     asked = tables.where(F.col("kind").isin("sums", "unseen"))
-    told = stage(arrow_map(asked.select("kind", "shard", "block", "parts").repartition(shards, "shard").sortWithinPartitions("shard"),
+    told = stage(arrow_map(asked.select("kind", "shard", "block", "parts").repartition(tasks, "shard").sortWithinPartitions("shard"),
                            _contexts(d1, d2, total), ROWS), "katz-contexts", "kind")
     said = (tables.where(F.col("kind").isin("block", "shares")).select("kind", "block", "parts")
             .unionByName(told.where(F.col("kind") == "answers").select("kind", "block", "parts")))
