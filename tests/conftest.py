@@ -14,10 +14,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 @pytest.fixture(scope="session")
 def spark():
     from hubcast.session import get_session
-    s = get_session("local[4]", app="hubcast-tests", shuffle_partitions=4)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hubcast-test-ckpt-"))
-    yield s
+    yield get_session("local[4]", app="hubcast-tests", shuffle_partitions=4,
+                      spark_checkpoint_dir=tempfile.mkdtemp(prefix="hubcast-test-ckpt-"))
 
 
 @pytest.fixture(scope="session")
