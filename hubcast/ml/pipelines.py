@@ -102,7 +102,7 @@ def regression_pipeline(response: str, features: list[str] = DEFAULT_FEATURES,
             statement="SELECT *, CAST(pickup_hour AS STRING) AS pickup_hour_f FROM __THIS__"))
         feats = ["pickup_hour_f" if f == "pickup_hour" else f for f in feats]
     stages += [RFormula(formula=to_formula(response, feats), featuresCol="features_" + response,
-                        labelCol="label_" + response, handleInvalid="keep"),
+                        labelCol="label_" + response, handleInvalid="error"),
                LinearRegression(featuresCol="features_" + response, labelCol="label_" + response,
                                 predictionCol=f"p_{response}", solver="auto")]
     return Pipeline(stages=stages)
@@ -125,7 +125,7 @@ def feature_pipeline(features: list[str] = DEFAULT_FEATURES, hour_as_category: b
         stages.append(SQLTransformer(
             statement="SELECT *, lpad(CAST(pickup_hour AS STRING), 2, '0') AS pickup_hour_f FROM __THIS__"))
         feats = ["pickup_hour_f" if f == "pickup_hour" else f for f in feats]
-    stages.append(RFormula(formula="~ " + " + ".join(feats), featuresCol="features_x", handleInvalid="keep"))
+    stages.append(RFormula(formula="~ " + " + ".join(feats), featuresCol="features_x", handleInvalid="error"))
     return Pipeline(stages=stages)
 
 
@@ -135,13 +135,14 @@ class FittedModels:
     cluster: PipelineModel
     features: PipelineModel | None = None
     regressions: dict = field(default_factory=dict)
-    training: DataFrame | None = None  # cached encoded hourly table used for the fits
+    training: DataFrame | None = None  # encoded hourly table used for the fits
+    cached: DataFrame | None = None    # the cached hourly table under it
 
     def release(self) -> None:
-        """Drop the cached training table (the fitted models stay usable)."""
-        if self.training is not None:
-            self.training.unpersist()
-            self.training = None
+        """Drop the cached hourly table (the fitted models stay usable)."""
+        if self.cached is not None:
+            self.cached.unpersist()
+        self.training = self.cached = None
 
     def assign(self, trips: DataFrame) -> DataFrame:
         """Clean + hub assignment (row-level stages only; usable on streams)."""
@@ -167,7 +168,7 @@ class FittedModels:
 
 def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParams = KMeansParams(),
                features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True,
-               cluster_fraction: float = 1.0, hour_as_category: bool = False) -> FittedModels:
+               cluster_fraction: float = 1.0, hour_as_category: bool = False, cluster_partitions: int = 32) -> FittedModels:
     """Fit clustering once, roll up once, encode once, fit one linear
     regression per response.
 
@@ -179,17 +180,17 @@ def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParam
     not need every trip).  All trips are still assigned and rolled up.
     """
     fit_input = trips if cluster_fraction >= 1.0 else trips.sample(False, cluster_fraction, params.seed)
-    km = cluster_pipeline(params).fit(spread_for_iteration(fit_input))
+    km = cluster_pipeline(params).fit(spread_for_iteration(fit_input, cluster_partitions))
     hourly = rollup_transformer().transform(km.transform(trips))
+    if persist_hourly:  # the encoder fit and the encoded table below read it
+        hourly = hourly.persist()
     feats = feature_pipeline(features, hour_as_category).fit(hourly)
     encoded = feats.transform(hourly)
-    if persist_hourly:
-        encoded = encoded.persist()
     regs = {r: LinearRegression(featuresCol="features_x", labelCol=r, predictionCol=f"p_{r}",
                                 solver="auto").fit(encoded.where(f"{r} IS NOT NULL"))
             for r in responses}
     return FittedModels(cluster=km, features=feats, regressions=regs,
-                        training=encoded if persist_hourly else None)
+                        training=encoded if persist_hourly else None, cached=hourly if persist_hourly else None)
 
 
 def cluster_summary(models: FittedModels, trips: DataFrame) -> DataFrame:

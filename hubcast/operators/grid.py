@@ -1,7 +1,7 @@
 """Row generation: densify (J5), prediction grids (J4), URL manifest (S7),
 weekday lookup (J1).  No cross joins: grids are generated per row with
-``sequence`` + ``explode`` or from ``spark.range``; level lists are bounded,
-checked scalar subqueries.
+``sequence`` + ``explode`` or from ``spark.range``; level lists are scalar
+subqueries, never larger than the grid they make.
 """
 
 from __future__ import annotations
@@ -10,34 +10,28 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
+def observed_levels(df: DataFrame, col: str) -> Column:
+    """Sorted distinct values of ``col`` as an array (one scalar subquery); NULL, if it occurs, is a level and comes last.
 
-
-def bounded_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> Column:
-    """Sorted distinct non-null values of ``col`` as an array (one scalar subquery).
-
-    At most ``max_levels + 1`` values are ever gathered (distinct, then limit);
-    the query fails with a clear error if the bound is exceeded, so the array
-    is proven small before it is used.
+    The grid built from it has the product of all level counts as rows, so the
+    array is never larger than the result.
     """
-    gathered = F.array_sort(F.collect_list(col))
-    guarded = F.when(F.size(gathered) <= max_levels, gathered).otherwise(
-        F.raise_error(F.lit(f"densify: more than {max_levels} levels in {col}")))
-    return (df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1)
-            .agg(guarded.alias("levels"))).scalar()
+    seen = F.array_sort(F.collect_list(col))
+    with_null = F.when(F.count_if(F.col(col).isNull()) > 0, F.array_append(seen, F.lit(None))).otherwise(seen)
+    return df.select(col).distinct().agg(with_null.alias("levels")).scalar()
 
 
-def densify(df: DataFrame, keys: list[str], fill: dict | None = None,
-            max_levels: int = MAX_LEVELS, cache: bool = True) -> DataFrame:
+def densify(df: DataFrame, keys: list[str], fill: dict | None = None, cache: bool = True) -> DataFrame:
     """J5 (``complete``): every combination of *observed* key values is present;
-    ``fill`` gives values for the measure columns of added rows.
+    ``fill`` gives values for the measure columns of added rows.  NULL keys are
+    levels like any other: their rows are kept and combined.
 
     The input is normally an aggregate (one row per observed key combination).
     It is read three times (distinct first key, level arrays, join back), so it
     is cached once (``cache=True``) instead of being recomputed from the source
     by each branch; the cache holds only that aggregate and can be released
     with ``spark.catalog.clearCache()`` once the result is written.  The first key's distinct values stay distributed; the
-    other keys' levels are bounded arrays exploded per row.
+    other keys' levels are arrays exploded per row.
     """
     fill = dict(fill or {})
     unknown = [c for c in fill if c not in df.columns]
@@ -47,8 +41,10 @@ def densify(df: DataFrame, keys: list[str], fill: dict | None = None,
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     grid = df.select(keys[0]).distinct()
     for k in keys[1:]:
-        grid = grid.withColumn(k, F.explode(bounded_levels(df, k, max_levels)))
-    out = grid.join(df, on=keys, how="left")
+        grid = grid.withColumn(k, F.explode(observed_levels(df, k)))
+    sought = grid.select(*[F.col(k).alias(f"_sought_{k}") for k in keys])
+    same = [F.col(f"_sought_{k}").eqNullSafe(F.col(k)) for k in keys]
+    out = sought.join(df, on=same, how="left").select(*[F.col(f"_sought_{k}").alias(k) for k in keys], *[c for c in df.columns if c not in keys])
     return out.fillna(fill) if fill else out
 
 

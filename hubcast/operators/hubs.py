@@ -56,11 +56,22 @@ def decorate_centres(agg: DataFrame, cluster: str = "cluster", extra_means=()) -
     palette = F.array(*[F.lit(c) for c in PASTEL1])
     return (agg.withColumn("_rank", rank)
             .select(cluster, "center_lon", "center_lat", "size",
-                    F.char(F.lit(64) + F.col("_rank")).alias("taxi_hub"),
-                    F.element_at(palette, F.col("_rank").cast("int")).alias("hub_color"),
+                    hub_letters("_rank").alias("taxi_hub"),
+                    F.element_at(palette, ((F.col("_rank") - 1) % len(PASTEL1) + 1).cast("int")).alias("hub_color"),
                     (F.col("size") / total).alias("hub_pct"), *list(extra_means)))
 
 
+def hub_letters(rank: str) -> Column:
+    """W1 for any rank: A..Z, then AA, AB, ... (three letters cover 18,278 hubs).  Colours repeat after nine."""
+    def letter(n):
+        return F.char(F.lit(65) + n % 26)
+    last = F.col(rank) - 1
+    middle = F.floor(last / 26) - 1
+    first = F.floor(middle / 26) - 1
+    return (F.when(last < 26, letter(last)).when(middle < 26, F.concat(letter(middle), letter(last)))
+            .otherwise(F.concat(letter(first), letter(middle), letter(last))))
+
+
 def hub_means(df: DataFrame, cluster: str = "cluster",
               columns=("passenger_count", "trip_distance", "fare_amt", "tip_amt")) -> DataFrame:
     """A5: mean of each attribute per hub."""

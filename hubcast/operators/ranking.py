@@ -52,7 +52,7 @@ def exact_percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), buckets:
     Only the (at most two per probability) distinct values holding the needed
     order statistics are gathered at the end.
     """
-    src = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col)))
+    src = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     vc = src.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     ranked = running_count(vc, "v", "c", buckets)
     n = vc.agg(F.sum("c")).scalar()
@@ -78,11 +78,9 @@ def distributed_row_number(df: DataFrame, order: str, tiebreak: tuple = (), out:
     key = F.col(order)
     dtype = dict(df.dtypes)[order]
     if dtype.startswith("timestamp"):
-        key = F.unix_micros(key.cast("timestamp")).cast("double")
+        key = F.unix_micros(key.cast("timestamp"))
     elif dtype == "date":
-        key = F.unix_date(key).cast("double")
-    else:
-        key = key.cast("double")
+        key = F.unix_date(key)
     tagged = df.withColumn("_ord", key).withColumn("_one", F.lit(1))
     ranked = running_count(tagged, "_ord", "_one", buckets, tiebreak=tuple(tiebreak))
-    return ranked.withColumn(out, F.col("cum").cast("int")).drop("_ord", "_one", "cum", "cum_before")
+    return ranked.withColumn(out, F.col("cum").cast("long")).drop("_ord", "_one", "cum", "cum_before")

@@ -25,7 +25,10 @@ def percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), method: str =
       holds one count per distinct value in one task — fine for low-cardinality
       columns.
     * ``approx``: ``percentile_approx`` (bounded sketch, returns data values).
+
+    Every method leaves out NULL and NaN.
     """
+    df = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     if method == "distributed":
         from hubcast.operators.ranking import exact_percentiles
         return exact_percentiles(df, col, probs)

@@ -103,6 +103,8 @@ def q_linreg_check(spark, sf):
         res = F.col(r) - F.col(f"p_{r}")
         scale = scored.agg(F.avg(F.abs(F.col(r)))).scalar()
         worst = [scored.agg(F.abs(F.avg(res)).alias("m"))]
+        # with the means per hub and weekday, the last normal equation: the coefficients are the least-squares ones
+        worst.append(scored.agg((F.abs(F.avg(res * F.col("pickup_hour"))) / 24).alias("m")))
         for g in ("cluster", "pickup_wday"):
             worst.append(scored.groupBy(g).agg(F.abs(F.avg(res)).alias("m")).agg(F.max("m").alias("m")))
         biggest = reduce(lambda a, b: a.unionByName(b), worst).agg(F.max("m")).scalar()
@@ -113,7 +115,9 @@ def q_linreg_check(spark, sf):
     keys = ["_h", "cluster"]
     diff = multiset_mismatches(stage.select(row_hash(trips).alias("_h"), "cluster"),
                                models.assign(trips).select(row_hash(trips).alias("_h"), "cluster"), keys)
-    return spark.range(1).select(*out, (diff == 0).alias("stagewise_equal"))
+    # 4 hubs + 6 weekdays + hour: one level of each factor is dropped, so the design has full rank
+    slots = models.features.transform(hourly).agg(F.max(F.size(vector_to_array("features_x")))).scalar()
+    return spark.range(1).select(*out, (diff == 0).alias("stagewise_equal"), (slots == 11).alias("slots_ok"))
 
 
 def q_glm_check(spark, sf):
@@ -278,16 +282,17 @@ def q_logistic_check(spark, sf):
 
 
 def q_stream_batch_scores_check(spark, sf):
-    """X2 (whole model through ``foreachBatch``): with all arrived files in one
-    micro-batch, the streamed predictions equal the batch predictions."""
+    """X2 (whole model through ``foreachBatch``): one file per micro-batch, so hours
+    arrive in pieces; the streamed predictions equal the batch predictions."""
     from hubcast.plans.roundtrips import _stream_input
     from hubcast.streaming import jobs
     models, trips = _fitted(spark, sf)
     src, schema = _stream_input(spark, sf, "parquet")
     sink, ckpt = shared_dir(spark, "stream-scores"), shared_dir(spark, "stream-ckpt")
-    jobs.score_batches(jobs.file_stream(spark, src, schema, "parquet").transform(_lower), models, sink, ckpt)
+    stream = jobs.file_stream(spark, src, schema, "parquet", max_files_per_trigger=1)
+    jobs.score_batches(stream.transform(_lower), models, sink, ckpt)
     keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour", "p_rides", "p_fpm"]
-    streamed = spark.read.parquet(sink).select(*keys)
+    streamed = jobs.latest_scores(spark, sink, keys)
     batch = models.predict(models.hourly(trips)).select(*keys)
     return spark.range(1).select(multiset_mismatches(streamed, batch, keys).alias("mismatches"))
 

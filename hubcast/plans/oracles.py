@@ -303,7 +303,7 @@ ORACLES.update({
     "dev_sample_check": "SELECT TRUE AS within_cap, CAST(0 AS BIGINT) AS missing, TRUE AS cap_reached",
     "random_split_check": "SELECT TRUE AS parts_sum_to_whole, CAST(0 AS BIGINT) AS overlap",
     "kmeans_check": "SELECT CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok, CAST(5 AS BIGINT) AS k_found",
-    "linreg_check": "SELECT TRUE AS rides_residuals_ok, TRUE AS fpm_residuals_ok, TRUE AS stagewise_equal",
+    "linreg_check": "SELECT TRUE AS rides_residuals_ok, TRUE AS fpm_residuals_ok, TRUE AS stagewise_equal, TRUE AS slots_ok",
     "glm_check": "SELECT TRUE AS wls_ok, TRUE AS gaussian_ok, TRUE AS poisson_ok, TRUE AS tweedie_ok, TRUE AS gamma_ok",
     "tree_check": "SELECT TRUE AS gbt_ok, TRUE AS tree_ok",
     "forest_check": "SELECT TRUE AS probs_sum_to_1, CAST(0 AS BIGINT) AS argmax_mismatch, TRUE AS importances_sum_to_1",
@@ -354,9 +354,9 @@ ORACLES.update({"stream_batch_scores_check": "SELECT CAST(0 AS BIGINT) AS mismat
 ORACLES.update({"ingest_one_job": f"WITH {TRIPS} SELECT * FROM trips"})
 
 ORACLES.update({
-    "firewall_csv_typed": f"WITH {FIREWALL} SELECT ident, logTime, SourceIP, DestinationIP, Action, rule, "
-                          "ApplicationProtocol, bytessent, bytesrecvd, Action = 'Denied' AS IsDenied, "
-                          "CAST(ident AS BIGINT) % 2 = 0 AS IsLogged FROM firewall",
+    "firewall_csv_typed": f"WITH {FIREWALL} SELECT ident, logTime, 'fw01' AS servername, SourceIP, DestinationIP, Action, rule, "
+                          "ApplicationProtocol, bytessent, bytesrecvd, Action = 'Denied' AS Payload, "
+                          "CAST(ident AS BIGINT) % 2 = 0 AS IPHeader, TRUE AS rest_empty FROM firewall",
 })
 
 ORACLES.update({

@@ -96,25 +96,27 @@ def q_ingest_one_job(spark, sf):
     return lower_columns(io.read_parquet(spark, target).drop("source_file"))
 
 
-FLAGS = ["IsDenied", "IsLogged"]
-
-
-def q_firewall_csv_typed(spark, sf):
-    """S3 on the fixed firewall schema: the log written as CSV (boolean flags as
-    text in mixed spellings, absent columns empty), read back with every flag
-    as a string and typed on demand with ``try_cast``."""
+def firewall_file(spark, sf) -> str:
+    """The firewall log as CSV in file order: flags as text in mixed spellings, absent columns empty."""
     from hubcast.sources.schemas import firewall_schema
     fw = fx.firewall(spark, sf).withColumns({
-        "IsDenied": F.when(F.col("Action") == "Denied", F.lit("true")).otherwise(F.lit("false")),
-        "IsLogged": F.when(F.col("ident") % 2 == 0, F.lit("YES")).otherwise(F.lit("no"))})
-    schema = firewall_schema(FLAGS)
+        "Payload": F.when(F.col("Action") == "Denied", F.lit("true")).otherwise(F.lit("false")),
+        "IPHeader": F.when(F.col("ident") % 2 == 0, F.lit("YES")).otherwise(F.lit("no"))})
     full = fw.select(*[F.col(f.name) if f.name in fw.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                       for f in schema.fields])
-    path = io.write_csv(full, shared_dir(spark, "firewall-csv"))
-    raw = io.read_csv(spark, path, schema=schema)
-    return io.typed(raw, {f: "boolean" for f in FLAGS}).select(
-        "ident", "logTime", "SourceIP", "DestinationIP", "Action", "rule", "ApplicationProtocol",
-        "bytessent", "bytesrecvd", *FLAGS)
+                       for f in firewall_schema().fields])
+    return io.write_csv(full, shared_dir(spark, "firewall-csv"))
+
+
+def q_firewall_csv_typed(spark, sf):
+    """S3 on the fixed firewall schema: read back in file order (the header is
+    checked), every flag as a string, typed on demand with ``try_cast``."""
+    from hubcast.sources.schemas import FIREWALL_FLAGS, firewall_schema
+    raw = io.read_csv(spark, firewall_file(spark, sf), schema=firewall_schema(), check_header=True)
+    empty = [f for f in FIREWALL_FLAGS if f not in ("Payload", "IPHeader")]
+    typed = io.typed(raw, {f: "boolean" for f in FIREWALL_FLAGS})
+    return typed.select(
+        "ident", "logTime", "servername", "SourceIP", "DestinationIP", "Action", "rule", "ApplicationProtocol",
+        "bytessent", "bytesrecvd", "Payload", "IPHeader", F.coalesce(*empty).isNull().alias("rest_empty"))
 
 
 def q_checkpoint_roundtrip(spark, sf):

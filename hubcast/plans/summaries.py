@@ -10,7 +10,7 @@ from hubcast.operators.sampling import sample_n
 
 
 def summaries(raw_trips: DataFrame, clustered: DataFrame, hourly: DataFrame,
-              density_cap: int | None = 10_000, seed: int = 42) -> dict[str, DataFrame]:
+              density_cap: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
     """``s_summary`` (raw rows), ``s_centers``, ``s_heatmap``, ``s_blackmap``.
 
     The density cap keeps at most ``density_cap`` random cells (top-k in Spark,
@@ -27,7 +27,7 @@ def summaries(raw_trips: DataFrame, clustered: DataFrame, hourly: DataFrame,
     }
 
 
-def summaries_one_pass(raw_trips: DataFrame, clustered: DataFrame, density_cap: int | None = 10_000,
+def summaries_one_pass(raw_trips: DataFrame, clustered: DataFrame, density_cap: int | None = None,
                        seed: int = 42) -> dict[str, DataFrame]:
     """The same four summaries, with centres, heat table and density computed by
     ONE grouping-sets aggregation over the clustered trips: one scan, one
@@ -69,7 +69,7 @@ def summaries_one_pass(raw_trips: DataFrame, clustered: DataFrame, density_cap:
     }
 
 
-def model_summaries(models, raw_trips: DataFrame, density_cap: int | None = 10_000,
+def model_summaries(models, raw_trips: DataFrame, density_cap: int | None = None,
                     seed: int = 42) -> dict[str, DataFrame]:
     """The four summaries from a fitted model: hubs are the fitted k-means
     clusters (training assignments recomputed by ``transform``); centres, heat

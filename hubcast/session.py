@@ -78,15 +78,12 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def spread_for_iteration(df):
-    """Make a DataFrame that an iterative algorithm will cache span the cluster.
-
-    Iterative fits (k-means) cache their input and scan it once per iteration;
-    if the input has fewer partitions than the cluster has cores (a few large
-    row groups), every iteration runs on a few cores only.  Only then is it
-    repartitioned (round-robin) to the default parallelism; large inputs, which
-    already have many splits, are returned unchanged (no extra shuffle).
-    The partition count is known at planning time; no job is run.
+def spread_for_iteration(df, partitions: int = 32):
+    """One fixed layout for the input of an iterative fit.
+
+    Iterative fits (k-means) cache their input and scan it once per iteration.
+    Start points and sums follow the layout, so it is a parameter of the fit,
+    never a function of the cluster: the same data and the same ``partitions``
+    give the same model on any number of cores.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    return df.repartition(partitions, *[c for c, kind in df.dtypes if kind not in ("map", "variant")])

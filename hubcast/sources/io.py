@@ -31,7 +31,7 @@ def ts_options(rw):
 # ---------------------------------------------------------------- scans
 
 def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, header: bool = True,
-             delimiter: str = ",", infer: bool = False, repartition: int = 0) -> DataFrame:
+             delimiter: str = ",", infer: bool = False, repartition: int = 0, check_header: bool = False) -> DataFrame:
     """CSV scan.
 
     * ``schema`` given → typed, lazy, no inference (S1).
@@ -41,7 +41,8 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     """
     reader = ts_options(spark.read.option("header", header).option("sep", delimiter))
     if schema is not None:
-        reader = reader.schema(schema)
+        # a schema maps by position; with check_header, a file whose header differs is refused
+        reader = reader.schema(schema).option("enforceSchema", not check_header)
     elif infer:
         reader = reader.option("inferSchema", True)
     df = reader.csv(path)
@@ -151,18 +152,17 @@ def ingest_files(spark: SparkSession, sources: list[str], target_for, schema: T.
             write_parquet(read_csv(spark, src, schema), target, mode)
             results.append(IngestResult(src, target, True, None, time.perf_counter() - t0))
         except Exception as e:  # noqa: BLE001 - one bad file must not stop the others
-            results.append(IngestResult(src, target, False, str(e)[:500], time.perf_counter() - t0))
+            results.append(IngestResult(src, target, False, str(e), time.perf_counter() - t0))
     return results
 
 
 def ingest_one_job(spark: SparkSession, sources: list[str], target: str, schema: T.StructType,
                    mode: str = "overwrite", partition_by_file: bool = False) -> DataFrame:
-    """K3 as a single distributed job: all sources in one CSV scan; files that are
-    corrupt or vanish after listing are skipped by the scan (per-read options,
-    no session change); optional output partition per source file.  Returns a
-    per-file row count (the log), computed from the written data."""
-    df = (ts_options(spark.read.schema(schema).option("header", True)).option("ignoreCorruptFiles", True)
-          .option("ignoreMissingFiles", True).csv(sources))
+    """K3 as a single distributed job: all sources in one CSV scan; optional output
+    partition per source file.  A corrupt or missing file fails the job, so no
+    rows are lost in silence (``ingest_files`` records a bad file and goes on).
+    Returns a per-file row count (the log), computed from the written data."""
+    df = ts_options(spark.read.schema(schema).option("header", True)).csv(sources)
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     w = df.write.mode(mode)
     if partition_by_file:

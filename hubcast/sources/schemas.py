@@ -35,22 +35,28 @@ def trip_schema(with_id: bool = False) -> T.StructType:
     return T.StructType(fields)
 
 
-# Firewall log columns (48).  Typed columns first by kind; the rest
-# are boolean flags that are mostly empty and are read as strings, then try_cast.
-FIREWALL_DOUBLE = ["ident", "bytessent", "bytesrecvd", "sessionid", "connectionid"]
-FIREWALL_TIMESTAMP = ["logTime"]
-FIREWALL_STRING = ["servername", "protocol", "SourceIP", "DestinationIP", "OriginalClientIP",
-                   "SourceNetwork", "DestinationNetwork", "Action", "resultcode", "rule",
-                   "ApplicationProtocol", "ClientUserName", "ClientAgent"]
+# The 48 firewall log columns in file order.
+FIREWALL_COLUMNS = [
+    ("ident", "double"), ("servername", "string"), ("logTime", "timestamp"), ("protocol", "string"),
+    ("SourceIP", "string"), ("SourceIP_int8", "flag"), ("SourcePort", "flag"), ("SourceIP_LocID", "flag"),
+    ("DestinationIP", "string"), ("DestinationIP_int8", "flag"), ("DestinationPort", "flag"), ("DestinationIP_LocID", "flag"),
+    ("OriginalClientIP", "string"), ("OriginalClientIP_int8", "flag"), ("OriginalClientIP_LocID", "flag"),
+    ("SourceNetwork", "string"), ("DestinationNetwork", "string"), ("Action", "string"), ("resultcode", "string"), ("rule", "string"),
+    ("ApplicationProtocol", "string"), ("bytessent", "double"), ("bytesrecvd", "double"), ("connectiontime", "flag"),
+    ("DestinationName", "flag"), ("ClientUserName", "string"), ("ClientAgent", "string"), ("sessionid", "double"),
+    ("connectionid", "double"), ("Interface", "flag"), ("IPHeader", "flag"), ("Payload", "flag"), ("GmtLogTime", "flag"),
+    ("ipsScanResult", "flag"), ("ipsSignature", "flag"), ("NATAddress", "flag"), ("FwcClientFqdn", "flag"), ("FwcAppPath", "flag"),
+    ("FwcAppSHA1Hash", "flag"), ("FwcAppTrusState", "flag"), ("FwcAppInternalName", "flag"), ("FwcAppProductName", "flag"),
+    ("FwcAppProductVersion", "flag"), ("FwcAppFileVersion", "flag"), ("FwcAppOrgFileName", "flag"), ("InternalServiceInfo", "flag"),
+    ("ipsApplicationProtocol", "flag"), ("FwcVersion", "flag"),
+]
+FIREWALL_FLAGS = [name for name, kind in FIREWALL_COLUMNS if kind == "flag"]
 
 
-def firewall_schema(flag_columns: list[str] | None = None) -> T.StructType:
-    """Firewall schema; ``flag_columns`` are the boolean flag columns (strings on read)."""
-    fields = [T.StructField(c, T.DoubleType()) for c in FIREWALL_DOUBLE]
-    fields += [T.StructField(c, T.TimestampNTZType()) for c in FIREWALL_TIMESTAMP]
-    fields += [T.StructField(c, T.StringType()) for c in FIREWALL_STRING]
-    fields += [T.StructField(c, T.StringType()) for c in (flag_columns or [])]
-    return T.StructType(fields)
+def firewall_schema() -> T.StructType:
+    """Firewall schema in file order; boolean flags are read as strings and typed on demand."""
+    kinds = {"double": T.DoubleType(), "timestamp": T.TimestampNTZType(), "string": T.StringType(), "flag": T.StringType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in FIREWALL_COLUMNS])
 
 
 # The run-log row written per timed step.

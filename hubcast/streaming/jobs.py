@@ -98,15 +98,38 @@ def run_complete_to_table(agg: DataFrame, table_path: str, checkpoint: str) -> N
     q.awaitTermination()
 
 
+HOUR_KEYS = ("cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour")
+
+
 def score_batches(stream: DataFrame, models, sink: str, checkpoint: str) -> None:
-    """X2, whole model: every micro-batch is rolled up to hub × hour and scored by
-    the fitted response models.  Each epoch overwrites its own folder
-    (``epoch=<id>``), so a retried epoch replaces rather than duplicates its
-    output; the writes are distributed ``foreachBatch`` jobs."""
+    """X2, whole model: hours are scored from every trip that has arrived for them.
+
+    An hour's trips may come in several micro-batches, so each epoch stores its
+    rows by month, rolls up and scores the months it touched from all rows
+    stored so far, and writes them below ``epoch=<id>`` (a retried epoch
+    replaces its own output).  ``latest_scores`` reads the newest version of
+    every hour.
+    """
+    arrived = f"{sink.rstrip('/')}-arrived"
+
     def write(batch: DataFrame, epoch: int) -> None:
-        scored = models.predict(models.hourly(batch))
-        scored.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
+        month = F.date_format("trip_pickup_datetime", "yyyy-MM")
+        rows = batch.withColumn("pickup_month", month).where(F.col("pickup_month").isNotNull())
+        rows.write.mode("overwrite").partitionBy("pickup_month").parquet(f"{arrived}/epoch={epoch}")
+        schema = rows.schema.add("epoch", T.IntegerType())
+        known = batch.sparkSession.read.schema(schema).parquet(arrived).where(F.col("epoch") <= epoch)
+        touched = known.where(F.col("epoch") == epoch).select("pickup_month").distinct()
+        whole = known.join(touched, "pickup_month", "left_semi").drop("pickup_month", "epoch")
+        models.predict(models.hourly(whole)).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_scores(spark, sink: str, columns: list[str]) -> DataFrame:
+    """One row per hour: ``columns`` as of the last epoch that scored it."""
+    scored = spark.read.parquet(sink)
+    rest = [c for c in columns if c not in HOUR_KEYS]
+    newest = scored.groupBy(*HOUR_KEYS).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
+    return newest.select(*[F.col(c) if c in HOUR_KEYS else F.col(f"_last.{c}") for c in columns])

@@ -36,10 +36,67 @@ def test_log_header_drift_is_normalised(spark):
     assert {r["action"]: r["runtime"] for r in out} == {"fit": 1.0, "write": 2.0}
 
 
-def test_densify_level_guard(spark):
-    df = spark.range(50).select((F.col("id") % 2).alias("a"), F.col("id").alias("b"), F.lit(1).alias("n"))
+def test_densify_keeps_null_keys(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", None, 7), (None, 1, 9)], "k string, h int, n int")
+    got = {(r["k"], r["h"]): r["n"] for r in grid.densify(df, ["k", "h"], {"n": 0}).collect()}
+    assert got == {("a", 1): 5, ("a", None): 7, (None, 1): 9, (None, None): 0}
+
+
+def test_densify_has_no_level_cap(spark):
+    df = spark.range(12_000).select((F.col("id") % 2).alias("a"), F.col("id").alias("b"), F.lit(1).alias("n"))
+    assert grid.densify(df, ["a", "b"], {"n": 0}).agg(F.sum("n")).first()[0] == 12_000
+
+
+def test_letters_and_colours_for_any_number_of_hubs(spark):
+    from hubcast.operators.hubs import decorate_centres
+    agg = spark.range(800).selectExpr("CAST(id AS INT) AS cluster", "0.0 AS center_lon", "0.0 AS center_lat", "1000 - id AS size")
+    got = {r["cluster"]: (r["taxi_hub"], r["hub_color"]) for r in decorate_centres(agg).collect()}
+    assert [got[i][0] for i in (0, 25, 26, 27, 701, 702)] == ["A", "Z", "AA", "AB", "ZZ", "AAA"] and got[9][1] == got[0][1]
+
+
+def test_percentile_methods_agree_on_nan(spark):
+    from hubcast.operators.stats import percentiles
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    got = [[r["value"] for r in percentiles(df, "x", method=m).orderBy("percentile").collect()] for m in ("distributed", "aggregate")]
+    assert got == [[1.25, 1.5, 1.75]] * 2
+
+
+def test_rank_of_large_longs(spark):
+    from hubcast.operators.clean import first_appearance_rank
+    df = spark.createDataFrame([("c", 2 ** 60 + 3), ("a", 2 ** 60 + 1), ("b", 2 ** 60 + 2)], "v string, at long")
+    assert {r["v"]: r["v_rank"] for r in first_appearance_rank(df, "v", "at").collect()} == {"a": 1, "b": 2, "c": 3}
+
+
+def test_firewall_header_is_checked(spark, tmp_path):
+    from hubcast.sources import io
+    from hubcast.sources.schemas import FIREWALL_COLUMNS, firewall_schema
+    names = [n for n, _ in FIREWALL_COLUMNS]
+    for order, ok in ((names, True), (names[::-1], False)):
+        path = tmp_path / f"{ok}.csv"
+        path.write_text(",".join(order) + "\n" + ",".join("1" if n in ("ident", "SourceIP") else "" for n in order) + "\n")
+        read = io.read_csv(spark, str(path), schema=firewall_schema(), check_header=True)
+        if ok:
+            assert len(names) == 48 and (read.first()["ident"], read.first()["SourceIP"]) == (1.0, "1")
+        else:
+            with pytest.raises(Exception):
+                read.collect()
+
+
+def test_truncated_file_is_not_lost_in_silence(spark, tmp_path):
+    import gzip
+
+    from pyspark.sql import types as T
+
+    from hubcast.sources import io
+    schema = T.StructType([T.StructField("x", T.LongType())])
+    whole = gzip.compress(("x\n" + "\n".join(str(i * 7919 % 100_003) for i in range(20_000))).encode())
+    (tmp_path / "bad.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "good.csv.gz").write_bytes(whole)
+    files = [str(tmp_path / "bad.csv.gz"), str(tmp_path / "good.csv.gz")]
     with pytest.raises(Exception):
-        grid.densify(df, ["a", "b"], max_levels=10).collect()
+        io.ingest_one_job(spark, files, str(tmp_path / "out"), schema)
+    log = io.ingest_files(spark, files, lambda f: f + ".parquet", schema)
+    assert [r.ok for r in log] == [False, True] and spark.read.parquet(files[1] + ".parquet").count() == 20_000
 
 
 def test_contingency_fills_absent_cells(spark):

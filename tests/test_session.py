@@ -16,8 +16,8 @@ def test_cut_lineage_is_a_reliable_checkpoint(spark):
     assert "LocalCheckpoint" not in out._jdf.queryExecution().toString()
 
 
-def test_spread_only_when_fewer_partitions_than_cores(spark):
-    small = spark.range(10).coalesce(1)
-    assert spread_for_iteration(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread_for_iteration(wide) is wide
+def test_spread_is_one_layout_whatever_the_input(spark):
+    from pyspark.sql import functions as F
+    def layout(df):
+        return sorted(map(tuple, spread_for_iteration(df, 7).select("id", F.spark_partition_id()).collect()))
+    assert layout(spark.range(100).coalesce(1)) == layout(spark.range(100).repartition(16))
