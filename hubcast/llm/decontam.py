@@ -12,8 +12,8 @@ single shingle and far below it for longer items.  Candidates are verified by
 exact containment of the item's distinct shingles in the whole document.
 
 A window's slot can only equal an item's if the shingle itself is in the item's
-signature, so a document's shingles are first tested against the class's
-signature values and only the hits are checked for being their bin's smallest.
+signature, so a document's shingles are first tested against all signature
+values and only the hits are checked for being their bin's smallest.
 
 The items' signatures are handed to every task; what is handed over is bounded
 by ``pass_bytes``, and a larger benchmark is searched in several passes.  There
@@ -65,7 +65,6 @@ class SizeClass:
     def __init__(self, upper: int, bins: int):
         self.upper, self.bins = upper, np.uint64(bins)
         self.slots: dict[tuple[int, int], list[int]] = defaultdict(list)
-        self.filter: np.ndarray | None = None
 
     def add(self, item: int, hashes: np.ndarray, permutations: int) -> None:
         for p in range(permutations):
@@ -74,16 +73,14 @@ class SizeClass:
             for value in h[first].tolist():
                 self.slots[p, value].append(item)
 
-    def close(self, permutations: int) -> None:
-        self.filter = np.zeros((permutations, _FILTER), bool)
-        for p, value in self.slots:
-            self.filter[p, value % _FILTER] = True
+    def candidates(self, p: int, h: np.ndarray, hits: list[int]) -> set[int]:
+        """Items with a slot equal to that of a window of the document.
 
-    def candidates(self, p: int, h: np.ndarray) -> set[int]:
-        """Items with a slot equal to that of a window of the document (h: its permuted hashes in order)."""
+        h: the document's permuted hashes in order; hits: places that may hold a signature value.
+        """
         out: set[int] = set()
         u = self.upper
-        for i in np.flatnonzero(self.filter[p][h % np.uint64(_FILTER)]).tolist():
+        for i in hits:
             items = self.slots.get((p, int(h[i])))
             if not items or out.issuperset(items):
                 continue
@@ -111,9 +108,11 @@ class ContainmentIndex:
             cls = self.classes[k].setdefault(upper, SizeClass(upper, bins_per_shingle * upper))
             cls.add(len(self.items), _hashes(sorted(parts)), permutations)
             self.items.append((item_id, k, parts))
-        for by_size in self.classes.values():
+        self.filters = {k: np.zeros((permutations, _FILTER), bool) for k in self.classes}  # values any class holds
+        for k, by_size in self.classes.items():
             for cls in by_size.values():
-                cls.close(permutations)
+                for p, value in cls.slots:
+                    self.filters[k][p, value & (_FILTER - 1)] = True
 
     def search(self, text: bytes, threshold: float) -> list[tuple[int | None, int, int]]:
         """(item_id, n_shingles, n_shared) of every item contained in the text."""
@@ -125,8 +124,9 @@ class ContainmentIndex:
             hashes, found = _hashes(parts), set()
             for p in range(self.permutations):
                 h = mix(hashes, p)
-                for cls in by_size.values():
-                    found |= cls.candidates(p, h)
+                hits = np.flatnonzero(self.filters[k][p][(h & np.uint64(_FILTER - 1)).astype(np.intp)]).tolist()
+                for cls in by_size.values() if hits else ():
+                    found |= cls.candidates(p, h, hits)
             held = set(parts) if found else ()
             for i in sorted(found):
                 item_id, _, wanted = self.items[i]
