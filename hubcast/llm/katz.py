@@ -42,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, from_planes, from_rising, groups, mix, planes, record, rising, shard_of, stage, utf8
+from .common import arrow_map, from_planes, from_rising, groups, mix, pieces, planes, record, rising, shard_of, stage, utf8
 
 K = 5
 START, END = 0, 1
-BLOCK_TOKENS = 1 << 21
-HELD_BYTES = 48 << 20
+BLOCK_TOKENS = 1 << 20
+HELD_BYTES = 32 << 20
 _ROWS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("block", pa.int64()), ("parts", pa.list_(pa.binary())), ("stats", pa.list_(pa.int64()))])
 ROWS = "kind string, shard int, block long, parts array<binary>, stats array<long>"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -106,7 +106,10 @@ def _blocks(shards: int, hot: np.ndarray):
         prev[np.r_[0, np.cumsum(sizes)[:-1]]] = START
         doc = np.repeat(np.arange(len(seqs), dtype=np.uint32), sizes)
         order = np.lexsort((prev, cur))
-        cur, prev, doc = cur[order], prev[order], doc[order]
+        cur = cur[order]
+        prev = prev[order]
+        doc = doc[order]
+        del order
         start = _runs(cur, prev)
         per = np.diff(_ends(start, len(cur))).astype(np.uint32)
         c, p = cur[start], prev[start]
@@ -130,8 +133,8 @@ def _blocks(shards: int, hot: np.ndarray):
 
     def run(batches):
         at, number = TaskContext.get().partitionId() << 24, 0
-        for batch in batches:
-            docs, learn, seqs, held = [], [], [], 0
+        docs, learn, seqs, held = [], [], [], 0
+        for batch in pieces(batches, 500):
             for doc, text, flag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 docs.append(doc)
                 learn.append(bool(flag))
@@ -140,9 +143,8 @@ def _blocks(shards: int, hot: np.ndarray):
                 if held >= BLOCK_TOKENS:
                     yield from (_batch([r]) for r in pack(at + number, docs, learn, seqs))
                     docs, learn, seqs, held, number = [], [], [], 0, number + 1
-            if docs:
-                yield from (_batch([r]) for r in pack(at + number, docs, learn, seqs))
-                number += 1
+        if docs:
+            yield from (_batch([r]) for r in pack(at + number, docs, learn, seqs))
     return run
 
 
@@ -182,15 +184,17 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         c2 = np.add.reduceat(sums[order], run)
         entry2 = np.empty(len(cur), np.int64)
         entry2[order] = np.repeat(c2, np.diff(_ends(run, len(order))))
-        word, ctx = cur[order][run], prev[order][run]
+        word, ctx = cur[order[run]], prev[order[run]]
+        del cur, prev, sums
         wrun = _runs(word)
         w = word[wrun]
         c1 = np.add.reduceat(c2, wrun)
         crowd = np.isin(w, hot)
         c1[crowd] = hot_counts[np.searchsorted(hot, w[crowd])]
         per_pair = np.repeat(c1, np.diff(_ends(wrun, len(word))))
-        entry1 = np.empty(len(cur), np.int64)
+        entry1 = np.empty(len(entry2), np.int64)
         entry1[order] = np.repeat(per_pair, np.diff(_ends(run, len(order))))
+        del order, run
         known = (c1 > 0) & ~crowd
         stats = [int(c1[known].sum()), int(known.sum()), int(c1[w == END].sum()),
                  *_histogram(c1[known], K + 1)[1:K + 2].tolist(), *_histogram(c2, K + 1)[1:K + 2].tolist()]
@@ -201,7 +205,7 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         yield _row("bigrams", shard, 0, [rising(after), planes(each.astype(np.uint32)), rising(contexts), planes(which.astype(np.uint32)), planes(c2[seen].astype(np.uint32))])
         del after, each, contexts, which
         yield from context_rows(ctx[seen], c2[seen], per_pair[seen])
-        del order, cur, prev, sums
+        del word, ctx, c2, per_pair, seen
         lo = 0
         for (block, parts), n in zip(rows, sizes, strict=True):
             _, p, per, docs, flags = _unpack(parts)
