@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -105,6 +106,15 @@ def column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).to_numpy(zero_copy_only=False)
 
 
+def release_memory() -> None:
+    """Give free memory of a reused worker back to the system after a large task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """splitmix64 finaliser over uint64."""
     x = x + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, from_planes, from_rising, groups, mix, pieces, planes, record, rising, shard_of, stage, utf8
+from .common import arrow_map, from_planes, from_rising, groups, mix, pieces, planes, record, release_memory, rising, shard_of, stage, utf8
 
 K = 5
 START, END = 0, 1
@@ -145,6 +145,8 @@ def _blocks(shards: int, hot: np.ndarray):
                     docs, learn, seqs, held, number = [], [], [], 0, number + 1
         if docs:
             yield from (_batch([r]) for r in pack(at + number, docs, learn, seqs))
+        docs, learn, seqs = [], [], []
+        release_memory()
     return run
 
 
@@ -270,6 +272,7 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
                 yield from (_batch([r]) for r in shard_rows(held, shard, pairs))
             if sum(real.nbytes + whole.nbytes for real, whole in held.values()) > HELD_BYTES:
                 yield from told(held)
+            release_memory()
         yield from told(held)
     return run
 
