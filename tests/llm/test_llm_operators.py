@@ -226,10 +226,21 @@ def test_tokenizer_equals_whole_text_encoding():
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(packing.default_tokenizer())
     plain.encode_special_tokens = True
-    texts = [r[1] or "" for r in _rows()] + ["a  b", " a", "a ", "x \ny", "x\n y", "tab\tx", "a.,b", "don't 12.5%\nNew", "\n", "a b c", "éa, b.", "<|endoftext|> a", "ª. ²,"]
-    tok = packing.CachedTokenizer(packing.default_tokenizer(), cached=50)
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in tok.ids(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [r[1] or "" for r in _rows()] + ["a  b", " a", "a ", "x \ny", "x\n y", "tab\tx", "a.,b", "don't 12.5%\nNew", "\n", "a b c", "éa, b.", "<|endoftext|> a", "ª. ²,"]
+    texts += [f"a{chr(c)}1{chr(c)} {chr(c)}!{chr(c)} {chr(c)} b" for c in range(0, 0x20000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [" " * 1_100_000 + "b", "a" * 200_000, "\n" * 60_000]
+    assert packing.rank_form(packing.default_tokenizer())
+    tok = packing.RankTokenizer(packing.default_tokenizer())
+    assert [np.frombuffer(tok.ids(t), "<u4").tolist() for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_vocabularies_without_a_rank_form_go_through_their_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.rank_form(path) is None
+    plain = Tokenizer.from_file(path)
+    assert np.frombuffer(packing.RankTokenizer(path).ids("Some words, twice"), "<u4").tolist() == plain.encode("Some words, twice", add_special_tokens=False).ids
 
 
 def test_packing(docs, none):
