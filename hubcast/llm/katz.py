@@ -379,7 +379,7 @@ class KatzModel:
         self.tables, self.contexts, self.scores, self.constants = tables, contexts, scores, constants
 
 
-def katz(docs: DataFrame, learn: Column, shard_tokens: int = 3 << 20, bytes_per_token: float = 6.5) -> KatzModel:
+def katz(docs: DataFrame, learn: Column, shard_tokens: int = 2 << 20, bytes_per_token: float = 6.5) -> KatzModel:
     """Train on the rows where ``learn`` (a condition on doc_id) holds and score every row."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
