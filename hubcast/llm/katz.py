@@ -208,11 +208,13 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         del after, each, contexts, which
         yield from context_rows(ctx[seen], c2[seen], per_pair[seen])
         del word, ctx, c2, per_pair, seen
-        lo = 0
+        lo, asks = 0, []
         for (block, parts), n in zip(rows, sizes, strict=True):
             _, p, per, docs, flags = _unpack(parts)
-            yield from document_rows(held, block, p, per, from_planes(docs, np.uint32), len(flags), entry1[lo:lo + n], entry2[lo:lo + n])
+            asks.append(document_share(held, block, p, per, from_planes(docs, np.uint32), len(flags), entry1[lo:lo + n], entry2[lo:lo + n]))
             lo += n
+        del entry1, entry2
+        yield from unseen_rows(np.array([block for block, _ in rows], np.int64), asks)
 
     def context_rows(ctx, c2, c1):
         order = np.argsort(ctx)
@@ -230,7 +232,8 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
             yield _row("sums", shard[lo], 0, [rising(h[lo:hi]), planes(np.concatenate([x[lo:hi] for x in cols]).astype(np.uint32)),
                                               planes(np.concatenate([x[lo:hi] for x in large]).astype(np.int64))])
 
-    def document_rows(held, block, p, per, docs, n_docs, e1, e2):
+    def document_share(held, block, p, per, docs, n_docs, e1, e2):
+        """Adds a block's share to ``held``; the contexts of its unseen bigrams, sorted, and their documents."""
         c1, c2 = np.repeat(e1, per), np.repeat(e2, per)
 
         def add(keep, weights=None):
@@ -244,15 +247,22 @@ def _count(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
         kept = held.get(block)
         held[block] = share if kept is None else (kept[0] + share[0], kept[1] + share[1])
         ask = np.flatnonzero(np.repeat(e2 == 0, per))
-        if len(ask):
-            h, d = np.repeat(p, per)[ask], docs[ask]
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            shard = shard_of(h, shards)
-            cuts = _runs(shard)
-            for lo, hi in zip(cuts, _ends(cuts, len(h))[1:], strict=True):
-                run = _runs(h[lo:hi])
-                yield _row("unseen", shard[lo], block, [rising(h[lo:hi][run]), planes(np.diff(_ends(run, hi - lo)).astype(np.uint32)), planes(d[lo:hi])])
+        h, d = np.repeat(p, per)[ask], docs[ask]
+        order = np.argsort(h, kind="stable")
+        return h[order], d[order]
+
+    def unseen_rows(blocks, asks):
+        """The unseen bigrams of a word shard, one row per context shard: by block, then by context."""
+        h, d = (np.concatenate(x) for x in zip(*asks, strict=True))
+        at = np.repeat(np.arange(len(asks)), [len(x) for x, _ in asks])
+        shard = shard_of(h, shards)
+        order = np.argsort(shard, kind="stable")
+        h, d, at, shard = h[order], d[order], at[order], shard[order]
+        cuts = _runs(shard)
+        for lo, hi in zip(cuts, _ends(cuts, len(h))[1:], strict=True):
+            run, block = _runs(at[lo:hi], h[lo:hi]), _runs(at[lo:hi])
+            yield _row("unseen", shard[lo], 0, [rising(h[lo:hi][run]), planes(np.diff(_ends(run, hi - lo)).astype(np.uint32)), planes(d[lo:hi]),
+                                                planes(blocks[at[lo:hi][block]]), planes(np.diff(_ends(block, hi - lo)).astype(np.uint32))])
 
     def told(held):
         """Documents' shares added up over the shards of a task so far; only documents that have one."""
@@ -293,24 +303,43 @@ def _contexts(d1: list[float], d2: list[float], total: int):
         lower = 1 - (large[1] + (np.array(d1) * ranks) @ small[K:]) / (total + 1)
         return h[order][run], c, left / lower
 
+    def answers(held):
+        """What contexts add to documents, one row per block."""
+        block, doc, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((doc, block))
+        run = _runs(block[order], doc[order])
+        value = np.add.reduceat(value[order], run)
+        block, doc = block[order][run], doc[order][run].astype(np.uint64)
+        cuts = _runs(block)
+        for lo, hi in zip(cuts, _ends(cuts, len(block))[1:], strict=True):
+            yield _batch([_row("answers", 0, block[lo], [rising(doc[lo:hi]), planes(value[lo:hi])])])
+
     def run(batches):
         for shard, table in groups(batches, "shard"):
-            rows = list(zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("parts").to_pylist(), strict=True))
-            sums = [parts for kind, _, parts in rows if kind == "sums"]
+            rows = list(zip(table.column("kind").to_pylist(), table.column("parts").to_pylist(), strict=True))
+            sums = [parts for kind, parts in rows if kind == "sums"]
             h, c, a = table_of(sums) if sums else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0))
             if sums:
                 yield _batch([_row("contexts", shard, 0, [rising(h), planes(c), planes(a)])])
             worth = np.log10(a) + np.log10(c + 1)
-            for kind, block, parts in rows:
+            held, size = [], 0
+            for kind, parts in rows:
                 if kind != "unseen":
                     continue
-                asked = from_rising(parts[0])
+                asked, docs = from_rising(parts[0]), from_planes(parts[2], np.uint32)
                 at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
                 value = np.where(h[at] == asked, worth[at], 0.0) if len(h) else np.zeros(len(asked))
-                docs = from_planes(parts[2], np.uint32)
-                total_of = np.bincount(docs, np.repeat(value, from_planes(parts[1], np.uint32)))
-                at = np.flatnonzero(total_of)
-                yield _batch([_row("answers", 0, block, [rising(at.astype(np.uint64)), planes(total_of[at])])])
+                value = np.repeat(value, from_planes(parts[1], np.uint32))
+                block = np.repeat(from_planes(parts[3], np.int64), from_planes(parts[4], np.uint32))
+                told = value != 0
+                held.append((block[told], docs[told], value[told]))
+                size += sum(x.nbytes for x in held[-1])
+                if size > HELD_BYTES:
+                    yield from answers(held)
+                    held, size = [], 0
+            if size:
+                yield from answers(held)
+            release_memory()
     return run
 
 
