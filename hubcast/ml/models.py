@@ -144,19 +144,17 @@ def string_index(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
                          stringOrderType="frequencyDesc").fit(df).transform(df)
 
 
-def bisecting_kmeans(df: DataFrame, columns: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """Bisecting k-means assignments."""
-    a = assemble(df, columns)
-    return BisectingKMeans(k=k, seed=seed, featuresCol="features",
-                           predictionCol="cluster").fit(a).transform(a)
+def bisecting_kmeans(df: DataFrame, features: str = "features", k: int = 5, seed: int = 42):
+    """Fitted bisecting k-means over a vector column."""
+    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df)
 
 
 def cross_validated_lm(df: DataFrame, y: str, x: list[str], reg_params=(0.0, 0.1), folds: int = 3,
-                       seed: int = 42):
+                       seed: int = 42, assembled: str = "features"):
     """K-fold cross-validation of a linear model over a parameter grid."""
-    lr = LinearRegression(featuresCol="features", labelCol=y)
+    lr = LinearRegression(featuresCol=assembled, labelCol=y)
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[VectorAssembler(inputCols=x, outputCol="features"), lr]),
+    cv = CrossValidator(estimator=Pipeline(stages=[VectorAssembler(inputCols=x, outputCol=assembled), lr]),
                         estimatorParamMaps=grid, numFolds=folds, seed=seed,
                         evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"))
     return cv.fit(df)

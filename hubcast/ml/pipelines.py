@@ -208,6 +208,23 @@ def cluster_summary(models: FittedModels, trips: DataFrame) -> DataFrame:
     return centres.join(sizes, "cluster", "left").fillna(0, subset=["size"])
 
 
+def response_pipeline(response: str, params: KMeansParams = KMeansParams()) -> Pipeline:
+    """K7: the whole unfitted pipeline of one response, raw trips in (clean → cluster → rollup → encode → regress)."""
+    return Pipeline(stages=[*cluster_pipeline(params).getStages(), rollup_transformer(),
+                            *regression_pipeline(response).getStages()])
+
+
+def save_pipelines(path: str, responses) -> None:
+    """K7: save the unfitted pipeline of every response (overwrite)."""
+    for r in responses:
+        response_pipeline(r).write().overwrite().save(f"{path}/pipeline_{r}")
+
+
+def load_pipelines(path: str, responses) -> dict[str, Pipeline]:
+    """K7: load the pipelines saved by :func:`save_pipelines`, ready to fit."""
+    return {r: Pipeline.load(f"{path}/pipeline_{r}") for r in responses}
+
+
 def save_models(models: FittedModels, path: str) -> None:
     """K7: save the fitted stages (overwrite)."""
     models.cluster.write().overwrite().save(f"{path}/cluster")

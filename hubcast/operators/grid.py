@@ -111,3 +111,19 @@ def url_manifest(df: DataFrame, ts: str = "trip_pickup_datetime", base_url: str
     fname = F.concat_ws("-", "year", F.concat(F.col("month"), F.lit(".csv")))
     return months.select("year", "month", fname.alias("filename"),
                          F.concat_ws("_", F.lit(base_url), fname).alias("url"))
+
+
+def url_calendar(df: DataFrame, ts: str = "trip_pickup_datetime", base_url: str = TRIP_FILE_URL,
+                 first_year: int | None = None, last_year: int | None = None) -> DataFrame:
+    """File name and URL of every month from ``first_year`` to ``last_year``
+    (those of the data where not given), so files not yet loaded can be named;
+    ``seen`` tells whether the data hold the month.  One row per year is exploded."""
+    year = F.year(ts)
+    span = df.agg(F.coalesce(F.lit(first_year), F.min(year)).alias("a"), F.coalesce(F.lit(last_year), F.max(year)).alias("b"))
+    months = (span.where("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("y"))
+              .select(F.col("y").cast("string").alias("year"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m"))
+              .select("year", F.lpad(F.col("m").cast("string"), 2, "0").alias("month")))
+    fname = F.concat_ws("-", "year", F.concat(F.col("month"), F.lit(".csv")))
+    seen = url_manifest(df, ts, base_url).select("year", "month", F.lit(True).alias("seen"))
+    return (months.select("year", "month", fname.alias("filename"), F.concat_ws("_", F.lit(base_url), fname).alias("url"))
+            .join(seen, ["year", "month"], "left").withColumn("seen", F.coalesce("seen", F.lit(False))))

@@ -1,11 +1,10 @@
-"""Joins: N-way reduce join (J3) and a size-checked broadcast."""
+"""Joins: N-way reduce join."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def reduce_left_join(frames: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -14,16 +13,6 @@ def reduce_left_join(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     Each join is planned by Catalyst; AQE turns a join into a broadcast only when
     the measured side is below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.
     When the inputs are aggregates of one table, computing all measures in a
-    single ``agg`` avoids the joins altogether (see ``plans.reports``).
+    single ``agg`` avoids the joins altogether.
     """
     return reduce(lambda a, b: a.join(b, on=keys, how="left"), frames)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only when the row count is proven below ``max_rows``.
-
-    The count runs one cheap job (partial counts per task); above the bound the
-    frame is returned unchanged and Catalyst plans a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubcast.operators.clean import where_matches
 from hubcast.sources.schemas import RUNLOG_SCHEMA
 
 # Older header names and the canonical name they map to.
@@ -45,8 +46,10 @@ def stack_logs(logs: list[DataFrame]) -> DataFrame:
 
 
 def latest_matching(df: DataFrame, column: str, pattern: str, order: str = "timestamp") -> DataFrame:
-    """O3: the latest row whose ``column`` matches ``pattern`` (top-1, no full sort)."""
-    return df.where(F.col(column).rlike(pattern)).orderBy(F.desc(order)).limit(1)
+    """O3: the latest row whose ``column`` matches ``pattern`` (top-1, no full sort);
+    ties go to the largest values of the other columns, in order."""
+    others = [F.desc(c) for c in df.columns if c != order]
+    return where_matches(df, column, pattern).orderBy(F.desc(order), *others).limit(1)
 
 
 def runtime_totals(df: DataFrame, keys=("run_env", "run_ram", "action"),

@@ -16,6 +16,7 @@ from hubcast.functions.text import (basename_sans_ext, dollar, format_bytes_gb,
                                     remove_all, replace_first, split_to_columns, template)
 from hubcast.operators import clean, grid, hubs, joins, rollup, runlog, sampling, stats
 from hubcast.plans.flagship import clean_hub_trips, hourly_hub_rates
+from hubcast.session import cut_lineage
 from hubcast.sources import fixtures as fx
 
 
@@ -265,7 +266,8 @@ def all_queries() -> dict:
 
 def q_table_counts(spark, sf):
     """Row count of every driver table used by the library, one row each."""
-    names = ["lineitem", "orders", "customer", "part", "supplier", "nation", "region", "events", "embeddings"]
+    names = ["lineitem", "orders", "customer", "part", "supplier", "nation", "region", "events", "embeddings",
+             "documents", "pages", "benchmark", "labels", "conversations"]
     parts = [rollup.row_count(fx.table(spark, sf, n)).select(F.lit(n).alias("table_name"), "n") for n in names]
     return runlog.stack_logs(parts)
 
@@ -278,12 +280,39 @@ def q_hub_weekday_wide(spark, sf):
 
 
 def q_hub_share_broadcast(spark, sf):
-    """Hub counts joined to hub centres, broadcast only after the centres'
-    row count is proven small."""
+    """Counts per hub and payment type joined to the hubs' letters and shares.
+    One aggregate of the trips, kept as a checkpoint, gives both sides; AQE
+    broadcasts a side once it has measured it."""
     t = hubs.assign_hubs(_clean(spark, sf))
-    centres = hubs.hub_centres(t).select("cluster", "taxi_hub", "hub_pct")
-    counts = rollup.frequency(t, "cluster", "payment_type", sort=False)
-    return rounded(counts.join(joins.broadcast_if_small(centres, 1000), "cluster", "left"))
+    counts = cut_lineage(t.groupBy("cluster", "payment_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start_lon").alias("lon"), F.sum("start_lat").alias("lat")))
+    centres = hubs.decorate_centres(counts.groupBy("cluster").agg(
+        (F.sum("lon") / F.sum("n")).alias("center_lon"), (F.sum("lat") / F.sum("n")).alias("center_lat"),
+        F.sum("n").alias("size")))
+    return rounded(counts.select("cluster", "payment_type", "n").join(
+        centres.select("cluster", "taxi_hub", "hub_pct"), "cluster", "left"))
+
+
+def q_url_calendar(spark, sf):
+    """Every month of the years the trips span, whether seen or not."""
+    return grid.url_calendar(fx.trips(spark, sf))
+
+
+def q_runlog_env_totals(spark, sf):
+    """Run times by environment, memory, rows and stage."""
+    return rounded(runlog.runtime_totals(fx.runlog_full(spark, sf), keys=("run_env", "run_ram", "n_row", "action")))
+
+
+def q_weekday_hour_rates(spark, sf):
+    """A2 + A3 without months: the table the seven-response grid is built on."""
+    keys = ("cluster", "pickup_nday", "pickup_wday", "pickup_hour")
+    return rounded(rollup.unit_rates(rollup.hourly_rollup(_cal(spark, sf), keys)))
+
+
+def q_first_seen_rank(spark, sf):
+    """Levels in order of first appearance, by keys beyond a double's precision."""
+    t = fx.trips(spark, sf).select((F.col("trip_id") % 1009).alias("level"), (F.col("trip_id") + F.lit(1 << 60)).alias("seen"))
+    return clean.first_appearance_rank(t, "level", "seen").select("level", F.col("level_rank").cast("long"))
 
 
 def q_earliest_trip(spark, sf):

@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
                    "CAST(CASE WHEN Action = 'Denied' THEN 1 ELSE 0 END AS INTEGER) AS denied FROM firewall WHERE Action = 'Denied'",
     "runlog_union": f"WITH {RUNLOGS} SELECT action, runtime, \"timestamp\", n_row, filesize FROM logs",
     "runlog_latest": f"WITH {RUNLOGS} SELECT action, runtime, \"timestamp\", n_row, filesize FROM logs "
-                     "WHERE regexp_matches(action, 'Model:') ORDER BY \"timestamp\" DESC LIMIT 1",
+                     "WHERE regexp_matches(action, 'Model:') ORDER BY \"timestamp\" DESC, action DESC, runtime DESC, n_row DESC, filesize DESC LIMIT 1",
     "runlog_totals": f"WITH {RUNLOGS} SELECT action, strftime(\"timestamp\", '%Y-%m') AS run_month, "
                      f"{R('sum(runtime)')} AS total_runtime, count(*) AS steps FROM logs GROUP BY ALL",
     "hash_split_counts": f"WITH {TRIPS}, {CLEAN} SELECT {SPLIT} AS part, count(*) AS n FROM clean GROUP BY ALL",
@@ -302,21 +302,22 @@ ORACLES.update({
     "stream_model_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
     "dev_sample_check": "SELECT TRUE AS within_cap, CAST(0 AS BIGINT) AS missing, TRUE AS cap_reached",
     "random_split_check": "SELECT TRUE AS parts_sum_to_whole, CAST(0 AS BIGINT) AS overlap",
-    "kmeans_check": "SELECT CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok, CAST(5 AS BIGINT) AS k_found",
+    "kmeans_check": "SELECT TRUE AS centres_ok, CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok, CAST(5 AS BIGINT) AS k_found",
     "linreg_check": "SELECT TRUE AS rides_residuals_ok, TRUE AS fpm_residuals_ok, TRUE AS stagewise_equal, TRUE AS slots_ok",
     "glm_check": "SELECT TRUE AS wls_ok, TRUE AS gaussian_ok, TRUE AS poisson_ok, TRUE AS tweedie_ok, TRUE AS gamma_ok",
     "tree_check": "SELECT TRUE AS gbt_ok, TRUE AS tree_ok",
     "forest_check": "SELECT TRUE AS probs_sum_to_1, CAST(0 AS BIGINT) AS argmax_mismatch, TRUE AS importances_sum_to_1",
     "model_reload_check": "SELECT CAST(0 AS BIGINT) AS mismatches, TRUE AS sizes_equal",
     "scaler_check": "SELECT TRUE AS scaler_ok, TRUE AS binarizer_ok, TRUE AS normalizer_ok, TRUE AS indexer_ok",
-    "embedding_clusters_check": "SELECT TRUE AS sizes_ok, TRUE AS k_ok, TRUE AS cv_ok",
+    "embedding_clusters_check": "SELECT TRUE AS sizes_ok, TRUE AS k_ok, TRUE AS cost_ok, TRUE AS cv_ok",
 })
 
 
 ORACLES.update({
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in
                                        ["lineitem", "orders", "customer", "part", "supplier", "nation", "region",
-                                        "events", "embeddings"]),
+                                        "events", "embeddings", "documents", "pages", "benchmark", "labels",
+                                        "conversations"]),
     "hub_weekday_wide": f"{WITH_CAL} SELECT cluster, " + ", ".join(
         f"count(*) FILTER (WHERE pickup_wday = '{d}') AS {d}" for d in ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"])
         + " FROM cal GROUP BY cluster",
@@ -377,3 +378,26 @@ ORACLES.update({
 })
 
 ORACLES.update({"density_cap_check": "SELECT TRUE AS size_ok, CAST(0 AS BIGINT) AS foreign_cells, TRUE AS distinct_cells"})
+
+ORACLES.update({
+    "url_calendar": f"WITH {TRIPS}, seen AS (SELECT DISTINCT year(trip_pickup_datetime) AS y, month(trip_pickup_datetime) AS m FROM trips "
+                    "WHERE trip_pickup_datetime IS NOT NULL), grid AS (SELECT y, m FROM (SELECT unnest(range(min(y), max(y) + 1)) AS y FROM seen) ys, "
+                    "(SELECT unnest(range(1, 13)) AS m) ms), named AS (SELECT y, m, CAST(y AS VARCHAR) AS year, lpad(CAST(m AS VARCHAR), 2, '0') AS month FROM grid) "
+                    "SELECT year, month, year || '-' || month || '.csv' AS filename, "
+                    "'https://s3.amazonaws.com/nyc-tlc/trip+data/yellow_tripdata_' || year || '-' || month || '.csv' AS url, "
+                    "EXISTS (SELECT 1 FROM seen s WHERE s.y = n.y AND s.m = n.m) AS seen FROM named n",
+    "runlog_env_totals": "SELECT CASE WHEN user_id % 2 = 0 THEN 'server' ELSE 'laptop' END AS run_env, "
+                         "CASE WHEN event_id % 3 = 0 THEN '10G' ELSE '1G' END AS run_ram, CAST(event_id % 5 * 10000 AS DOUBLE) AS n_row, "
+                         "CASE event_type WHEN 'view' THEN 'Model: Fit' WHEN 'click' THEN 'Write: file' ELSE 'Load: file' END AS action, "
+                         f"{R('sum(value)')} AS total_runtime, count(*) AS steps FROM events GROUP BY 1, 2, 3, 4",
+    "weekday_hour_rates": f"{WITH_CAL}, w AS (SELECT cluster, pickup_nday, pickup_wday, pickup_hour, count(*) AS rides, "
+                          "sum(passenger_count) AS passengers, sum(trip_distance) AS distance, sum(fare_amt) AS fare, sum(tip_amt) AS tip "
+                          "FROM cal GROUP BY ALL) SELECT cluster, pickup_nday, pickup_wday, pickup_hour, rides, "
+                          + ", ".join(f"{R(c)} AS {c}" for c in ("passengers", "distance", "fare", "tip")) + ", "
+                          + ", ".join(f"{R(f'{a} / {b}')} AS {n}" for n, a, b in (
+                              ("ppr", "passengers", "rides"), ("dpr", "distance", "rides"), ("fpr", "fare", "rides"),
+                              ("tpr", "tip", "rides"), ("fpm", "fare", "distance"), ("tpm", "tip", "distance"))) + " FROM w",
+    "first_seen_rank": f"WITH {TRIPS}, l AS (SELECT trip_id % 1009 AS level, min(trip_id) AS seen FROM trips GROUP BY 1) "
+                       "SELECT level, row_number() OVER (ORDER BY seen, level) AS level_rank FROM l",
+    "pipeline_refit_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
+})

@@ -127,8 +127,11 @@ def q_checkpoint_roundtrip(spark, sf):
 
 def q_persisted_distinct(spark, sf):
     """K5 + A24: cached, registered table queried by name."""
-    io.persist_as(plausible_trips(fx.trips(spark, sf)), "trips_clean")
-    return distinct_rows(spark.table("trips_clean"), "vendor_name", "passenger_count")
+    columns = ["vendor_name", "passenger_count"]
+    cached = io.persist_as(plausible_trips(fx.trips(spark, sf)).select(*columns), "trips_clean")
+    out = cut_lineage(distinct_rows(spark.table("trips_clean"), *columns))
+    cached.unpersist()
+    return out
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}

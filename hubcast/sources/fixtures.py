@@ -89,3 +89,11 @@ def runlog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "events").where("event_type = 'click'")
             .selectExpr("'Write: file' AS action", "value AS runtime",
                         "ts AS timestamp", "CAST(event_id AS DOUBLE) AS filesize"))
+
+
+def runlog_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run log with environment and memory, one step per event."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "CASE event_type WHEN 'view' THEN 'Model: Fit' WHEN 'click' THEN 'Write: file' ELSE 'Load: file' END AS action",
+        "value AS runtime", "ts AS timestamp", "CASE WHEN user_id % 2 = 0 THEN 'server' ELSE 'laptop' END AS run_env",
+        "CASE WHEN event_id % 3 = 0 THEN '10G' ELSE '1G' END AS run_ram", "CAST(event_id % 5 * 10000 AS DOUBLE) AS n_row")

@@ -10,7 +10,7 @@ ORACLES = entry.oracle_sql()
 SLOW = {"model_reload_check", "linreg_check", "stream_model_check", "glm_check", "tree_check",
         "forest_check", "embedding_clusters_check", "scaler_check", "kmeans_check",
         "firewall_kmeans_check", "logistic_check", "stream_batch_scores_check", "model_summaries_check",
-        "grid_predictions_check"}
+        "grid_predictions_check", "pipeline_refit_check"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in ORACLES if n not in SLOW))
