@@ -105,8 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, docs_per_class: int
     """Fit on the labelled rows where ``learn`` (a condition on doc_id) holds."""
     marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = marks.withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_class).select("doc_id", "label")
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # first within parts of a class, so that no task reads a whole class; then among what the parts keep
+    part = Window.partitionBy("label", F.pmod(F.xxhash64("doc_id"), F.lit(256))).orderBy(*by_hash)
+    few = marks.withColumn("at", F.row_number().over(part)).where(F.col("at") <= docs_per_class).drop("at")
+    order = Window.partitionBy("label").orderBy(*by_hash)
+    picked = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_class).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(picked), "doc_id")
     rows = arrow_map(texts.select("doc_id", "label", "text"), _extract, "doc_id long, label int, features binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
