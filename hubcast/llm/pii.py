@@ -45,6 +45,8 @@ FORMATS = {
 }
 _TOKEN = r"[^\x20\x09-\x0D]+"
 _SPANS = "array<struct<k:int,s:bigint,e:bigint,left:string,value:string>>"
+#: Supported patterns up to this number are handed to all tasks (fixed value).
+_SHORT_LIST = 500_000
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 
@@ -102,12 +104,18 @@ def _patterns(left: Column) -> Column:
 
 
 def _background(docs: DataFrame, supported: DataFrame) -> DataFrame:
-    """(pattern, seen): occurrences of the supported patterns in documents holding anything identifier-like."""
+    """(pattern, seen): occurrences of the supported patterns in all documents.
+
+    A short list is handed to all tasks, so only its patterns are counted; beside a
+    longer one all words and pairs are, each task adding up its own before any exchange.
+    """
     words = F.split(F.regexp_replace(F.lower("text"), "[0-9]", "0"), r"[\x20\x09-\x0D]+")
-    w = docs.where(F.col("text").rlike("[0-9@]")).select(words.alias("w"))
+    w = docs.select(words.alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
     said = w.select(F.explode(F.concat("w", F.slice(pairs, 1, F.greatest(F.size("w") - 1, F.lit(0))))).alias("pattern"))
-    return said.join(supported, "pattern").groupBy("pattern").agg(F.count("*").alias("seen"))
+    if supported.count() <= _SHORT_LIST:
+        return said.join(F.broadcast(supported), "pattern").groupBy("pattern").agg(F.count("*").alias("seen"))
+    return said.groupBy("pattern").agg(F.count("*").alias("seen")).join(supported, "pattern")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, min_support: int = 5, min_pattern: float = 0.5, min_instance: float = 0.5) -> DataFrame:

@@ -164,6 +164,15 @@ def test_pii_patterns_discover_unseen(spark):
     assert [(x["k"], x["s"], x["e"]) for x in got[100]] == [(3, 22, 38)] and not got[101] and not got[102]
 
 
+@pytest.mark.parametrize("short_list", [0, 500_000])
+def test_pii_patterns_are_scored_over_all_documents(spark, monkeypatch, short_list):
+    monkeypatch.setattr(pii, "_SHORT_LIST", short_list)
+    rows = [(i, f"we saw u{i}@example.org there") for i in range(20)] + [(100, "we saw item-12345x there")]
+    added = lambda r: {x["doc_id"]: x["added"] for x in pii.find_personal_data(spark.createDataFrame(r, "doc_id long, text string")).collect()}[100]
+    assert [(x["k"], x["s"], x["e"]) for x in added(rows)] == [(0, 7, 18)]
+    assert added(rows + [(200 + i, "we saw the house") for i in range(100)]) == []
+
+
 def _fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
     grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
