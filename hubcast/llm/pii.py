@@ -3,8 +3,10 @@
 *Seeds* are what four formats recognise for certain: e-mail and IP addresses,
 card numbers (Luhn) and phone numbers.  Their left contexts (one and two words)
 are the lexical *patterns*; *instances* are the seeds and all other
-identifier-like tokens (with a digit or an ``@``).  Patterns and instances form
-a graph that is scored in rounds:
+identifier-like tokens (with a digit or an ``@``), where groups of digits or
+capitals joined by single blanks, dots, hyphens or brackets, as the seeds'
+formats join them, make one instance.  Patterns and instances form a graph that
+is scored in rounds:
 
 * a pattern's score for a kind is the weight of its instances of that kind over
   all its occurrences, whatever followed (so a common word, which identifiers
@@ -21,9 +23,10 @@ in code points.
 
 Defined cases: null and empty texts have no spans; a failing match (Luhn, a part
 over 255, too few digits) is dropped without retrying; spans of one kind never
-overlap; added tokens never overlap a base span; repeated rows are returned
-each; null doc_ids pass through; extra columns are ignored; an empty table
-gives an empty result.  The formats run in linear time on long runs of digits
+overlap; added tokens never overlap a base span (single tokens beside it stand
+in for a run of groups that would); repeated rows are returned each; null
+doc_ids pass through; extra columns are ignored; an empty table gives an empty
+result.  The formats run in linear time on long runs of digits
 or letters (possessive quantifiers, starts of runs only).
 """
 
@@ -44,6 +47,18 @@ FORMATS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _TOKEN = r"[^\x20\x09-\x0D]+"
+#: A single identifier-like token: six characters or more with a digit or an @, less quotes, brackets and closing marks.
+_START = r"""(?<![^\x20\x09-\x0D"'(\[=:])"""
+_SINGLE = _START + r"""(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D"'()\[\]=:,;]{5,}[^\x20\x09-\x0D"'()\[\]=:,;.!?]"""
+#: Two to nine groups of up to eight digits or capitals (one digit at least), joined by a blank, dot, hyphen or brackets,
+#: six characters or more in all; a group after a blank has two or more.  The last one ends where a single token ends.
+_GROUP = r"(?=[A-Z]{0,7}[0-9])[0-9A-Z]{1,8}+"
+_JOIN = rf"(?:[.-]|\x20(?=[0-9A-Z]{{2}})|[\x20.-]?\({_GROUP}\)[\x20.-]?)"
+_END = r"""(?=[.!?]*+(?:[\x20\x09-\x0D"'()\[\]=:,;]|\z))"""
+_LAST = rf"{_END}(?!{_JOIN}{_GROUP})"
+_GROUPED = (rf"{_START}\+?(?:(?![0-9A-Z\x20().-]{{3,5}}{_LAST}){_GROUP}{_JOIN}|"
+            rf"(?!\((?:[0-9A-Z]\)(?:[\x20.-]?[0-9A-Z]|[0-9A-Z]{{2}})|[0-9A-Z]{{2}}\)[0-9A-Z]){_LAST})\({_GROUP}\)[\x20.-]?)"
+            rf"{_GROUP}(?:{_JOIN}{_GROUP}){{0,7}}{_END}")
 _SPANS = "array<struct<k:int,s:bigint,e:bigint,left:string,value:string>>"
 #: Supported patterns up to this number are handed to all tasks (fixed value).
 _SHORT_LIST = 500_000
@@ -128,11 +143,16 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_support: int = 5, m
     maybe = {"email": t.contains("@"), "ip": F.col("digits"), "card": F.col("digits"), "phone": t.contains("+")}
     flagged = base.withColumn("digits", t.rlike("[0-9]"))
     found = F.concat(*[F.filter(_places(t, FORMATS[k], i, maybe[k]), _is_valid(k)) for i, k in enumerate(KINDS)])
-    # Identifier-like: at least six characters with a digit or an @, less quotes, brackets and closing marks.
-    shape = r"""(?<![^\x20\x09-\x0D"'(\[=:])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D"'()\[\]=:,;]{5,}[^\x20\x09-\x0D"'()\[\]=:,;.!?]"""
-    tokens = F.filter(_places(t, shape, -1, F.col("digits") | t.contains("@")), lambda x: x["value"].rlike("[0-9@]"))
-    spans = stage(flagged.select("row", "doc_id", found.alias("base"), tokens.alias("tokens")), "pii-spans")
-    free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    identifier = F.col("digits") | t.contains("@")
+    single = F.filter(_places(t, _SINGLE, -1, identifier), lambda x: x["value"].rlike("[0-9@]"))
+    runs = F.filter(_places(t, f"{_GROUPED}|{_SINGLE}", -1, identifier), lambda x: x["value"].rlike("[0-9@]") & (F.length(x["value"]) >= 6))
+    spans = stage(flagged.select("row", "doc_id", found.alias("base"), single.alias("single"), runs.alias("runs")), "pii-spans")
+
+    def meets(others, x):
+        return F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    # where a run meets a base span, its single tokens beside the span stand in for it
+    spans = spans.withColumn("lost", F.filter("runs", lambda x: meets("base", x)))
+    free = F.concat(F.filter("runs", lambda x: ~meets("base", x)), F.filter("single", lambda x: meets("lost", x) & ~meets("base", x)))
     seeds = spans.select("row", F.explode("base").alias("x"))
     others = spans.select("row", F.explode(free).alias("x"))
     met = seeds.unionByName(others).select("row", "x.k", "x.s", "x.e", F.lower("x.value").alias("instance"), F.explode(_patterns(F.col("x.left"))).alias("pattern"))

@@ -173,6 +173,18 @@ def test_pii_patterns_are_scored_over_all_documents(spark, monkeypatch, short_li
     assert added(rows + [(200 + i, "we saw the house") for i in range(100)]) == []
 
 
+def test_pii_grouped_instances(spark):
+    phones = [f"please call phone: +1 (414) 555-{1000 + i} today" for i in range(10)]
+    cards = ["4111 1111 1111 1111", "4242-4242-4242-4242", "5555 5555 5555 4444", "4012 8888 8888 1881", "4000 0566 5566 5556"]
+    new = {100: ("phone: ", "(414) 555-7134", " today", 3), 101: ("phone: ", "414 555 7134", ".", 3), 102: ("my card ", "4111 1111 1111", ", it is", 2),
+           103: ("phone: ", "414-555-66-x9", " or", 3), 104: ("phone: ", "4145557134", " 4145557135x", 3)}
+    rows = list(enumerate(phones + [f"my card {c}, it is" for c in cards])) + [(i, a + v + z) for i, (a, v, z, _) in new.items()]
+    rows += [(105, "1.2.3.4 414 555 7134 x"), (106, "a 12 34 b"), (107, "22 " * 5000 + "22-x")]
+    got = {r["doc_id"]: [(x["k"], x["s"], x["e"]) for x in r["added"]] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in new} == {i: [(k, len(a), len(a + v))] for i, (a, v, _, k) in new.items()}
+    assert not got[105] and not got[106] and not got[107]
+
+
 def _fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text.translate({c: c + 32 for c in range(65, 91)}))
     grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
