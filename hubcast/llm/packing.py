@@ -9,7 +9,8 @@ joining the plan on (length, rank).  Ranks within a length are made from counts
 per (length, salt), so a length shared by a third of all documents is ranked in
 many tasks.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are
+Defined cases: a null or empty text is the end token alone; an added token of the
+vocabulary written out in a text is that token; repeated rows are
 packed each; ties in length are ranked by (salt, doc_id, piece); a null doc_id
 is packed like any other; extra columns are ignored; an empty table gives an
 empty result.
@@ -80,10 +81,14 @@ def rank_form(path: str) -> dict[bytes, int] | None:
 class RankTokenizer:
     """Token ids (little-endian unsigned 32-bit) of whole texts, as ``tokenizers`` gives them.
 
+    With ``added_tokens`` (as ``pack_documents`` asks for) the tokens the file adds
+    to its vocabulary are recognised in a text, as ``tokenizers`` does unless told
+    otherwise; without, they are encoded like any other characters.
+
     Vocabularies that have a ``rank_form`` are merged by rank, which takes a
-    third of the time; other vocabularies, and texts with a very long run of
-    white space (which the splitting pattern follows recursively), go through
-    ``tokenizers`` itself.
+    third of the time; other vocabularies, texts that hold an added token to be
+    recognised, and texts with a very long run of white space (which the splitting
+    pattern follows recursively), go through ``tokenizers`` itself.
     """
 
     #: Splitting pattern of byte-level vocabularies (fixed value).
@@ -91,11 +96,14 @@ class RankTokenizer:
     LONG = 50_000
     LONG_SPACE = re.compile(rf"\s{{{LONG}}}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        self._whole.encode_special_tokens = not added_tokens
+        with open(path, encoding="utf-8") as f:
+            found = [t["content"] for t in json.load(f).get("added_tokens") or () if added_tokens or not t.get("special")]
+        self._added = re.compile("|".join(map(re.escape, found))) if found else None
         self._ranked = None
         ranks = rank_form(path)
         if ranks is not None:
@@ -103,7 +111,8 @@ class RankTokenizer:
             self._ranked = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self._ranked is None or (len(text) >= self.LONG and self.LONG_SPACE.search(text)):
+        if (self._ranked is None or (self._added and self._added.search(text))
+                or (len(text) >= self.LONG and self.LONG_SPACE.search(text))):
             ids = self._whole.encode(text, add_special_tokens=False).ids
         else:
             ids = self._ranked.encode_ordinary(text)
@@ -115,7 +124,7 @@ _LOADED: dict[str, RankTokenizer] = {}
 
 def _tokenizer(path: str) -> RankTokenizer:
     if path not in _LOADED:
-        _LOADED[path] = RankTokenizer(path)
+        _LOADED[path] = RankTokenizer(path, added_tokens=True)
     return _LOADED[path]
 
 

@@ -264,6 +264,14 @@ def test_vocabularies_without_a_rank_form_go_through_their_library():
     assert np.frombuffer(packing.RankTokenizer(path).ids("Some words, twice"), "<u4").tolist() == plain.encode("Some words, twice", add_special_tokens=False).ids
 
 
+def test_packing_recognises_added_tokens(spark):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>y <|endoftext", "none of it", "\n" * 60_000 + "<|endoftext|>"]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=1 << 17, keep_ids=True).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows} == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.default_tokenizer())
