@@ -32,18 +32,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a written key of their own per row (``row``), since doc_ids may be null or repeat."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id."""
-    groups = simhash_components(docs, shingle=3, max_bits=3)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    """One row of each SimHash group stays: the one with the smallest id, null ids last, and among rows of one id any one."""
+    keyed = _keyed(docs, "near-duplicate-rows")
+    groups = simhash_components(keyed.select(F.col("row").alias("doc_id"), "text"), shingle=3, max_bits=3)
+    placed = groups.select(F.col("doc_id").alias("row"), "component_id").join(keyed.select("row", "doc_id"), "row")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = placed.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return keyed.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Rows that contain a benchmark item go, whatever their id; other rows of the same id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = stage(contaminated(docs, benchmark, shingle=5, threshold=0.8).select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(hits, "doc_id", "left_anti")
+    keyed = _keyed(docs, "decontamination-rows")
+    hits = stage(contaminated(keyed.select(F.col("row").alias("doc_id"), "text"), benchmark, shingle=5, threshold=0.8)
+                 .select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return keyed.join(hits, "row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

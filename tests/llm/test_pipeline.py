@@ -41,6 +41,20 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in clean}
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    say = lambda n: " ".join(f"{c}{n}" for c in "abcdefghijklmnopqrstuvwxyz")
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    pairs = lambda df: sorted((r["doc_id"] or -1, r["text"]) for r in df.collect())
+    # alone without an id; copies without ids; a copy with one; exact repeats of an id; another text under it, whose group has a smaller one
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (None, say(3)), (7, say(3)), (8, say(4)), (8, say(4)), (9, say(4)), (8, say(5)), (3, say(5)), (8, say(6))]
+    assert pairs(cp.near_duplicates(spark, table(rows), SF_SMALL)) == sorted([(-1, say(1)), (-1, say(2)), (7, say(3)), (8, say(4)), (3, say(5)), (8, say(6))])
+    rows = [(None, item), (None, say(1)), (5, item), (5, say(2)), (5, say(2)), (6, say(3))]
+    assert pairs(cp.decontamination(spark, table(rows), SF_SMALL)) == sorted([(-1, say(1)), (5, say(2)), (5, say(2)), (6, say(3))])
+
+
 def test_kept_text_digest(spark):
     got = queries.QUERIES["op1_line_dedup"](spark, SF_SMALL).where("n_dropped = 0").first()
     text = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where(f"doc_id = {got['doc_id']}").first()["text"] or ""
