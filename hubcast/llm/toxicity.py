@@ -8,12 +8,13 @@ Ratios and weights fold into one number per feature, so scoring is a sum over
 the distinct features of a text.
 
 The classifier is fitted on a bounded sample of labelled rows
-(``docs_per_class`` of each class by hash order); features are extracted in
-Spark tasks, the regression runs on the driver.
+(``docs_per_class`` doc_ids of each class by hash order, one row of each);
+features are extracted in Spark tasks, the regression runs on the driver.
 
 Defined cases: null and empty texts have no features and score the intercept;
 null labels are not learned from; a doc_id labelled more than once counts as
-toxic if any of its labels says so; without both classes the score is the
+toxic if any of its labels says so; of the rows that repeat a doc_id the one
+whose text has the smallest hash is learned from; without both classes the score is the
 share of toxic ones (0 without labels); repeated rows and null doc_ids are
 scored like any other; extra columns are ignored; an empty table gives an empty
 result.
@@ -102,7 +103,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, docs_per_class: int = 1500) -> Classifier:
-    """Fit on the labelled rows where ``learn`` (a condition on doc_id) holds."""
+    """Fit on labelled rows where ``learn`` (a condition on doc_id) holds: at most ``docs_per_class`` of each class."""
     marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn)
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -112,6 +113,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, docs_per_class: int
     order = Window.partitionBy("label").orderBy(*by_hash)
     picked = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_class).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(picked), "doc_id")
+    # one row of a doc_id, however often it repeats: what reaches the driver is bounded by docs_per_class
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("kept")).select("doc_id", "label", "kept.text")
     rows = arrow_map(texts.select("doc_id", "label", "text"), _extract, "doc_id long, label int, features binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     return fit([np.frombuffer(r["features"], np.int32) for r in rows], np.array([r["label"] for r in rows], np.float64))

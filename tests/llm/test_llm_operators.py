@@ -133,6 +133,17 @@ def test_toxicity(spark, docs, none):
     assert max(r["score"] for r in toxicity.score_toxicity(docs, labels.limit(0), learn).collect()) < 1e-6
 
 
+def test_toxicity_learns_from_one_row_of_an_id(spark, monkeypatch):
+    rows = [(1, f"copy {i} of one id") for i in range(300)] + [(i, f"text of {i}") for i in range(2, 40)] + [(2, None)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda found, marks: seen.append((len(found), int(marks.sum()))))
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    toxicity.train(many, labels, F.lit(True))
+    toxicity.train(many, labels, F.lit(True), docs_per_class=5)
+    assert seen == [(39, 20), (10, 5)]
+
+
 def _luhn(d):
     return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
 
