@@ -39,7 +39,16 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
         (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     finally:
         spark.conf.set(RELEASE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table written by ``stage`` that nothing reads any more (rounds of an iteration)."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
