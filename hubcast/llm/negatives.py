@@ -48,6 +48,12 @@ _HITS = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("place", pa.int
 NONE = -(2 ** 63 - 1)
 
 
+def _padded(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    out = np.zeros((rows, cols), x.dtype)
+    out[:x.shape[0], :x.shape[1]] = x
+    return out
+
+
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = 32) -> np.ndarray:
     """The product of two integer matrices; recursion ends where a side is at most ``leaf``.
 
@@ -60,8 +66,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = 32) -> np.ndarray:
         return a @ b
     hm, hk, hn = (m + 1) // 2, (k + 1) // 2, (n + 1) // 2
     if (m | k | n) & 1:
-        a = np.pad(a, ((0, 2 * hm - m), (0, 2 * hk - k)))
-        b = np.pad(b, ((0, 2 * hk - k), (0, 2 * hn - n)))
+        a, b = _padded(a, 2 * hm, 2 * hk), _padded(b, 2 * hk, 2 * hn)
     a11, a12, a21, a22 = a[:hm, :hk], a[:hm, hk:], a[hm:, :hk], a[hm:, hk:]
     b11, b12, b21, b22 = b[:hk, :hn], b[:hk, hn:], b[hk:, :hn], b[hk:, hn:]
     p1 = strassen(a11 + a22, b11 + b22, leaf)
