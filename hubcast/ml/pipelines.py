@@ -15,7 +15,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, RFormula, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from hubcast.ml.gram import LinearFit, fit_gram
 from hubcast.operators.clean import DEFAULT_BOUNDS, TripBounds
 from hubcast.session import spread_for_iteration
 
@@ -131,10 +133,14 @@ def feature_pipeline(features: list[str] = DEFAULT_FEATURES, hour_as_category: b
 
 @dataclass
 class FittedModels:
-    """Fitted clustering, shared feature encoding and one linear model per response."""
+    """Fitted clustering, shared feature encoding and one linear model per response.
+
+    Models solved from the Gram table are SQL stages over the plain columns, so
+    their encoding has no stages; ``fit`` holds their coefficients and summary."""
     cluster: PipelineModel
     features: PipelineModel | None = None
     regressions: dict = field(default_factory=dict)
+    fit: LinearFit | None = None
     training: DataFrame | None = None  # encoded hourly table used for the fits
     cached: DataFrame | None = None    # the cached hourly table under it
 
@@ -166,38 +172,67 @@ class FittedModels:
         return out.drop("features_x", "en_cluster", "pickup_hour_f")
 
 
+def fit_clusters(trips: DataFrame, params: KMeansParams = KMeansParams(), fraction: float = 1.0, partitions: int | None = None,
+                 collapse: bool = True) -> PipelineModel:
+    """M8 on the columns it needs: trips are cleaned and cut to the features *before* anything is shuffled.
+
+    ``collapse`` fits on the distinct points weighted by their trips (the same
+    objective): trips are counted per point map-side, so a place that holds a
+    third of all trips is one row.  Without it every trip is a row of the fit.
+    """
+    whole = cluster_pipeline(params)
+    clean, *rest = whole.getStages()
+    feats = list(params.features)
+    fit_input = trips if fraction >= 1.0 else trips.sample(False, fraction, params.seed)
+    points = clean.transform(fit_input).select(*feats)
+    if collapse:
+        points = points.groupBy(*feats).agg(F.count(F.lit(1)).cast("double").alias("trips"))
+        rest[-1] = rest[-1].copy({rest[-1].weightCol: "trips"})
+    fitted = Pipeline(stages=rest).fit(spread_for_iteration(points, partitions))
+    return PipelineModel(stages=[clean, *fitted.stages])
+
+
 def fit_models(trips: DataFrame, responses=("rides", "fpm"), params: KMeansParams = KMeansParams(),
                features: list[str] = DEFAULT_FEATURES, persist_hourly: bool = True,
-               cluster_fraction: float = 1.0, hour_as_category: bool = False, cluster_partitions: int = 32) -> FittedModels:
-    """Fit clustering once, roll up once, encode once, fit one linear
-    regression per response.
+               cluster_fraction: float = 1.0, hour_as_category: bool = False, cluster_partitions: int | None = None,
+               solver: str = "gram", collapse: bool = True) -> FittedModels:
+    """Fit clustering once, roll up once, fit one linear regression per response.
+
+    The hourly table (one row per hub × year × month × weekday × hour) is small
+    relative to the trips and is cached for the fits.
 
-    The encoded hourly table (one row per hub × year × month × weekday × hour)
-    is small relative to the trips and is cached for the per-response fits.
+    ``solver="gram"`` (default) solves all responses from one aggregate over the
+    hourly table (``hubcast.ml.gram``).  ``solver="ml"`` encodes the table once
+    and fits a ``LinearRegression`` per response; both have the same predictions.
 
     ``cluster_fraction < 1`` fits the k centres on a seeded Bernoulli sample
     (k-means caches and rescans its input every iteration; five 2-D centres do
     not need every trip).  All trips are still assigned and rolled up.
     """
-    fit_input = trips if cluster_fraction >= 1.0 else trips.sample(False, cluster_fraction, params.seed)
-    km = cluster_pipeline(params).fit(spread_for_iteration(fit_input, cluster_partitions))
+    km = fit_clusters(trips, params, cluster_fraction, cluster_partitions, collapse)
     hourly = rollup_transformer().transform(km.transform(trips))
-    if persist_hourly:  # the encoder fit and the encoded table below read it
+    if persist_hourly:  # the fits below read it
         hourly = hourly.persist()
+    cached = hourly if persist_hourly else None
+    if solver == "gram":
+        columns = ["cluster" if f == "en_cluster" else f for f in features]
+        texts = {c for c, kind in hourly.dtypes if kind == "string"} | {"cluster"} | ({"pickup_hour"} if hour_as_category else set())
+        fit = fit_gram(hourly, list(responses), [c for c in columns if c in texts], [c for c in columns if c not in texts]) if responses else None
+        return FittedModels(cluster=km, features=PipelineModel(stages=[]), regressions={r: fit.stage(r) for r in responses}, fit=fit,
+                            training=cached, cached=cached)
     feats = feature_pipeline(features, hour_as_category).fit(hourly)
     encoded = feats.transform(hourly)
     regs = {r: LinearRegression(featuresCol="features_x", labelCol=r, predictionCol=f"p_{r}",
                                 solver="auto").fit(encoded.where(f"{r} IS NOT NULL"))
             for r in responses}
     return FittedModels(cluster=km, features=feats, regressions=regs,
-                        training=encoded if persist_hourly else None, cached=hourly if persist_hourly else None)
+                        training=encoded if persist_hourly else None, cached=cached)
 
 
 def cluster_summary(models: FittedModels, trips: DataFrame) -> DataFrame:
     """Centre and size per cluster.  A reloaded model has no training
     summary, so sizes are recomputed by assigning the trips (one aggregation);
     the k centres come from the model (k rows)."""
-    from pyspark.sql import functions as F
     km = models.cluster.stages[-1]
     spark = trips.sparkSession
     feats = list(KMeansParams().features)
@@ -230,12 +265,11 @@ def save_models(models: FittedModels, path: str) -> None:
     models.cluster.write().overwrite().save(f"{path}/cluster")
     models.features.write().overwrite().save(f"{path}/features")
     for r, m in models.regressions.items():
-        m.write().overwrite().save(f"{path}/model_{r}")
+        PipelineModel(stages=[m]).write().overwrite().save(f"{path}/model_{r}")
 
 
 def load_models(path: str, responses) -> FittedModels:
     """K7: load the stages saved by :func:`save_models`."""
-    from pyspark.ml.regression import LinearRegressionModel
     return FittedModels(cluster=PipelineModel.load(f"{path}/cluster"),
                         features=PipelineModel.load(f"{path}/features"),
-                        regressions={r: LinearRegressionModel.load(f"{path}/model_{r}") for r in responses})
+                        regressions={r: PipelineModel.load(f"{path}/model_{r}").stages[0] for r in responses})

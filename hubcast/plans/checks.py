@@ -11,14 +11,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hubcast.functions.numeric import tie_round
 from hubcast.ml import models as mm
-from hubcast.ml.pipelines import (FittedModels, cluster_summary, fit_models, load_models, load_pipelines,
+from hubcast.ml.gram import Design, fit_gram, gram_table, merge_gram, solve_gram
+from hubcast.ml.pipelines import (FittedModels, KMeansParams, cluster_summary, fit_clusters, fit_models, load_models, load_pipelines,
                                   save_models, save_pipelines)
 from hubcast.operators import sampling
 from hubcast.operators.clean import plausible_trips
 from hubcast.operators.grid import hub_week_hour_grid
 from hubcast.operators.hubs import nearest_hub
-from hubcast.session import shared_dir, spread_for_iteration
+from hubcast.session import cut_lineage, shared_dir
 from hubcast.sources import fixtures as fx
 
 TOL = 1e-6
@@ -74,16 +76,16 @@ def q_random_split_check(spark, sf):
                         multiset_mismatches(labelled.select("_h"), src, ["_h"]).alias("overlap"))
 
 
-def _fitted(spark, sf, responses=("rides", "fpm")) -> tuple[FittedModels, DataFrame]:
+def _fitted(spark, sf, responses=("rides", "fpm"), **how) -> tuple[FittedModels, DataFrame]:
     trips = fx.trips(spark, sf)
-    models = fit_models(trips, responses)
+    models = fit_models(trips, responses, **how)
     return models, trips
 
 
 def q_kmeans_check(spark, sf):
     """Every trip sits at its nearest fitted centre, every centre at
     the mean of its trips (up to the last step's move); sizes add up."""
-    models, trips = _fitted(spark, sf, responses=())
+    models, trips = _fitted(spark, sf, responses=(), collapse=False)  # every trip a row of the fit, as the sizes count them
     km = models.cluster.stages[-1]
     centres = [(float(c[1]), float(c[0])) for c in km.clusterCenters()]  # features are (lat, lon)
     pred = models.assign(trips)
@@ -101,7 +103,7 @@ def q_kmeans_check(spark, sf):
 def q_linreg_check(spark, sf):
     """Rides and fpm regressions on the shared hourly table;
     residual means vanish overall, per hub and per weekday."""
-    models, trips = _fitted(spark, sf)
+    models, trips = _fitted(spark, sf, solver="ml")
     hourly = models.hourly(trips)
     scored = models.predict(hourly)
     out = []
@@ -191,7 +193,7 @@ def q_forest_check(spark, sf):
 
 def q_model_reload_check(spark, sf):
     """K7: predictions of saved-and-reloaded pipelines equal the originals."""
-    models, trips = _fitted(spark, sf)
+    models, trips = _fitted(spark, sf, collapse=False)
     path = shared_dir(spark, "models")
     save_models(models, path)
     again = load_models(path, list(models.regressions))
@@ -216,10 +218,11 @@ def q_model_reload_check(spark, sf):
 def q_pipeline_refit_check(spark, sf):
     """K7: unfitted pipelines saved per response, loaded and fitted, predict what
     ``fit_models`` predicts."""
-    models, trips = _fitted(spark, sf)
+    models, trips = _fitted(spark, sf, collapse=False, cluster_partitions=32)
     path = shared_dir(spark, "pipelines")
     save_pipelines(path, list(models.regressions))
-    spread = spread_for_iteration(trips, 32)  # the layout fit_models clusters on
+    feats = KMeansParams().features  # the layout fit_models clusters on
+    spread = trips.repartition(32, *feats).sortWithinPartitions(*feats)
     keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour"]
     both = models.predict(models.hourly(trips)).select(*keys, "p_rides", "p_fpm")
     bad = F.lit(False)
@@ -355,18 +358,80 @@ def q_model_summaries_check(spark, sf):
                               F.max(F.col("taxi_hub") == "A").alias("letters_ok"))
 
 
-def q_grid_predictions(spark, sf):
-    """The hub × weekday × hour grid scored by all seven response models in
-    one chain (no joins); negative ride predictions clipped to 0, rates rounded.
-    Rows only (model numbers are seed- and layout-dependent)."""
-    models = fit_models(fx.trips(spark, sf), RESPONSES)
-    hubs = models.assign(fx.trips(spark, sf)).select("cluster")
-    scored = models.predict(hub_week_hour_grid(hubs))
-    return scored.select("cluster", "pickup_nday", "pickup_wday", "pickup_hour",
-                         F.round(F.greatest(F.col("p_rides"), F.lit(0.0)), 2).alias("p_rides"),
-                         *[F.round(f"p_{r}", 2).alias(f"p_{r}") for r in RESPONSES[1:]])
+FACTORS, TERMS = ["cluster", "pickup_wday"], ["pickup_hour"]
 
 
+def _hub_hours(spark, sf) -> DataFrame:
+    """The hourly table with rates, by the fixed hubs."""
+    from hubcast.ml.pipelines import rollup_transformer
+    from hubcast.operators.hubs import assign_hubs
+    return rollup_transformer().transform(assign_hubs(_clean(spark, sf)))
+
+
+def q_grid_predictions(spark, sf):
+    """The hub × weekday × hour grid scored by all seven responses (one-pass
+    least squares on the hours of the fixed hubs); negative ride predictions
+    clipped to 0, rates rounded."""
+    hours = _hub_hours(spark, sf).persist()
+    fit = fit_gram(hours, list(RESPONSES), FACTORS, TERMS)
+    grid = cut_lineage(hub_week_hour_grid(hours.select("cluster")))
+    hours.unpersist()
+    scored = fit.predict(grid)
+    return scored.select("cluster", "pickup_nday", "pickup_wday", "pickup_hour",
+                         tie_round(F.greatest(F.col("p_rides"), F.lit(0.0)), 4).alias("p_rides"),
+                         *[tie_round(f"p_{r}", 4).alias(f"p_{r}") for r in RESPONSES[1:]])
+
+
+def q_gram_coefficients(spark, sf):
+    """Coefficients and fit figures of all seven responses, solved from one Gram table
+    that is merged from the tables of two parts of the hours."""
+    hours = _hub_hours(spark, sf).persist()
+    design = Design({"cluster": [0, 1, 2, 3, 4], "pickup_wday": ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]}, TERMS)
+    early = F.col("pickup_year") < "1995"
+    table = cut_lineage(merge_gram(*[gram_table(hours.where(part), design, list(RESPONSES)) for part in (early, ~early)]))
+    hours.unpersist()
+    fit = solve_gram(table, design, list(RESPONSES))
+    figures = spark.createDataFrame([(r, s["n"], s["rmse"], s["r2"]) for r, s in fit.summary.items()], "response string, n long, rmse double, r2 double")
+    return (fit.table(spark).join(figures, "response")
+            .select("response", "term", "level", "n", *[tie_round(c, 6).alias(c) for c in ("coefficient", "rmse", "r2")]))
+
+
+def q_gram_linreg_check(spark, sf):
+    """On the hours of the fitted hubs, the one-pass solution predicts what a ``LinearRegression`` per
+    response predicts; its summary figures and standard errors agree too."""
+    models, trips = _fitted(spark, sf, solver="ml")
+    hours = models.hourly(trips).persist()
+    fit = fit_gram(hours, ["rides", "fpm"], FACTORS, TERMS)
+    scored = models.predict(hours)
+    again = fit.predict(scored.withColumnsRenamed({f"p_{r}": f"ml_{r}" for r in ("rides", "fpm")}))
+    gap = [F.max(F.abs(F.col(f"p_{r}") - F.col(f"ml_{r}")) / (1 + F.abs(f"ml_{r}"))) for r in ("rides", "fpm")]
+    worst = again.agg(F.greatest(*gap)).scalar()
+    same = []
+    for r in ("rides", "fpm"):
+        s, m = fit.summary[r], models.regressions[r].summary
+        same += [abs(s["rmse"] - m.rootMeanSquaredError) <= 1e-6 * (1 + m.rootMeanSquaredError), abs(s["r2"] - m.r2) <= 1e-6]
+        ours, theirs = sorted(s["std_errors"]), sorted(m.coefficientStandardErrors)
+        same.append(all(abs(a - b) <= 1e-4 * (1e-9 + abs(b)) for a, b in zip(ours, theirs, strict=True)))
+    out = spark.range(1).select((worst <= 1e-6).alias("predictions_equal"), F.lit(all(same)).alias("figures_equal"))
+    out = cut_lineage(out)
+    hours.unpersist()
+    return out
+
+
+def q_kmeans_collapsed_check(spark, sf):
+    """M8 on distinct points weighted by their trips: every centre is the mean of its trips (up to the last
+    step's move), and the trips' squared distances are within 2 % of a fit on all trips or below."""
+    trips = fx.trips(spark, sf)
+    costs, drifts = [], []
+    for collapse in (True, False):
+        model = fit_clusters(trips, collapse=collapse)
+        centres = [(float(c[1]), float(c[0])) for c in model.stages[-1].clusterCenters()]
+        at = [F.element_at(F.array(*[F.lit(c[axis]) for c in centres]), F.col("cluster") + 1) for axis in (0, 1)]
+        pred = model.transform(trips)
+        means = pred.groupBy("cluster").agg(F.avg("start_lon").alias("x"), F.avg("start_lat").alias("y"))
+        drifts.append(means.agg(F.max(F.greatest(F.abs(F.col("x") - at[0]), F.abs(F.col("y") - at[1])))).scalar())
+        costs.append(pred.agg(F.sum((F.col("start_lon") - at[0]) ** 2 + (F.col("start_lat") - at[1]) ** 2)).scalar())
+    return spark.range(1).select((drifts[0] <= 0.01).alias("centres_ok"), (costs[0] <= 1.02 * costs[1]).alias("cost_ok"))
 
 
 def q_density_cap_check(spark, sf):

@@ -401,3 +401,60 @@ ORACLES.update({
                        "SELECT level, row_number() OVER (ORDER BY seen, level) AS level_rank FROM l",
     "pipeline_refit_check": "SELECT CAST(0 AS BIGINT) AS mismatches",
 })
+
+
+# ------------------------------------------------------------ least squares by elimination
+
+RESPONSES = ["rides", "ppr", "dpr", "fpr", "tpr", "fpm", "tpm"]
+_LEVELS = [0, 1, 2, 3], ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+SLOTS = ([("(intercept)", None)] + [("cluster", str(v)) for v in _LEVELS[0]] + [("pickup_wday", v) for v in _LEVELS[1]]
+         + [("pickup_hour", None)])
+_SLOT_EXPRS = (["1.0E0"] + [f"(cluster = {v})::INT::DOUBLE" for v in _LEVELS[0]]
+               + [f"(pickup_wday = '{v}')::INT::DOUBLE" for v in _LEVELS[1]] + ["pickup_hour::DOUBLE"])
+
+
+def _least_squares() -> str:
+    """CTEs up to ``beta`` (i, v): the coefficients of every slot, one per response (Gauss-Jordan, one step a slot)."""
+    p, q = len(SLOTS), len(RESPONSES)
+    steps = [f"""{WITH_CAL}, {HOURLY},
+rated AS (SELECT cluster, pickup_wday, pickup_hour, rides::DOUBLE AS rides, passengers / rides AS ppr, distance / rides AS dpr,
+  fare / rides AS fpr, tip / rides AS tpr, fare / distance AS fpm, tip / distance AS tpm FROM hourly),
+design AS MATERIALIZED (SELECT [{', '.join(_SLOT_EXPRS)}] AS x, [{', '.join(RESPONSES)}] AS y FROM rated),
+s0 AS MATERIALIZED (SELECT i, list(s ORDER BY j) AS v FROM (SELECT i, j, sum(x[i] * list_concat(x, y)[j]) AS s
+  FROM design, range(1, {p + 1}) a(i), range(1, {p + q + 1}) b(j) GROUP BY i, j) GROUP BY i)"""]
+    for k in range(1, p + 1):
+        steps.append(f"""s{k} AS MATERIALIZED (SELECT r.i, CASE WHEN r.i = {k} THEN list_transform(r.v, lambda x: x / p.v[{k}])
+  ELSE list_transform(list_zip(r.v, p.v, list_resize([]::DOUBLE[], len(r.v), r.v[{k}] / p.v[{k}])), lambda z: z[1] - z[2] * z[3]) END AS v
+  FROM s{k - 1} r, (SELECT v FROM s{k - 1} WHERE i = {k}) p)""")
+    return ",\n".join(steps) + f",\nbeta AS MATERIALIZED (SELECT i, v[{p + 1}:{p + q}] AS b FROM s{p})"
+
+
+def _coefficients_sql() -> str:
+    names = ", ".join(f"('{r}', {k})" for k, r in enumerate(RESPONSES, 1))
+    slots = ", ".join(f"({i}, '{t}', {'NULL' if v is None else repr(v)})" for i, (t, v) in enumerate(SLOTS, 1))
+    return f"""{_least_squares()},
+names AS (SELECT * FROM (VALUES {names}) t(response, k)), slots AS (SELECT * FROM (VALUES {slots}) t(i, term, level)),
+whole AS MATERIALIZED (SELECT k, list(b[k] ORDER BY i) AS w FROM beta, names GROUP BY k),
+fitted AS (SELECT k, y[k] AS y, list_sum(list_transform(list_zip(x, w), lambda z: z[1] * z[2])) AS p FROM design, whole),
+figures AS (SELECT k, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 FROM fitted GROUP BY k)
+SELECT response, term, level, n, {R('b[k]')} AS coefficient, {R('rmse')} AS rmse, {R('r2')} AS r2
+FROM beta JOIN slots USING (i), names JOIN figures USING (k)"""
+
+
+def _grid_sql() -> str:
+    days = ", ".join(f"({d}, '{name}')" for d, name in enumerate(["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"], 1))
+    dot = "list_sum(list_transform(list_zip(x, (SELECT list(b[{k}] ORDER BY i) FROM beta)), lambda z: z[1] * z[2]))"
+    preds = ", ".join(f"{R(f'greatest({dot.format(k=k)}, 0)' if r == 'rides' else dot.format(k=k), 4)} AS p_{r}" for k, r in enumerate(RESPONSES, 1))
+    return f"""{_least_squares()},
+grid AS (SELECT cluster, pickup_nday, pickup_wday, pickup_hour::INT AS pickup_hour FROM (SELECT DISTINCT cluster FROM hourly),
+  (VALUES {days}) d(pickup_nday, pickup_wday), range(24) h(pickup_hour)),
+coded AS (SELECT *, [{', '.join(_SLOT_EXPRS)}] AS x FROM grid)
+SELECT cluster, pickup_nday, pickup_wday, pickup_hour, {preds} FROM coded"""
+
+
+ORACLES.update({
+    "gram_coefficients": _coefficients_sql(),
+    "grid_predictions": _grid_sql(),
+    "gram_linreg_check": "SELECT TRUE AS predictions_equal, TRUE AS figures_equal",
+    "kmeans_collapsed_check": "SELECT TRUE AS centres_ok, TRUE AS cost_ok",
+})
