@@ -54,7 +54,7 @@ def _padded(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
     return out
 
 
-def strassen(a: np.ndarray, b: np.ndarray, leaf: int = 32) -> np.ndarray:
+def strassen(a: np.ndarray, b: np.ndarray, leaf: int = 8) -> np.ndarray:
     """The product of two integer matrices; recursion ends where a side is at most ``leaf``.
 
     Odd sides are padded with a row or column of zeros.  Sums and products of
