@@ -258,8 +258,8 @@ QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswi
 
 def all_queries() -> dict:
     """Every registered query: SQL-checked operators, round trips, streams, invariants."""
-    from hubcast.plans import checks, roundtrips
-    return {**QUERIES, **roundtrips.QUERIES, **checks.QUERIES}
+    from hubcast.plans import arrivals, checks, roundtrips
+    return {**QUERIES, **roundtrips.QUERIES, **checks.QUERIES, **arrivals.QUERIES}
 
 
 # ------------------------------------------------------------ further operators

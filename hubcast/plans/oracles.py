@@ -458,3 +458,33 @@ ORACLES.update({
     "gram_linreg_check": "SELECT TRUE AS predictions_equal, TRUE AS figures_equal",
     "kmeans_collapsed_check": "SELECT TRUE AS centres_ok, TRUE AS cost_ok",
 })
+
+
+# ------------------------------------------------------------ arriving data
+
+_ARRIVAL = """(CASE WHEN trip_pickup_datetime < TIMESTAMP '1994-06-01' THEN CASE WHEN trip_id % 50 = 0 THEN 3 ELSE 1 END
+  WHEN trip_pickup_datetime < TIMESTAMP '1996-09-01' THEN 2 ELSE 3 END)"""
+
+ORACLES.update({
+    # The watermark after an arrival is the latest pickup so far less two hours; a trip is late if its hour has ended by
+    # the watermark of the arrivals before its own, and an hour is emitted once it has ended by the last watermark.
+    "stream_closed_hours": f"""{WITH_HUB},
+arrived AS (SELECT *, {_ARRIVAL} AS arrival, date_trunc('hour', trip_pickup_datetime) AS window_start FROM hub),
+marks AS (SELECT arrival, max(max(trip_pickup_datetime)) OVER (ORDER BY arrival) - INTERVAL 2 HOUR AS mark FROM arrived GROUP BY arrival),
+kept AS (SELECT a.* FROM arrived a LEFT JOIN marks m ON m.arrival = a.arrival - 1
+  WHERE m.mark IS NULL OR a.window_start + INTERVAL 1 HOUR > m.mark)
+SELECT cluster, window_start, count(*) AS rides, {R('sum(fare_amt)')} AS fare FROM kept
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(mark) FROM marks) GROUP BY cluster, window_start""",
+    "stream_hour_rates": f"""{WITH_CAL}, {HOURLY}
+SELECT cluster, pickup_year, pickup_mon, pickup_nday, pickup_hour, rides, {R('passengers')} AS passengers, {R('distance')} AS distance,
+  {R('fare')} AS fare, {R('tip')} AS tip, {R('fare / rides')} AS fpr, {R('tip / distance')} AS tpm FROM hourly""",
+    "ingest_ledger": f"""WITH {TRIPS}, t AS (SELECT *, CASE WHEN vendor_name = 'VTS' THEN 1 ELSE 2 END AS batch, trip_id % 97 IN (3, 5, 7) AS bad FROM trips)
+SELECT batch::INT AS batch, count_if(NOT bad) AS n_rows, count_if(bad) AS bad_lines, TRUE AS has_size, count_if(NOT bad) AS seen,
+  sum(trip_id) FILTER (NOT bad) AS trip_ids, {R('sum(fare_amt) FILTER (NOT bad)', 4)} AS fare FROM t GROUP BY batch""",
+    "ingest_quarantine": f"""WITH {TRIPS}, t AS (SELECT CASE WHEN vendor_name = 'VTS' THEN 1 ELSE 2 END AS batch, trip_id % 97 AS kind FROM trips)
+SELECT batch::INT AS batch, CASE kind WHEN 3 THEN 'Fare_Amt: not a value of type double' WHEN 5 THEN '18 values for 19 columns'
+  ELSE '20 values for 19 columns' END AS reason, count(*) AS n FROM t WHERE kind IN (3, 5, 7) GROUP BY 1, 2""",
+    "replace_month": f"""WITH {TRIPS}, {CLEAN}, t AS (SELECT strftime(trip_pickup_datetime, '%Y-%m') AS month, fare_amt FROM clean)
+SELECT month, count(*) AS rides, {R("sum(fare_amt * CASE WHEN month = '1995-03' THEN 2 ELSE 1 END)", 4)} AS fare, month = '1995-03' AS replaced
+FROM t GROUP BY month""",
+})

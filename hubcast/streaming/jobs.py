@@ -98,37 +98,58 @@ def run_complete_to_table(agg: DataFrame, table_path: str, checkpoint: str) -> N
     q.awaitTermination()
 
 
+def closed_hub_hours(stream: DataFrame, delay: str = "2 hours", ts: str = "trip_pickup_datetime", window: str = "1 hour",
+                     centres=FIXED_HUBS) -> DataFrame:
+    """X3, event time: rides and fares per hub and window, each window emitted once, when it can no longer change.
+
+    The watermark is the latest pickup time seen in earlier batches less ``delay``.
+    A trip whose window ended at or before the watermark is late and dropped; a
+    window at or before it is emitted (``append`` mode) and its state evicted, so
+    state holds the open windows only.  State and watermark are in the query's
+    checkpoint: a stopped query resumes with them.
+    """
+    t = plausible_trips(lower_columns(stream))
+    t = assign_hubs(t, centres).withColumn("event_ts", F.col(ts).cast("timestamp")).withWatermark("event_ts", delay)
+    return (t.groupBy("cluster", F.window("event_ts", window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("rides"), F.sum("fare_amt").alias("fare"))
+            .select("cluster", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "rides", "fare"))
+
+
 HOUR_KEYS = ("cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour")
 
 
-def score_batches(stream: DataFrame, models, sink: str, checkpoint: str) -> None:
-    """X2, whole model: hours are scored from every trip that has arrived for them.
+def hour_sums(clustered: DataFrame) -> DataFrame:
+    """Hourly sums and unit rates of trips that have a ``cluster``; on a stream the sums are keyed state,
+    updated by the arriving rows alone (the rollup stage of the batch pipeline)."""
+    from hubcast.ml.pipelines import rollup_transformer
+    return rollup_transformer().transform(clustered)
 
-    An hour's trips may come in several micro-batches, so each epoch stores its
-    rows by month, rolls up and scores the months it touched from all rows
-    stored so far, and writes them below ``epoch=<id>`` (a retried epoch
-    replaces its own output).  ``latest_scores`` reads the newest version of
-    every hour.
-    """
-    arrived = f"{sink.rstrip('/')}-arrived"
 
+def run_updates(agg: DataFrame, sink: str, checkpoint: str, finish=None) -> None:
+    """Drain a streaming aggregate in ``update`` mode: every micro-batch writes the keys it changed, with their
+    whole values, below ``epoch=<id>`` (a retried epoch replaces its own output).  ``finish`` is applied to each
+    batch before it is written.  Old rows are never read again: the sums are in the state store."""
     def write(batch: DataFrame, epoch: int) -> None:
-        month = F.date_format("trip_pickup_datetime", "yyyy-MM")
-        rows = batch.withColumn("pickup_month", month).where(F.col("pickup_month").isNotNull())
-        rows.write.mode("overwrite").partitionBy("pickup_month").parquet(f"{arrived}/epoch={epoch}")
-        schema = rows.schema.add("epoch", T.IntegerType())
-        known = batch.sparkSession.read.schema(schema).parquet(arrived).where(F.col("epoch") <= epoch)
-        touched = known.where(F.col("epoch") == epoch).select("pickup_month").distinct()
-        whole = known.join(touched, "pickup_month", "left_semi").drop("pickup_month", "epoch")
-        models.predict(models.hourly(whole)).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
-
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        (finish(batch) if finish else batch).write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def score_batches(stream: DataFrame, models, sink: str, checkpoint: str) -> None:
+    """X2, whole model: hours are scored when they change.
+
+    Arriving trips are cleaned and assigned by the fitted stages, added to the
+    keyed hourly sums, and the hours of the batch are scored from their sums.
+    Work and writes of a batch follow its own rows; state holds one row per hub
+    and hour.  ``latest_scores`` reads the newest version of every hour.
+    """
+    run_updates(hour_sums(models.assign(stream)), sink, checkpoint, models.predict)
+
+
 def latest_scores(spark, sink: str, columns: list[str]) -> DataFrame:
-    """One row per hour: ``columns`` as of the last epoch that scored it."""
+    """One row per hour: ``columns`` as of the last epoch that changed it."""
     scored = spark.read.parquet(sink)
     rest = [c for c in columns if c not in HOUR_KEYS]
     newest = scored.groupBy(*HOUR_KEYS).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
