@@ -1,5 +1,4 @@
-"""Distributed running totals over a global value order, and exact percentiles
-built on them.
+"""Distributed running totals over a global value order.
 
 A global order normally forces a single-partition window.  Here values are
 first pre-aggregated (``value → count``, partial aggregation absorbs hot
@@ -45,32 +44,6 @@ def running_count(values: DataFrame, v: str, c: str, buckets: int = 512,
             .drop("_b", "_local", "_off"))
 
 
-def exact_percentiles(df: DataFrame, col: str, probs=(0.25, 0.5, 0.75), buckets: int = 512) -> DataFrame:
-    """Exact percentiles with linear interpolation between order statistics
-    (position ``(n - 1) * p``, 0-based), fully distributed.
-
-    Only the (at most two per probability) distinct values holding the needed
-    order statistics are gathered at the end.
-    """
-    src = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    vc = src.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = running_count(vc, "v", "c", buckets)
-    n = vc.agg(F.sum("c")).scalar()
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    # Needed 0-based ranks: floor and ceil of (n - 1) * p for every p.
-    pos = F.array(*[(n - 1) * F.lit(float(p)) for p in probs])
-    need = F.array_distinct(F.array(*[f((n - 1) * F.lit(float(p))) for p in probs for f in (F.floor, F.ceil)]))
-    hits = (ranked.withColumn("_need", need)
-            .select("v", F.explode(F.filter("_need", lambda k: (F.col("cum_before") <= k) & (k < F.col("cum"))))
-                    .alias("k")))
-    table = hits.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    out = table.select(F.posexplode(pos).alias("_i", "h"), "m")
-    lo = F.element_at(F.col("m"), F.floor("h"))
-    hi = F.element_at(F.col("m"), F.ceil("h"))
-    return out.select(F.element_at(ps, F.col("_i") + 1).alias("percentile"),
-                      (lo + (F.col("h") - F.floor("h")) * (hi - lo)).alias("value"))
-
-
 def distributed_row_number(df: DataFrame, order: str, tiebreak: tuple = (), out: str = "rank",
                            buckets: int = 512) -> DataFrame:
     """1-based row number in global order of ``order`` (numeric, date or

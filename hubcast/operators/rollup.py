@@ -146,13 +146,17 @@ def share_table(df: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("percent", F.col("n") / total)
 
 
-def contingency(df: DataFrame, row: str, col: str, values: list[str] | None = None) -> DataFrame:
+def contingency(df: DataFrame, row: str, col: str, values: list[str] | None = None, other: str = "other") -> DataFrame:
     """Two-way table of counts, absent cells 0.
 
-    Pass ``values`` to avoid the extra distinct-values job (and to fix the
-    column set); otherwise Spark discovers them, bounded by
-    ``spark.sql.pivotMaxValues``.
+    Pass ``values`` to fix the columns and avoid the extra distinct-values job;
+    rows with any other value (or none) are counted in the column ``other``, so
+    every row of ``df`` is in the table.  Without ``values`` Spark discovers them,
+    bounded by ``spark.sql.pivotMaxValues``.
     """
+    if values is not None:
+        df = df.withColumn(col, F.when(F.col(col).isin(values), F.col(col)).otherwise(F.lit(other)))
+        values = [*values, other]
     pivoted = df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1)))
     fill_cols = [c for c in pivoted.columns if c != row]
     return pivoted.fillna(0, subset=fill_cols)

@@ -68,11 +68,12 @@ class RunLog:
 
     @contextmanager
     def step(self, action: str, n_row: int | None = None, filesize: float | None = None):
+        """Time the block; it may set ``n_row`` and ``filesize`` on what it is given, once it knows them."""
         t0 = time.perf_counter()
-        yield
-        self.rows.append((action, time.perf_counter() - t0, datetime.now(), self.run_env,
-                          self.run_ram, None if n_row is None else float(n_row),
-                          None if filesize is None else float(filesize)))
+        known = {"n_row": n_row, "filesize": filesize}
+        yield known
+        self.rows.append((action, time.perf_counter() - t0, datetime.now(), self.run_env, self.run_ram,
+                          *[None if known[c] is None else float(known[c]) for c in ("n_row", "filesize")]))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, RUNLOG_SCHEMA)

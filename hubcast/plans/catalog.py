@@ -166,8 +166,7 @@ def q_action_share(spark, sf):
 
 
 def q_action_by_protocol(spark, sf):
-    return rollup.contingency(fx.firewall(spark, sf), "ApplicationProtocol", "Action",
-                              ["Denied", "Establish", "Failed"])
+    return rollup.contingency(fx.firewall(spark, sf), "ApplicationProtocol", "Action", ["Denied", "Establish"])
 
 
 def q_top_sources(spark, sf):
@@ -365,3 +364,60 @@ def q_hourly_sql_stage(spark, sf):
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}
+
+
+# ------------------------------------------------------------ selection, ranks, pyramids, many centres
+
+def q_fare_deciles(spark, sf):
+    """Exact deciles and extremes of distance and tip, both with very many equal values."""
+    t = _clean(spark, sf)
+    probs = tuple(i / 10 for i in range(11))
+    parts = [stats.percentiles(t, c, probs).withColumn("term", F.lit(c)) for c in ("trip_distance", "tip_amt")]
+    return rounded(parts[0].unionByName(parts[1]), skip=("percentile",))
+
+
+_RANKED = ["passenger_count", "trip_distance", "fare_or_none"]
+
+
+def _with_gaps(spark, sf):
+    """Clean trips, their fare missing (null or NaN) on some."""
+    fare = F.when(F.col("trip_id") % 5 == 0, F.lit(None)).when(F.col("trip_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("fare_amt"))
+    return _clean(spark, sf).withColumn("fare_or_none", fare)
+
+
+def q_rank_correlation(spark, sf):
+    """Spearman correlations with ties and missing values, by both rules for these."""
+    t = _with_gaps(spark, sf)
+    return rounded(stats.correlation_matrix(t, _RANKED, "spearman", "pairwise").withColumn("rule", F.lit("pairwise"))
+                   .unionByName(stats.correlation_matrix(t, _RANKED, "spearman", "listwise").withColumn("rule", F.lit("listwise"))))
+
+
+def q_correlation_rules(spark, sf):
+    """Pearson correlations with missing values, by both rules for these."""
+    t = _with_gaps(spark, sf)
+    return rounded(stats.correlation_matrix(t, _RANKED, "pearson", "pairwise").withColumn("rule", F.lit("pairwise"))
+                   .unionByName(stats.correlation_matrix(t, _RANKED, "pearson", "listwise").withColumn("rule", F.lit("listwise"))))
+
+
+def _raster_at(resolution: int):
+    def query(spark, sf):
+        pyramid = stats.raster_pyramid(_clean(spark, sf), "start_lon", "start_lat", (10, 100, 500, 1000))
+        return rounded(pyramid.where(F.col("resolution") == resolution).drop("resolution"))
+    query.__doc__ = f"A18: the level of {resolution} x {resolution} cells of the raster pyramid."
+    return query
+
+
+def many_centres(n: int = 10_000) -> list[tuple[float, float]]:
+    """Centres spread over the trips' area (a rule, so that SQL can state it)."""
+    return [(-74.05 + (i * 7919 % n) * (0.3 / n), 40.58 + (i * 104729 % 9973) * (0.32 / 9973)) for i in range(n)]
+
+
+def q_many_hubs(spark, sf):
+    """J6 with 10,000 centres: trips and the sum of their ids by nearest centre."""
+    from hubcast.operators.centre_index import assign_nearest
+    near = assign_nearest(_clean(spark, sf), many_centres())
+    return near.groupBy("cluster").agg(F.count(F.lit(1)).alias("rides"), F.sum("trip_id").alias("trip_ids"))
+
+
+QUERIES = {**{name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")},
+           **{f"raster_{r}": _raster_at(r) for r in (10, 100, 500, 1000)}}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hubcast.functions.numeric import tie_round
+from hubcast.ml import hashed
 from hubcast.ml import models as mm
 from hubcast.ml.gram import Design, fit_gram, gram_table, merge_gram, solve_gram
 from hubcast.ml.pipelines import (FittedModels, KMeansParams, cluster_summary, fit_clusters, fit_models, load_models, load_pipelines,
@@ -22,6 +23,7 @@ from hubcast.operators.grid import hub_week_hour_grid
 from hubcast.operators.hubs import nearest_hub
 from hubcast.session import cut_lineage, shared_dir
 from hubcast.sources import fixtures as fx
+from hubcast.sources import io
 
 TOL = 1e-6
 
@@ -175,20 +177,45 @@ FIREWALL_FEATURES = ["SourceIP", "DestinationIP", "OriginalClientIP", "rule", "A
 
 
 def q_forest_check(spark, sf):
-    """Class probabilities sum to 1, the arg-max is the prediction,
-    importances sum to 1."""
+    """Class probabilities sum to 1, the arg-max is the prediction, importances sum to 1; the result
+    code, which tells failures, is found: failures are predicted as such (no constant forest does) and it has most
+    of the importance."""
     fw = fx.firewall(spark, sf)
-    model = mm.forest_classifier(fw, "Action", FIREWALL_FEATURES, trees=10)
+    inputs = [*FIREWALL_FEATURES, "resultcode"]
+    model = mm.forest_classifier(fw, "Action", inputs, trees=10)
     probs = mm.class_probabilities(model, fw)
     p = vector_to_array("probability")
     top = F.array_position(p, F.array_max(p)) - 1
     imp = mm.feature_importances(model, fw, keep_positive=False)
     imp_sum = imp.agg(F.sum("importance")).scalar()
+    told = imp.where(F.col("feature").startswith("resultcode")).agg(F.sum("importance")).scalar()
     pcols = [c for c in probs.columns if c.startswith("probability_")]
+    failed = F.col("Action") == "Failed"
     return probs.agg(
         (F.max(F.abs(reduce(lambda a, b: a + b, [F.col(c) for c in pcols]) - 1)) <= 1e-9).alias("probs_sum_to_1"),
         F.count_if(top.cast("double") != F.col("prediction")).alias("argmax_mismatch"),
-        (F.abs(imp_sum - 1) <= 1e-9).alias("importances_sum_to_1"))
+        (F.abs(imp_sum - 1) <= 1e-9).alias("importances_sum_to_1"),
+        (F.count_if(failed & (F.col("predicted") == "Failed")) >= 0.95 * F.count_if(failed)).alias("failures_found"),
+        (told > 0.5).alias("importance_found"))
+
+
+def q_hashed_check(spark, sf):
+    """M9 / M16 on hashed columns, every user an address of its own: rows sit at their nearest centre, sizes add
+    up, and a forest on hashed columns finds the failures."""
+    fw = fx.firewall(spark, sf).withColumn("Address", F.concat(F.lit("10."), F.col("sessionid").cast("long").cast("string")))
+    width = 512
+    model = hashed.hashed_kmeans(["Address", "DestinationIP", "rule"], k=4, width=width).fit(fw)
+    km = model.stages[-1]
+    pred = model.transform(fw).withColumn("v", vector_to_array("features"))
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in km.clusterCenters()])
+    gap = F.transform(centres, lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    pred = pred.withColumn("d", gap)
+    forest = hashed.hashed_forest("Action", ["Address", "rule", "resultcode"], trees=5, width=64, subset="all").fit(fw)
+    seen = mm.class_probabilities(forest, fw)
+    failed = F.col("Action") == "Failed"
+    found = seen.agg(F.count_if(failed & (F.col("predicted") == "Failed")) >= 0.95 * F.count_if(failed)).scalar()
+    return pred.agg(F.count_if(F.element_at("d", F.col("cluster") + 1) > F.array_min("d") + 1e-9).alias("misassigned"),
+                    (F.count(F.lit(1)) == F.lit(sum(km.summary.clusterSizes))).alias("sizes_ok"), found.alias("failures_found"))
 
 
 def q_model_reload_check(spark, sf):
@@ -341,7 +368,7 @@ RESPONSES = ("rides", "ppr", "dpr", "fpr", "tpr", "fpm", "tpm")
 def q_model_summaries_check(spark, sf):
     """A1 / A4 / A6 / A8 from the fitted model: hub sizes and heat-table rides both
     add up to the clean trip count; the heat table has every observed
-    weekday × hour cell; the density table respects its cap."""
+    weekday × hour cell; the density table has every trip, its sample respects the cap."""
     from hubcast.plans.summaries import model_summaries
     models, trips = _fitted(spark, sf, responses=())
     s = model_summaries(models, fx.raw_trips(spark, sf), density_cap=10_000)
@@ -349,11 +376,12 @@ def q_model_summaries_check(spark, sf):
     heat = s["s_heatmap"]
     cells = heat.agg(F.count(F.lit(1)) == F.count_distinct("pickup_wday") * F.count_distinct("pickup_hour")).scalar()
     heat_sum = heat.agg(F.sum("rides")).scalar()
-    dens = s["s_blackmap"].agg(F.count(F.lit(1))).scalar()
+    dens = s["s_blackmap"].agg(F.sum("n")).scalar()
+    sampled = s["s_blackmap_sample"].agg(F.count(F.lit(1))).scalar()
     n_raw = s["s_summary"].select("n").scalar()
     return s["s_centers"].agg((F.sum("size") == n_clean).alias("centres_sum_ok"),
                               (heat_sum == n_clean).alias("heat_sum_ok"), cells.alias("heat_complete"),
-                              (dens <= 10_000).alias("density_cap_ok"),
+                              ((dens == n_clean) & (sampled <= 10_000)).alias("density_cap_ok"),
                               (n_raw >= n_clean).alias("summary_ok"),
                               F.max(F.col("taxi_hub") == "A").alias("letters_ok"))
 
@@ -459,14 +487,17 @@ def q_grid_predictions_check(spark, sf):
 
 
 def q_file_manifest_check(spark, sf):
-    """S6 invariants: one row per written file, sizes add up to the bytes on disk
-    as listed, titles carry no extension and no '-'."""
-    from hubcast.plans.roundtrips import q_file_manifest
-    m = q_file_manifest(spark, sf)
-    return m.agg((F.count(F.lit(1)) == F.count_distinct("file_path")).alias("one_row_per_file"),
-                 (F.min("file_size") > 0).alias("sizes_positive"),
-                 (F.count_if(F.col("title").contains("-") | F.col("title").endswith(".csv")) == 0).alias("titles_ok"),
-                 (F.count(F.lit(1)) > 0).alias("files_found"))
+    """The manifest of a CSV conversion against the files themselves, read as lines: the same names, and the bytes
+    of all lines of a file (each with its line end) are the size listed; titles carry no extension and no '-'."""
+    path = io.write_csv(fx.raw_trips(spark, sf), shared_dir(spark, "manifest"))
+    m = io.file_manifest(spark, path, "csv", "overwrite", out_root=path + "-parquet")
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    held = lines.groupBy("name").agg((F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("bytes"), F.count(F.lit(1)).alias("lines"))
+    rows = fx.raw_trips(spark, sf).agg(F.count(F.lit(1))).scalar()
+    j = m.join(held, m["file_name"] == held["name"], "full_outer")
+    return j.agg(F.count_if(F.col("file_name").isNull() | F.col("name").isNull() | (F.col("bytes") != F.col("file_size"))).alias("different_files"),
+                 (F.sum("lines") - F.count(F.lit(1)) == rows).alias("rows_complete"),
+                 (F.count_if(F.col("title").contains("-") | F.col("title").endswith(".csv")) == 0).alias("titles_ok"))
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_")}

@@ -80,10 +80,10 @@ FIREWALL = """firewall AS (SELECT CAST(event_id AS DOUBLE) AS ident, ts AS logTi
   CASE event_id % 3 WHEN 0 THEN 'HTTP' WHEN 1 THEN 'HTTPS' ELSE 'DNS' END AS ApplicationProtocol,
   value AS bytessent, value * 2 AS bytesrecvd FROM events)"""
 
-RUNLOGS = """log_a AS (SELECT 'Model: Fit' AS action, value AS runtime, CAST(user_id AS DOUBLE) AS n_row,
-    ts AS "timestamp", CAST(NULL AS DOUBLE) AS filesize FROM events WHERE event_type = 'view'),
-  log_b AS (SELECT 'Write: file' AS action, value AS runtime, CAST(NULL AS DOUBLE) AS n_row, ts AS "timestamp",
-    CAST(event_id AS DOUBLE) AS filesize FROM events WHERE event_type = 'click'),
+RUNLOGS = """log_a AS (SELECT CASE event_type WHEN 'view' THEN 'Model: Fit' WHEN 'signup' THEN 'Model: Load' ELSE 'Load: file' END AS action, value AS runtime, CAST(user_id AS DOUBLE) AS n_row,
+    ts AS "timestamp", CAST(NULL AS DOUBLE) AS filesize FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'purchase')),
+  log_b AS (SELECT CASE event_type WHEN 'click' THEN 'Write: file' ELSE 'Write: model' END AS action, value AS runtime, CAST(NULL AS DOUBLE) AS n_row, ts AS "timestamp",
+    CAST(event_id AS DOUBLE) AS filesize FROM events WHERE event_type IN ('click', 'purchase')),
   logs AS (SELECT DISTINCT * FROM (SELECT * FROM log_a UNION ALL SELECT * FROM log_b))"""
 
 
@@ -189,7 +189,7 @@ def _contingency_sql() -> str:
     return (f"WITH {FIREWALL} SELECT ApplicationProtocol, "
             "count(*) FILTER (WHERE Action = 'Denied') AS Denied, "
             "count(*) FILTER (WHERE Action = 'Establish') AS Establish, "
-            "count(*) FILTER (WHERE Action = 'Failed') AS Failed FROM firewall GROUP BY ALL")
+            "count(*) FILTER (WHERE Action IS NULL OR Action NOT IN ('Denied', 'Establish')) AS other FROM firewall GROUP BY ALL")
 
 
 SPLIT = "CASE WHEN (trip_id % 1000003) * 7919 % 100 < 60 THEN 'train' WHEN (trip_id % 1000003) * 7919 % 100 < 90 THEN 'valid' ELSE 'test' END"
@@ -488,3 +488,61 @@ SELECT batch::INT AS batch, CASE kind WHEN 3 THEN 'Fare_Amt: not a value of type
 SELECT month, count(*) AS rides, {R("sum(fare_amt * CASE WHEN month = '1995-03' THEN 2 ELSE 1 END)", 4)} AS fare, month = '1995-03' AS replaced
 FROM t GROUP BY month""",
 })
+
+
+def _decile_sql() -> str:
+    parts = [f"SELECT '{c}' AS term, {p / 10!r}E0 AS percentile, {R(f'quantile_cont({c}, {p / 10!r})')} AS value FROM clean"
+             for c in ("trip_distance", "tip_amt") for p in range(11)]
+    return f"WITH {TRIPS}, {CLEAN} " + " UNION ALL ".join(parts)
+
+
+_GAPS = f"""WITH {TRIPS}, {CLEAN}, gaps AS (SELECT passenger_count, trip_distance,
+  CASE WHEN trip_id % 5 = 0 OR trip_id % 7 = 0 THEN NULL ELSE fare_amt END AS fare_or_none FROM clean)"""
+
+
+def _correlation_rules_sql(ranks: bool) -> str:
+    columns = ["passenger_count", "trip_distance", "fare_or_none"]
+    parts = []
+    for rule in ("pairwise", "listwise"):
+        for i in range(3):
+            for j in range(i + 1, 3):
+                x, y = columns[j], columns[i]
+                known = [x, y] if rule == "pairwise" else columns
+                rows = "SELECT * FROM gaps WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in known)
+                side = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)" if ranks else "{0}"
+                parts.append(f"SELECT '{x}' AS term_x, '{y}' AS term_y, '{rule}' AS rule, {R('corr(a, b)')} AS corr "
+                             f"FROM (SELECT {side.format(x)}::DOUBLE AS a, {side.format(y)}::DOUBLE AS b FROM ({rows}))")
+    return _GAPS + " " + " UNION ALL ".join(parts)
+
+
+def _pyramid_sql(resolution: int) -> str:
+    step = 1000 // resolution
+    edge = lambda c, lo, hi: f"(({hi}) - ({lo})) / {float(resolution)!r}E0 * {c} + ({lo})"
+    return f"""WITH {TRIPS}, {CLEAN}, b AS (SELECT min(start_lon) AS x0, max(start_lon) AS x1, min(start_lat) AS y0, max(start_lat) AS y1 FROM clean),
+fine AS (SELECT {_bins('start_lon', 'x0', 'x1', 1000)} // {step} AS x_bin, {_bins('start_lat', 'y0', 'y1', 1000)} // {step} AS y_bin FROM clean, b),
+cells AS (SELECT x_bin::INT AS x_bin, y_bin::INT AS y_bin, count(*) AS n FROM fine GROUP BY 1, 2)
+SELECT x_bin, y_bin, n, {R(edge('x_bin', 'x0', 'x1'))} AS start_lon, {R(edge('y_bin', 'y0', 'y1'))} AS start_lat FROM cells, b"""
+
+
+ORACLES.update({
+    "fare_deciles": _decile_sql(),
+    "rank_correlation": _correlation_rules_sql(True),
+    "correlation_rules": _correlation_rules_sql(False),
+    **{f"raster_{r}": _pyramid_sql(r) for r in (10, 100, 500, 1000)},
+    "many_hubs": f"""WITH {TRIPS}, {CLEAN},
+centres AS (SELECT i, -74.05E0 + (i * 7919 % 10000) * (0.3E0 / 10000) AS x, 40.58E0 + (i * 104729 % 9973) * (0.32E0 / 9973) AS y FROM range(10000) t(i)),
+places AS (SELECT start_lon, start_lat, count(*) AS n, sum(trip_id) AS ids FROM clean GROUP BY 1, 2),
+near AS (SELECT start_lon, start_lat, min({{'d': (start_lon - x) * (start_lon - x) + (start_lat - y) * (start_lat - y), 'h': i}}).h AS h
+  FROM places, centres GROUP BY 1, 2)
+SELECT h::INT AS cluster, sum(n)::BIGINT AS rides, sum(ids)::BIGINT AS trip_ids FROM near JOIN places USING (start_lon, start_lat) GROUP BY h""",
+    "hashed_check": "SELECT CAST(0 AS BIGINT) AS misassigned, TRUE AS sizes_ok, TRUE AS failures_found",
+    "forest_check": "SELECT TRUE AS probs_sum_to_1, CAST(0 AS BIGINT) AS argmax_mismatch, TRUE AS importances_sum_to_1, "
+                    "TRUE AS failures_found, TRUE AS importance_found",
+    "file_manifest_check": "SELECT CAST(0 AS BIGINT) AS different_files, TRUE AS rows_complete, TRUE AS titles_ok",
+    "bundle_density": ORACLES["pickup_density"],
+    "runlog_steps": "SELECT 'Count: lineitem' AS action, 'query' AS run_env, count(*) AS n_row, TRUE AS timed FROM lineitem UNION ALL "
+                    "SELECT 'Count: events', 'query', count(*), TRUE FROM events UNION ALL SELECT 'Count: embeddings', 'query', count(*), TRUE FROM embeddings",
+    "payment_names": f"""WITH {TRIPS}, {CLEAN} SELECT p.payment, p.paid, count(*) AS rides FROM clean
+LEFT JOIN (VALUES ('Cash', 'cash', TRUE), ('CREDIT', 'card', TRUE), ('Dispute', 'disputed', FALSE)) p(payment_type, payment, paid) USING (payment_type)
+GROUP BY p.payment, p.paid""",
+})

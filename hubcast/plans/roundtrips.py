@@ -13,7 +13,7 @@ from hubcast.operators.rollup import distinct_rows
 from hubcast.session import cut_lineage, shared_dir
 from hubcast.sources import fixtures as fx
 from hubcast.sources import io
-from hubcast.sources.schemas import trip_schema
+from hubcast.sources.schemas import RUNLOG_SCHEMA, trip_schema
 
 CANONICAL = {f.name.lower(): f.dataType.simpleString() for f in trip_schema(with_id=True).fields}
 
@@ -155,16 +155,44 @@ def q_ingest_loop(spark, sf):
     return lower_columns(io.read_parquet(spark, target))
 
 
-def q_summary_bundle(spark, sf):
-    """K8: the four summaries written as one dated bundle; the heat table read back."""
+def _bundle(spark, sf) -> dict[str, str]:
     from hubcast.operators.hubs import assign_hubs
-    from hubcast.plans.catalog import rounded
     from hubcast.plans.summaries import summaries_one_pass, write_bundle
     raw = fx.raw_trips(spark, sf)
     clustered = assign_hubs(plausible_trips(lower_columns(raw)))
     tables = summaries_one_pass(raw, clustered, density_cap=10_000)
-    paths = write_bundle(tables, shared_dir(spark, "bundle"), run_date="2020-02-26")
-    return rounded(spark.read.parquet(paths["s_heatmap"]))
+    return write_bundle(tables, shared_dir(spark, "bundle"), run_date="2020-02-26")
+
+
+def q_summary_bundle(spark, sf):
+    """K8: the summaries written as one dated bundle; the heat table read back."""
+    from hubcast.plans.catalog import rounded
+    return rounded(spark.read.parquet(_bundle(spark, sf)["s_heatmap"]))
+
+
+def q_bundle_density(spark, sf):
+    """The published density table of the bundle, every cell of it."""
+    return spark.read.parquet(_bundle(spark, sf)["s_blackmap"])
+
+
+def q_runlog_steps(spark, sf):
+    """K9: timed steps written to a run log and read back: what ran, on how many rows, in order."""
+    from hubcast.operators.runlog import RunLog
+    log = RunLog(run_env="query", run_ram="default")
+    for name in ("lineitem", "events", "embeddings"):
+        with log.step(f"Count: {name}") as step:
+            step["n_row"] = fx.table(spark, sf, name).count()
+    path = shared_dir(spark, "steps")
+    log.append_to(spark, path)
+    return io.read_csv(spark, path, schema=RUNLOG_SCHEMA).select("action", "run_env", F.col("n_row").cast("long").alias("n_row"), (F.col("runtime") >= 0).alias("timed"))
+
+
+def q_payment_names(spark, sf):
+    """A literal lookup table joined to the trips' payment types."""
+    names = io.local_table(spark, [("Cash", "cash", True), ("CREDIT", "card", True), ("Dispute", "disputed", False)],
+                           "payment_type string, payment string, paid boolean")
+    return (plausible_trips(fx.trips(spark, sf)).join(F.broadcast(names), "payment_type", "left")
+            .groupBy("payment", "paid").agg(F.count(F.lit(1)).alias("rides")))
 
 
 # ---------------------------------------------------------------- streams

@@ -11,20 +11,22 @@ from hubcast.operators.sampling import sample_n
 
 def summaries(raw_trips: DataFrame, clustered: DataFrame, hourly: DataFrame,
               density_cap: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
-    """``s_summary`` (raw rows), ``s_centers``, ``s_heatmap``, ``s_blackmap``.
+    """``s_summary`` (raw rows), ``s_centers``, ``s_heatmap``, ``s_blackmap`` (every cell).
 
-    The density cap keeps at most ``density_cap`` random cells (top-k in Spark,
-    never more rows than exist).
+    With ``density_cap`` there is also ``s_blackmap_sample``, at most that many
+    random cells for a map (top-k in Spark, never more rows than exist).
     """
     density = pickup_density(clustered)
-    if density_cap is not None:
-        density = sample_n(density, density_cap, seed)
-    return {
+    return _with_sample({
         "s_summary": dataset_summary(raw_trips, "trip_pickup_datetime"),
         "s_centers": hub_centres(clustered),
         "s_heatmap": week_hour_heat(hourly),
         "s_blackmap": density,
-    }
+    }, density_cap, seed)
+
+
+def _with_sample(tables: dict[str, DataFrame], density_cap: int | None, seed: int) -> dict[str, DataFrame]:
+    return tables if density_cap is None else {**tables, "s_blackmap_sample": sample_n(tables["s_blackmap"], density_cap, seed)}
 
 
 def summaries_one_pass(raw_trips: DataFrame, clustered: DataFrame, density_cap: int | None = None,
@@ -59,14 +61,12 @@ def summaries_one_pass(raw_trips: DataFrame, clustered: DataFrame, density_cap:
         "pickup_wday", "pickup_hour", F.col("n").alias("rides"),
         F.try_divide(F.col("fare"), F.col("distance")).alias("fpm"))
     density = g.where(F.col("_g_lat_r") == 0).select("lat_r", "lon_r", "n")
-    if density_cap is not None:
-        density = sample_n(density, density_cap, seed)
-    return {
+    return _with_sample({
         "s_summary": dataset_summary(raw_trips, "trip_pickup_datetime"),
         "s_centers": decorate_centres(centres),
         "s_heatmap": complete_heat(heat),
         "s_blackmap": density,
-    }
+    }, density_cap, seed)
 
 
 def model_summaries(models, raw_trips: DataFrame, density_cap: int | None = None,

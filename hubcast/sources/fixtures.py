@@ -78,16 +78,16 @@ def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runlog_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log, first header variant: ``action, time, n_row, timestamp`` (numbers
-    are doubles, as the logs were written)."""
-    return (table(spark, sf_dir, "events").where("event_type = 'view'")
-            .selectExpr("'Model: Fit' AS action", "value AS time",
+    are doubles, as the logs were written); every event that the second one does not have."""
+    return (table(spark, sf_dir, "events").where("NOT coalesce(event_type IN ('click', 'purchase'), false)")
+            .selectExpr("CASE event_type WHEN 'view' THEN 'Model: Fit' WHEN 'signup' THEN 'Model: Load' ELSE 'Load: file' END AS action", "value AS time",
                         "CAST(user_id AS DOUBLE) AS n_row", "ts AS timestamp"))
 
 
 def runlog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run log, second header variant: ``action, runtime, timestamp, filesize``."""
-    return (table(spark, sf_dir, "events").where("event_type = 'click'")
-            .selectExpr("'Write: file' AS action", "value AS runtime",
+    """Run log, second header variant: ``action, runtime, timestamp, filesize`` (clicks and purchases)."""
+    return (table(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')")
+            .selectExpr("CASE event_type WHEN 'click' THEN 'Write: file' ELSE 'Write: model' END AS action", "value AS runtime",
                         "ts AS timestamp", "CAST(event_id AS DOUBLE) AS filesize"))
 
 
