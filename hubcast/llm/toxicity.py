@@ -17,17 +17,17 @@ toxic if any of its labels says so; of the rows that repeat a doc_id the one
 whose text has the smallest hash is learned from; without both classes the score is the
 share of toxic ones (0 without labels); repeated rows and null doc_ids are
 scored like any other; extra columns are ignored; an empty table gives an empty
-result.
+result; very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, record, utf8
+from .common import arrow_map, pieces, record, stage, utf8
 
 ORDERS, BITS = (2, 3, 4, 5), 18
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.binary())])
@@ -104,14 +104,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, docs_per_class: int = 1500) -> Classifier:
     """Fit on labelled rows where ``learn`` (a condition on doc_id) holds: at most ``docs_per_class`` of each class."""
-    marks = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn)
-             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")))
-    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # first within parts of a class, so that no task reads a whole class; then among what the parts keep
-    part = Window.partitionBy("label", F.pmod(F.xxhash64("doc_id"), F.lit(256))).orderBy(*by_hash)
-    few = marks.withColumn("at", F.row_number().over(part)).where(F.col("at") <= docs_per_class).drop("at")
-    order = Window.partitionBy("label").orderBy(*by_hash)
-    picked = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_class).select("doc_id", "label")
+    marks = stage(labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn)
+                  .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")), "toxicity-labels")
+    # the first of each class by hash: every task keeps at most docs_per_class, which are then merged
+    first = [marks.where(wanted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_per_class) for wanted in (F.col("label") > 0, F.col("label") <= 0)]
+    picked = first[0].unionByName(first[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(picked), "doc_id")
     # one row of a doc_id, however often it repeats: what reaches the driver is bounded by docs_per_class
     texts = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("kept")).select("doc_id", "label", "kept.text")
