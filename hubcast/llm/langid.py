@@ -10,16 +10,16 @@ numbers) and trained in numpy on a bounded sample of labelled documents:
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text when no labelled document exists; rows with a null lang are
 never learned from; ties go to the language that sorts first; repeated rows
-and null doc_ids are scored like any other; extra columns are ignored; an empty
+and null doc_ids are scored like any other; very long texts are read whole,
+window by window; extra columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ from .common import arrow_map, pieces
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode letters (categories Lu, Ll, Lt, Lm, Lo): neither digits such as a half or a superscript, nor marks.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: bytes) -> np.ndarray:
