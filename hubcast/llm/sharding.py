@@ -4,14 +4,15 @@ Records are ordered by (text key, doc_id), so copies of a text are neighbours.
 A size-weighted sample of keys (expected ``sample_keys`` of them, whatever the
 input's size) gives quantile boundaries; records are range-partitioned by them.
 A range whose bytes exceed its share twice (a text with very many copies, or a
-sampling error) is subdivided by a hash of the document.  Exact totals per range
+sampling error) is subdivided by a hash of a key written with every record.  Exact totals per range
 place every range on a line from 0 to the total; within a range a running sum
 places each record, and the shard is the 1/n-th of the line its first byte
 falls in.  Sizes of shards therefore differ by less than one record, whatever
 the sample was.
 
 Defined cases: a null text has no bytes (size 8); a null doc_id sorts first;
-repeated rows are separate records; extra columns are ignored; an empty table
+repeated rows are separate records, drawn and subdivided each by its own key;
+very long texts are only hashed and measured; extra columns are ignored; an empty table
 gives an empty result; with fewer records than shards some shards are empty.
 """
 
@@ -33,7 +34,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, sample_keys: int = 20_000,
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     digest = F.md5(text)
-    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    # ``row_key`` is written with the table: a key of every record's own, also among equal ones.
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"),
                              # 52 bits of the digest: exact as a double, so ranges can be looked up by value
                              F.conv(F.substring(digest, 1, 13), 16, 10).cast("double").alias("key"),
                              F.conv(F.substring(digest, 14, 15), 16, 10).cast("long").alias("key2"),
@@ -41,7 +43,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, sample_keys: int = 20_000,
                              F.crc32(text).alias("text_crc32")), "shard-keys")
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     # Size-weighted sample: a record is drawn with probability size / total * sample_keys.
-    spread = F.xxhash64("doc_id", "key", "key2")
+    spread = F.xxhash64("row_key")
     draw = (F.pmod(spread, F.lit(1 << 52)) / float(1 << 52)) * float(max(total, 1))
     drawn = sorted(r["key"] for r in rows.where(draw < F.col("size") * float(sample_keys)).select("key").collect())
     n_ranges = max(shards * ranges_per_shard, shuffle_width(spark))
@@ -54,18 +56,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, sample_keys: int = 20_000,
     share = max(total // n_ranges, 1)
     parts = F.greatest(F.lit(1), F.ceil(F.sum("size") / share)).cast("int")
     counted = placed.groupBy("range").agg(F.sum("size").alias("bytes"), parts.alias("parts"))
-    over = {r["range"]: r["parts"] for r in counted.where(F.col("bytes") > 2 * share).collect()}  # at most n_ranges / 2 rows
-    part = F.lit(0)
-    if over:
-        split = F.create_map(*[F.lit(x) for kv in over.items() for x in kv])
-        part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.coalesce(F.try_element_at(split, F.col("range")), F.lit(1))).cast("int")
-    placed = placed.withColumn("part", part)
+    over = stage(counted.where(F.col("bytes") > 2 * share).select("range", "parts"), "shard-over")   # at most n_ranges / 2 rows
+    placed = (placed.join(F.broadcast(over), "range", "left")
+              .withColumn("part", F.pmod(F.xxhash64("row_key", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
     cell = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range part (a parameter's worth, not the input's): its place on the line.
     starts = (placed.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
               .select("range", "part", F.coalesce(F.sum("bytes").over(cell), F.lit(0)).alias("byte0"),
                       F.coalesce(F.sum("n").over(cell), F.lit(0)).alias("row0")))
-    order = Window.partitionBy("range", "part").orderBy("key", "key2", "doc_id", "text_crc32")
+    order = Window.partitionBy("range", "part").orderBy("key", "key2", "doc_id", "text_crc32", "row_key")
     before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     lined = (placed.withColumn("before", before).withColumn("row", F.row_number().over(order) - 1)
              .join(F.broadcast(starts), ["range", "part"])
