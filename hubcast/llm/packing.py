@@ -5,14 +5,15 @@ sequences and a first, shorter piece.  Best-fit decreasing then runs over the
 *counts* per length (at most ``capacity`` of them, whatever the number of
 documents) and yields a plan: for every length, runs of consecutive ranks with
 the sequence numbers and the offset they take.  Pieces find their slot by
-joining the plan on (length, rank).  Ranks within a length are made from counts
-per (length, salt), so a length shared by a third of all documents is ranked in
-many tasks.
+joining the plan on (length, rank).  Every piece has a key of its own, written
+with it; a length with more than ``cell_rows`` pieces is dealt by that key to as many
+cells as needed, and ranks are made from counts per cell, so a length shared by
+a third of all documents, or by very many copies of one, is ranked in many tasks.
 
 Defined cases: a null or empty text is the end token alone; an added token of the
 vocabulary written out in a text is that token; repeated rows are
-packed each; ties in length are ranked by (salt, doc_id, piece); a null doc_id
-is packed like any other; extra columns are ignored; an empty table gives an
+packed each; ties in length are ranked by (cell, doc_id, piece, key); a null doc_id
+is packed like any other; a very long text is tokenised whole; extra columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, record, shuffle_width, stage
+from .common import arrow_map, pieces, record, stage
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -169,50 +170,52 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
         rank, left = 0, counts[length]
         while left:
             at = bisect_left(rooms, length)
+            room, many = (rooms[at], 0) if at < len(rooms) else (capacity, left)
             if at < len(rooms):
-                room = rooms[at]
                 first, many = by_room[room].pop()
-                took = min(many, left)
-                if many > took:
-                    by_room[room].append((first + took, many - took))
-                elif not by_room[room]:
-                    del by_room[room], rooms[at]
             else:
-                # New sequences take as many of this length as fit, side by side.
-                room, each = capacity, capacity // length
-                took = left // each if left >= each else 1
-                first, opened = opened, opened + took
-                for j in range(1, min(each, left)):
-                    plan.append((length, rank, rank + took, first, capacity - room))
-                    rank, left, room = rank + took, left - took, room - length
-            plan.append((length, rank, rank + took, first, capacity - room))
-            put(room - length, first, took)
-            rank, left = rank + took, left - took
+                first = opened
+            # What a piece leaves free is the tightest room for the next one of its length, as long as that fits:
+            # sequences are filled side by side with as many as they take, and one with what is left over.
+            each = room // length
+            took, each = (min(many, left // each), each) if left >= each else (1, left)
+            if at == len(rooms):
+                opened += took
+            elif many > took:
+                by_room[room].append((first + took, many - took))
+            elif not by_room[room]:
+                del by_room[room], rooms[at]
+            for _ in range(each):
+                plan.append((length, rank, rank + took, first, capacity - room))
+                rank, left, room = rank + took, left - took, room - length
+            put(room, first, took)
     return plan
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0,
-                   keep_ids: bool = False) -> DataFrame:
+                   keep_ids: bool = False, cell_rows: int = 1 << 18) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, ids (if ``keep_ids``), sequence_id, offset: one row per piece."""
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     cut = stage(arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                          _cut(path, capacity, end_id, keep_ids), PIECES), "pieces")
-    salts = shuffle_width(spark)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    cells = stage(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")  # <= capacity * salts rows
-    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
+                          _cut(path, capacity, end_id, keep_ids), PIECES).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     plan = plan_best_fit(counts, capacity)
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "rank0")
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = (salted.join(starts, ["length", "salt"])
-              .withColumn("rank", F.col("rank0") + F.row_number().over(within) - 1).drop("salt", "rank0"))
-    # The plan's size is bounded by capacity (runs are split at most once per length), not by the documents.
+    # Both tables below are bounded by capacity: runs are split at most once per length.
     runs = (spark.createDataFrame(plan, "length long, lo long, hi long, sequence0 long, offset long")
             .groupBy("length").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "sequence0", "offset"))).alias("runs")))
+    many = spark.createDataFrame([(k, -(-n // cell_rows)) for k, n in counts.items()], "length long, cells long")
+    dealt = cut.join(F.broadcast(many), "length").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells"))).drop("cells")
+    # One row a cell (pieces / cell_rows + capacity of them) with its first rank and the runs that its ranks meet.
+    before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    meets = F.filter("runs", lambda r: (r["lo"] < F.col("rank0") + F.col("n")) & (r["hi"] > F.col("rank0")))
+    cells = stage(dealt.groupBy("length", "cell").agg(F.count("*").alias("n")).withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0)))
+                  .join(F.broadcast(runs), "length").select("length", "cell", "rank0", meets.alias("runs")), "piece-cells")
+    within = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32", "row")
+    ranked = (dealt.withColumn("at", F.row_number().over(within) - 1).join(cells, ["length", "cell"])
+              .withColumn("rank", F.col("rank0") + F.col("at")))
     run = F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))[0]
-    placed = ranked.join(F.broadcast(runs), "length").withColumn("run", run)
+    placed = ranked.withColumn("run", run)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []),
             (F.col("run.sequence0") + F.col("rank") - F.col("run.lo")).alias("sequence_id"), F.col("run.offset").alias("offset")]
     return placed.select(*cols)
