@@ -5,8 +5,10 @@ a whole document says nothing.  Items are partitioned by size (number of
 distinct word shingles, powers of two); for a size class with upper bound u, a
 document is seen as windows of 2u shingles, u apart, in which a contained item
 makes up a third or more.  Item and window signatures are one-permutation
-MinHash sketches (the smallest hash per bin, ``bins_per_shingle * u`` bins,
-``permutations`` of them); one equal slot makes a candidate.  With these
+MinHash sketches (the smallest hash per bin, ``bins_per_shingle * u`` bins but at
+most ``max_bins``, ``permutations`` of them); one equal slot makes a candidate.
+A short item's sketch keeps nearly all its shingles, since it has few to be
+found by; a long one's is bounded by ``max_bins * permutations``.  With these
 parameters a contained item is missed with a probability below 1e-5 for a
 single shingle and far below it for longer items.  Candidates are verified by
 exact containment of the item's distinct shingles in the whole document.
@@ -22,7 +24,7 @@ is no shuffle: hot texts or passages cannot gather in one task.
 Defined cases: null or empty texts and items match nothing; an item with fewer
 words than a shingle is one shingle of all its words, sought among the
 documents' shingles of that length; repeated rows each give their pairs; a null
-doc_id is returned as such; extra columns are ignored; an empty table on either
+doc_id is returned as such; very long texts are searched whole; extra columns are ignored; an empty table on either
 side gives an empty result.
 """
 
@@ -95,7 +97,7 @@ class SizeClass:
 class ContainmentIndex:
     """Signatures and shingles of one pass's items."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], length: int, permutations: int, bins_per_shingle: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], length: int, permutations: int, bins_per_shingle: int, max_bins: int = 512):
         self.permutations = permutations
         self.items: list[tuple[int | None, int, frozenset[bytes]]] = []
         self.classes: dict[int, dict[int, SizeClass]] = defaultdict(dict)
@@ -105,7 +107,7 @@ class ContainmentIndex:
             if not parts:
                 continue
             upper = 1 << (len(parts) - 1).bit_length()
-            cls = self.classes[k].setdefault(upper, SizeClass(upper, bins_per_shingle * upper))
+            cls = self.classes[k].setdefault(upper, SizeClass(upper, min(bins_per_shingle * upper, max_bins)))
             cls.add(len(self.items), _hashes(sorted(parts)), permutations)
             self.items.append((item_id, k, parts))
         self.filters = {k: np.zeros((permutations, _FILTER), bool) for k in self.classes}  # values any class holds
@@ -148,7 +150,7 @@ def _search(index, threshold: float):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, permutations: int = 3,
-                 bins_per_shingle: int = 64, pass_bytes: int = 16 << 20) -> DataFrame:
+                 bins_per_shingle: int = 64, max_bins: int = 512, pass_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: items whose shingles a document holds to ``threshold`` or more."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text"))
@@ -158,7 +160,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
     found = None
     for n in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
-        index = ContainmentIndex([(r["item_id"], bytes(r["text"])) for r in part.collect()], shingle, permutations, bins_per_shingle)
+        index = ContainmentIndex([(r["item_id"], bytes(r["text"])) for r in part.collect()], shingle, permutations, bins_per_shingle, max_bins)
         hits = arrow_map(base, _search(spark.sparkContext.broadcast(index), threshold), PAIRS)
         found = hits if found is None else found.unionByName(hits)
     return found
