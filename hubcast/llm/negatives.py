@@ -27,25 +27,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
 from .common import arrow_map, record, shuffle_width, stage
 
-SHARDS = "shard long, ids array<long>, labels binary, anchors binary, width int, matrix binary"
-ANCHORS = "home long, block int, ids array<long>, labels binary, places binary, width int, matrix binary"
 MARKS = "array<struct<place int, positive int, low long, high long>>"
 HITS = "home long, block int, place int, positive int, anchor_id long, shard long, at int, vec_id long, score long"
-_SHARDS = pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("labels", pa.binary()), ("anchors", pa.binary()), ("width", pa.int32()),
-                     ("matrix", pa.binary())])
-_ANCHORS = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("labels", pa.binary()), ("places", pa.binary()), ("width", pa.int32()),
-                      ("matrix", pa.binary())])
 _HITS = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("place", pa.int32()), ("positive", pa.int32()), ("anchor_id", pa.int64()), ("shard", pa.int64()),
                    ("at", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
-#: Below every score that counts.
-NONE = -(2 ** 63 - 1)
 
 
 def _padded(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
@@ -92,72 +83,6 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return blocks.clipped(strassen(q, np.ascontiguousarray(c.T)))
 
 
-class Heaps:
-    """The k best (score, place) of each of n rows; earlier places win ties.  Fed in order of place."""
-
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.score = np.full((n, k), NONE, np.int64)
-        self.at = np.full((n, k), -1, np.int32)
-
-    def offer(self, got: np.ndarray, allowed: np.ndarray, at0: int) -> None:
-        """Merge a tile's scores where ``allowed``; its columns are the places from ``at0`` on."""
-        got = np.where(allowed, np.maximum(got, NONE + 1), NONE)
-        least = self.score[:, -1]
-        if got.shape[1] > self.k:
-            least = np.maximum(least, np.partition(got, -self.k, axis=1)[:, -self.k] - 1)
-        row, col = np.nonzero(got > np.maximum(least, NONE)[:, None])
-        if not len(row):
-            return
-        s = got[row, col]
-        order = np.lexsort((col, -s, row))
-        row, col, s = row[order], col[order], s[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < self.k
-        new_s = np.full(self.score.shape, NONE, np.int64)
-        new_at = np.full(self.at.shape, -1, np.int32)
-        new_s[row[keep], rank[keep]], new_at[row[keep], rank[keep]] = s[keep], col[keep] + at0
-        both, places = np.concatenate([self.score, new_s], axis=1), np.concatenate([self.at, new_at], axis=1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :self.k]
-        self.score, self.at = np.take_along_axis(both, order, 1), np.take_along_axis(places, order, 1)
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place, score) of all that was kept."""
-        row, rank = np.nonzero(self.at >= 0)
-        return row, self.at[row, rank], self.score[row, rank]
-
-
-def _pack(dim: int, rows: int):
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        for n, table in enumerate(blocks.row_batches(batches, rows)):
-            m = blocks.matrix(blocks.one_array(table, "v"), dim)
-            missing = table.column("vec_id").is_null().to_numpy()
-            exact = table.column("vec_id").fill_null(0).to_numpy()
-            order = np.lexsort((exact, missing))
-            width, data = blocks.packed(m[order])
-            yield record(_SHARDS, shard=[(part << 24) + n], ids=[[None if missing[i] else int(exact[i]) for i in order]],
-                         labels=[table.column("label").to_numpy()[order].astype(np.int64).tobytes()],
-                         anchors=[table.column("anchor").to_numpy()[order].astype(np.uint8).tobytes()], width=[width], matrix=[data])
-    return run
-
-
-def _anchors(rows: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = row["ids"]
-                m = blocks.unpacked(row["width"], row["matrix"], len(ids))
-                places = np.flatnonzero(np.frombuffer(row["anchors"], np.uint8))
-                labels = np.frombuffer(row["labels"], np.int64)
-                for at in range(0, len(places), rows):
-                    some = places[at:at + rows].astype(np.int32)
-                    width, data = blocks.packed(m[some])
-                    yield record(_ANCHORS, home=[row["shard"]], block=[at // rows], ids=[[ids[i] for i in some]], labels=[labels[some].tobytes()],
-                                 places=[some.tobytes()], width=[width], matrix=[data])
-    return run
-
-
 def _tiles(k: int, stretch: int, in_windows: bool):
     """Hits of the anchor blocks streamed past each shard: ``in_windows`` of other labels, else of the same label."""
     def run(batches):
@@ -181,7 +106,7 @@ def _tiles(k: int, stretch: int, in_windows: bool):
                         low[index[mark["place"]]], high[index[mark["place"]]] = mark["low"], mark["high"]
                 else:
                     windows = {0: (None, None)}
-                heaps = {w: Heaps(len(places), k) for w in windows}
+                heaps = {w: blocks.Heaps(len(places), k) for w in windows}
                 for at in range(0, len(c_labels), stretch):
                     got = scores(m, c[at:at + stretch])
                     same = labels[:, None] == c_labels[None, at:at + stretch]
@@ -221,13 +146,13 @@ def mine_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
     spark = vectors.sparkSession
     kept = (vectors.where(blocks.usable(F.col(vector_col)))
             .select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"),
-                    F.coalesce(is_anchor & F.col(id_col).isNotNull(), F.lit(False)).alias("anchor"),
+                    F.coalesce(is_anchor & F.col(id_col).isNotNull(), F.lit(False)).alias("marked"),
                     blocks.floored(F.col(vector_col), scale).alias("v")).where("label IS NOT NULL"))
     shape = kept.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     n = max(min(shuffle_width(spark), -(-shape["n"] // 1024)), -(-shape["n"] // shard_rows), 1)
     # Dealt out evenly, whatever the keys: equal rows and ids spread like any others.
-    shards = stage(arrow_map(kept.repartition(n), _pack(max(shape["d"] or 0, 1), shard_rows), SHARDS), "negative-shards")
-    anchors = stage(arrow_map(shards, _anchors(anchor_rows), ANCHORS), "negative-anchors")
+    shards = stage(arrow_map(kept.repartition(n), blocks.pack_shards(max(shape["d"] or 0, 1), shard_rows), blocks.SHARDS), "negative-shards")
+    anchors = stage(arrow_map(shards, blocks.marked_blocks(anchor_rows), blocks.MARKED), "negative-anchors")
     # Numbers of the shards: one for shard_rows rows.
     every = shards.select("shard").distinct().agg(F.sort_array(F.collect_list("shard")).alias("shards"))
 

@@ -1,19 +1,20 @@
 """Exact top-k search by inner product, in tiles.
 
-Vectors are packed into *shards* (matrices with their sorted ids); the stated
-queries into *query blocks*.  Each (block, shard) tile is one matrix product
-inside a task; only the k best of a tile's row leave it, and the short lists
-are merged per query in two levels.  A shard is streamed past with one query
-block in memory at a time.
+Vectors are dealt evenly to *shards* (matrices in the narrowest integer type that
+holds them, sorted by id); the stated queries of a shard make *query blocks*,
+which are sent past every shard.  Each tile of a block and a stretch of a shard is
+one matrix product inside a task; only the k best of a tile's row are kept,
+merged per shard and then per query in two levels of ranks.
 
-Components are quantised to ``floor(256 * x)`` and products are exact: float64
+Components are quantised to ``floor(scale * x)`` and products are exact: float64
 matrix products while the bound on a score is below 2**53, Python integers
 (clipped to the range of a long) otherwise.
 
 Defined cases: a null vector, or one holding a null or non-finite component, or
 a null id takes no part; vectors of unequal length are compared as if padded
-with zeros; rows repeating an id count once (the smallest vector of that id);
-ties go to the smaller id; fewer than k candidates return all; extra columns
+with zeros; rows repeating an id, and equal rows, are rows of their own: each is
+a candidate of all other rows, and each query row is answered; ties go to the
+smaller id; fewer than k candidates return all; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -24,117 +25,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import arrow_map, record, shuffle_width, stage
 
-PACKED = "shard int, block int, ids binary, dim int, matrix binary"
-HITS = "query_id long, shard int, vec_id long, score long"
-_PACKED = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("dim", pa.int32()), ("matrix", pa.binary())])
-_HITS = pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(vec_id, v): usable vectors with components floor(scale * x) as long."""
-    v = F.col(vector_col).cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return (vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad)
-            .select(F.col(id_col).cast("long").alias("vec_id"),
-                    F.transform(v, lambda x: F.floor(x * float(scale))).alias("v")))
-
-
-def _pack(as_block: bool, rows: int):
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        ids = table.column("vec_id").to_numpy()
-        lists = table.column("v").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        lens = np.asarray(lists.value_lengths())
-        dim = int(lens.max(initial=0))
-        m = np.zeros((len(ids), dim), np.int64)
-        m[np.arange(dim) < lens[:, None]] = np.asarray(lists.flatten())
-        order = np.lexsort([*m.T[::-1], ids])
-        ids, m = ids[order], m[order]
-        first = np.r_[True, ids[1:] != ids[:-1]]
-        ids, m = ids[first], m[first]
-        from pyspark import TaskContext
-        part = TaskContext.get().partitionId()
-        for n, lo in enumerate(range(0, len(ids), rows)):
-            yield record(_PACKED, shard=[-1 if as_block else part], block=[part * 1000 + n if as_block else -1],
-                         ids=[ids[lo:lo + rows].tobytes()], dim=[dim], matrix=[m[lo:lo + rows].tobytes()])
-    return run
+HITS = "home long, block int, place int, query_id long, shard long, at int, vec_id long, score long"
+_HITS = pa.schema([("home", pa.int64()), ("block", pa.int32()), ("place", pa.int32()), ("query_id", pa.int64()), ("shard", pa.int64()),
+                   ("at", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products, clipped to the range of a long."""
-    d = min(q.shape[1], c.shape[1])
-    q, c = q[:, :d], c[:, :d]
     top = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (q, c)]
-    if top[0] * top[1] * d < 2 ** 53:
+    if top[0] * top[1] * max(q.shape[1], 1) < 2 ** 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    whole = q.astype(object) @ c.astype(object).T
-    return np.clip(whole, -2 ** 63, 2 ** 63 - 1).astype(np.int64)
-
-
-def _best(q_ids, c_ids, scores, k):
-    """The k best of each row, ties to the smaller (earlier) candidate id, without the query's own id."""
-    n = len(c_ids)
-    at = np.searchsorted(c_ids, q_ids)
-    own = (at < n) & (c_ids[np.minimum(at, n - 1)] == q_ids)
-    valid = np.full(len(q_ids), n) - own
-    kth = min(k + 1, n) - 1
-    out = []
-    floor = np.partition(-scores, kth, axis=1)[:, kth]
-    for i in range(len(q_ids)):
-        near = np.flatnonzero(-scores[i] <= floor[i])
-        if own[i]:
-            near = near[near != at[i]]
-        near = near[np.argsort(-scores[i][near], kind="stable")][:min(k, valid[i])]
-        out.append((np.full(len(near), q_ids[i]), c_ids[near], scores[i][near]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+    return blocks.clipped(q.astype(object) @ c.astype(object).T)
 
 
-def _tiles(k: int):
+def _tiles(k: int, stretch: int):
     def run(batches):
-        shard = c_ids = c = None
+        here = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                m = np.frombuffer(row["matrix"], np.int64).reshape(len(ids), row["dim"])
-                if row["block"] < 0:
-                    shard, c_ids, c = row["shard"], ids, m
-                elif shard == row["shard"]:
-                    q, v, s = _best(ids, c_ids, _product(m, c), k)
-                    yield record(_HITS, query_id=q, shard=np.full(len(q), shard, np.int32), vec_id=v, score=s)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids = np.array(row["ids"], np.int64)
+                m = blocks.unpacked(row["width"], row["matrix"], len(ids))
+                if row["home"] < 0:
+                    here = row["shard"], ids, m
+                    continue
+                shard, c_ids, c = here
+                places = np.frombuffer(row["places"], np.int32)
+                heaps = blocks.Heaps(len(places), k)
+                for at in range(0, len(c_ids), stretch):
+                    got = _product(m, c[at:at + stretch])
+                    allowed = np.ones(got.shape, bool)
+                    if row["home"] == shard:
+                        own = np.flatnonzero((places >= at) & (places < at + stretch))
+                        allowed[own, places[own] - at] = False
+                    heaps.offer(got, allowed, at)
+                who, where, score = heaps.entries()
+                if len(who):
+                    yield record(_HITS, home=np.full(len(who), row["home"]), block=np.full(len(who), row["block"], np.int32), place=places[who],
+                                 query_id=ids[who], shard=np.full(len(who), shard), at=where, vec_id=c_ids[where], score=score)
     return run
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-               scale: int = 256, shard_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
+               scale: int = 256, shard_rows: int = 32768, query_rows: int = 512, stretch: int = 4096) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query.
 
-    ``is_query`` is a condition on ``vec_id``.  ``shard_rows`` and ``query_rows``
-    bound a tile, so a task holds one shard, one block and their product.
+    ``is_query`` is a condition on ``vec_id``.  A task holds one shard of
+    ``shard_rows``, one block of ``query_rows`` and its product with ``stretch`` candidates.
     """
     spark = vectors.sparkSession
-    v = quantised(vectors, id_col, vector_col, scale)
-    sizes = v.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards = max(min(shuffle_width(spark), -(-sizes["n"] // 1024)), -(-sizes["n"] // shard_rows), 1)
-    blocks = max(-(-sizes["q"] // query_rows), 1)
-    # Hash partitions keep rows of one id together; a partition is one shard (a few if it exceeds the bound).
-    shard_table = stage(arrow_map(v.repartition(shards, "vec_id"), _pack(False, 1 << 30), PACKED), "topk-shards")
-    block_table = arrow_map(v.where(is_query).repartition(blocks, "vec_id"), _pack(True, query_rows), PACKED)
-    every = shard_table.select("shard").distinct()
-    there = every.agg(F.sort_array(F.collect_list("shard")).alias("at"))   # shard numbers only: rows / shard_rows of them
-    numbers = there.first()["at"]
-    asked = block_table.withColumn("shard", F.explode(F.array(*[F.lit(x).cast("int") for x in numbers])) if numbers
-                                   else F.lit(-1).cast("int"))
-    tiles = arrow_map(shard_table.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "block"),
-                      _tiles(k), HITS)
-    best = [F.col("score").desc(), F.col("vec_id")]
-    some = Window.partitionBy("query_id", F.floor(F.col("shard") / 64)).orderBy(*best)
-    last = Window.partitionBy("query_id").orderBy(*best)
-    return (tiles.withColumn("at", F.row_number().over(some)).where(F.col("at") <= k)
+    kept = (vectors.where(F.col(id_col).isNotNull() & blocks.usable(F.col(vector_col)))
+            .select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("label"), blocks.floored(F.col(vector_col), scale).alias("v"))
+            .withColumn("marked", F.coalesce(is_query, F.lit(False))))
+    shape = kept.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    n = max(min(shuffle_width(spark), -(-shape["n"] // 1024)), -(-shape["n"] // shard_rows), 1)
+    # Dealt out evenly, whatever the keys: rows of one id, or equal ones, spread like any others.
+    shards = stage(arrow_map(kept.repartition(n), blocks.pack_shards(max(shape["d"] or 0, 1), shard_rows), blocks.SHARDS), "topk-shards")
+    asked = stage(arrow_map(shards, blocks.marked_blocks(query_rows), blocks.MARKED), "topk-queries")
+    # Numbers of the shards: one for shard_rows rows.
+    every = shards.select("shard").distinct().agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    cells = asked.drop("labels").withColumn("shard", F.explode(every.scalar()))
+    whole = shards.select("shard", F.lit(-1).cast("long").alias("home"), F.lit(-1).alias("block"), "ids", F.lit(None).cast("binary").alias("places"),
+                          "width", "matrix")
+    dealt = whole.unionByName(cells).repartitionByRange(n, "shard").sortWithinPartitions("shard", "home")
+    tiles = arrow_map(dealt, _tiles(k, stretch), HITS)
+    best = [F.col("score").desc(), F.col("vec_id"), F.col("shard"), F.col("at")]
+    query = ["home", "block", "place"]
+    some = Window.partitionBy(*query, F.pmod(F.xxhash64("shard"), F.lit(64))).orderBy(*best)
+    last = Window.partitionBy(*query).orderBy(*best)
+    return (tiles.withColumn("n", F.row_number().over(some)).where(F.col("n") <= k)
             .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
