@@ -335,11 +335,12 @@ def test_topk(spark):
     rows += [(i, [0.5] * 6) for i in range(230, 300)]
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")]), (None, [1.0]), (304, []), (305, [1.0]), (2, rows[2][1])]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int").repartition(4)
-    used = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and i not in (300, 301, 302, 303)}
+    used = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and i not in (300, 301, 302, 303)]
     want = []
-    for q in (i for i in used if i % 50 == 0):
-        near = sorted((-sum(a * b for a, b in zip(used[q], v, strict=False)), i) for i, v in used.items() if i != q)[:5]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(near, 1)]
+    for at, (q, w) in enumerate(used):      # row by row: a row that repeats an id is a candidate of all others
+        if q % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), i) for n, (i, v) in enumerate(used) if n != at)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(near, 1)]
     got = topk.exact_topk(table, F.col("vec_id") % 50 == 0, shard_rows=64, query_rows=3)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.exact_topk(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -393,3 +394,222 @@ def test_language(spark, none):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.identify(none, doc_part(4) != 2).count() == 0
     assert {r["lang_pred"] for r in langid.identify(table, F.lit(False)).collect()} == {"und"}
+
+
+# ------------------------------------------------------------ whole methods against plain Python
+
+_GLUE, _WHITE = "\"'([=:", " \t\n\x0b\x0c\r"
+
+
+def _words(text):
+    """Words as the contexts have them: a word ends at white space or behind marks that something follows."""
+    out, word = [], ""
+    for i, c in enumerate(text):
+        if c in _WHITE:
+            out.append(word)
+            word = ""
+            continue
+        if word and word[-1] in _GLUE and c not in _GLUE:
+            out.append(word)
+            word = ""
+        word += c
+    return [re.sub("[0-9]", "0", w.lower()) for w in [*out, word] if w]
+
+
+def _contexts(gap):
+    if gap and gap[-1] not in _GLUE + _WHITE:
+        return []
+    w = _words(gap)[-2:]
+    return w[-1:] + [" ".join(w)] * (len(w) == 2)
+
+
+def _with_gaps(text, matches):
+    at = 0
+    for m in matches:
+        yield m.start(), m.end(), m.group(), text[at:m.start()]
+        at = m.end()
+
+
+def _bootstrapped(rows, rounds=3, min_support=5, least=0.5):
+    """Added spans (kind, start, end) of every row, by the method's definition, for texts without grouped runs."""
+    kinds = ["email", "phone"]
+    formats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+    single = re.compile(r"""(?:(?<=[ "'(\[=:])|^)(?=[^ ]*[0-9@])[^ "'()\[\]=:,;]{5,}[^ "'()\[\]=:,;.!?]""")
+    met, seen = [], collections.Counter()
+    for n, text in enumerate(rows):
+        w = _words(text)
+        seen.update(w)
+        seen.update(" ".join(p) for p in zip(w, w[1:], strict=False))
+        base = [(s, e, v, g, kinds.index(k)) for k in kinds for s, e, v, g in _with_gaps(text, re.finditer(formats[k], text))
+                if k == "email" or 8 <= len(re.sub("[^0-9]", "", v)) <= 15]
+        other = [(s, e, v, g, -1) for s, e, v, g in _with_gaps(text, single.finditer(text)) if not any(a < e and s < b for a, b, *_ in base)]
+        met += [(n, s, e, v.lower(), p, k) for s, e, v, g, k in base + other for p in _contexts(g)]
+    support = collections.defaultdict(set)
+    for _, _, _, v, p, k in met:
+        if k >= 0:
+            support[p].add(v)
+    edges = collections.Counter((p, v) for _, _, _, v, p, _ in met if len(support[p]) >= min_support)
+    seed = collections.defaultdict(lambda: [0.0] * len(kinds))
+    for _, _, _, v, p, k in met:
+        if k >= 0 and len(support[p]) >= min_support:
+            seed[v][k] = 1.0
+    score = {v: list(seed[v]) for _, v in edges}
+    for _ in range(rounds):
+        pattern = {}
+        for q in {p for p, _ in edges}:
+            mine = [(v, n) for (p, v), n in edges.items() if p == q]
+            whole = max(sum(n for _, n in mine), seen[q]) + 1
+            pattern[q] = [sum(n * score[v][k] for v, n in mine) / whole for k in range(len(kinds))]
+        score = {v: list(seed[v]) if max(seed[v]) > 0 else [1 - math.prod(1 - pattern[p][k] for p, u in edges if u == v) for k in range(len(kinds))]
+                 for _, v in edges}
+    out = [set() for _ in rows]
+    for n, s, e, v, p, k in met:
+        if k < 0 and (p, v) in edges:
+            best = max((pattern[p][j], score[v][j], j) for j in range(len(kinds)))
+            if best[0] >= least and best[1] >= least:
+                out[n].add((best[2], s, e))
+    return out
+
+
+def test_pii_added_spans_equal_plain_bootstrapping(spark):
+    rng = random.Random(12)
+    new = lambda: f"{rng.choice(['ref', 'item', 'call'])}-{rng.randrange(100, 999)}x{rng.randrange(9)}"
+    places = ["tel:", "id=", "mail: ", 'name="', "see (", "the ", "write to ", "w" * 150 + " ", "ring us at ", "x"]
+    rows = []
+    for i in range(260):
+        place = rng.choice(places)
+        what = rng.choice([f"+1414555{rng.randrange(1000, 1060)}"] * 3 + [f"u{rng.randrange(40)}@example.org"] * 2 + [new(), "hello", "house"])
+        rows.append(f"{rng.choice(['we', 'a b', ''])} {place}{what} {rng.choice(['and', 'or the', 'id=hello', 'tel:none'])} {rng.choice(places)}{new()} end")
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: {({0: 0, 3: 1}[x["k"]], x["s"], x["e"]) for x in r["added"]} for r in got}
+    want = _bootstrapped(rows)
+    assert [found[i] for i in range(len(rows))] == want and sum(map(len, want)) > 20
+
+
+@pytest.mark.parametrize("before,plain,falsely", [("id=", "id=hello", "id=BUILD-77123x"), ("tel:", "tel:none", "tel:BUILD-77123x"),
+                                                  ('say "', 'say "hello"', 'say "BUILD-77123x"'), ("w" * 150 + " ", "w" * 150 + " on", "w" * 150 + " BUILD-77123x")])
+def test_pii_glued_and_long_contexts_are_counted(spark, before, plain, falsely):
+    seeds = [(i, f"a {before}+1414555{1000 + i} b") for i in range(10)]
+    common = [(100 + i, f"a {plain} b") for i in range(300)]
+    added = lambda rows: {r["doc_id"]: r["added"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[99]
+    assert len(added([*seeds, (99, f"a {falsely} b")])) == 1      # the pattern tells, as long as nothing else follows it
+    assert added([*seeds, (99, f"a {falsely} b"), *common]) == []
+
+
+def test_pii_many_matches_in_one_text(spark):
+    import time
+    took = {}
+    for n in (50, 2000, 8000):
+        text = " ".join(f"1.2.3.{i % 256}" for i in range(n))
+        start = time.time()
+        spans = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["base"]
+        took[n] = time.time() - start
+        assert len(spans) == n and all(text[x["s"]:x["e"]] == x["value"] for x in spans[:: max(1, n // 50)])
+    assert took[8000] < 2 * 4 * max(took[2000], 1.0)
+
+
+def test_toxicity_ratios_and_fit_equal_plain_sums():
+    rng = random.Random(3)
+    texts = [("bad awful " if i % 3 == 0 else "fine ") + " ".join(rng.choice(WORDS) for _ in range(8)) for i in range(60)]
+    labels = np.array([float(i % 3 == 0) for i in range(60)])
+    mark = np.zeros(1 << toxicity.BITS, np.int32)
+    rows = [toxicity.features(t.encode(), mark) for t in texts]
+
+    def by_hand(text):
+        b, out = text.encode().lower(), set()
+        for n in toxicity.ORDERS:
+            for i in range(len(b) - n + 1):
+                code = (int.from_bytes(b[i:i + n], "big") + (n << 56)) & (1 << 64) - 1
+                out.add((code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - toxicity.BITS))
+        return out
+    assert all(set(r.tolist()) == by_hand(t) and len(set(r.tolist())) == len(r) for r, t in zip(rows, texts, strict=True))
+    model = toxicity.fit(rows, labels, epochs=1, batch=60, rate=0.05, decay=0.0)
+    # one step over all rows, in plain sums: ratio of smoothed counts, gradient of the logistic loss, AdaGrad step
+    size = 1 << toxicity.BITS
+    counts = [collections.Counter(f for r, y in zip(rows, labels, strict=True) if y == c for f in r.tolist()) for c in (0, 1)]
+    totals = [size + sum(c.values()) for c in counts]
+    ratio = {f: math.log((counts[1][f] + 1) / totals[1]) - math.log((counts[0][f] + 1) / totals[0]) for c in counts for f in c}
+    share = labels.mean()
+    err = [(share - y) / 60 for y in labels]
+    for f in list(ratio)[::50]:
+        g = ratio[f] * sum(e for e, r in zip(err, rows, strict=True) if f in r)
+        assert abs(model.weights[f] - ratio[f] * -0.05 * g / math.sqrt(1e-6 + g * g)) < 1e-6
+    assert abs(model.intercept - (math.log(share / (1 - share)) - 0.05 * sum(err) / math.sqrt(1e-6 + sum(err) ** 2))) < 1e-9
+
+
+def test_language_letters_are_unicode_letters(spark):
+    rows = [(i, f"the cat sat on mat number {i}", "en") for i in range(40)] + [(100 + i, f"die katze sass auf der matte {i}", "de") for i in range(40)]
+    odd = [(900, "½ ²"), (901, "①② Ⅳ"), (902, "٣ 12_"), (903, "\u0301\u0903"), (904, "ª"), (905, "日"), (906, "ǅ 1"), (907, None), (908, "")]
+    table = spark.createDataFrame([*rows, *[(i, t, None) for i, t in odd]], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, F.col("doc_id") < 900).collect()}
+    assert {i for i in got if got[i] == "und"} == {900, 901, 902, 903, 907, 908}
+
+
+def test_language_of_a_very_long_text_and_ties(spark):
+    rows = [(i, f"the cat sat on the mat and {i} " * 20, "en") for i in range(40)] + [(100 + i, f"die katze sass auf der matte {i} " * 20, "de") for i in range(40)]
+    long = "the cat sat on the mat and " * 40_000
+    table = spark.createDataFrame([*rows, (900, long, None), (901, long, None)], "doc_id long, text string, lang string")
+    got = [tuple(r)[1:] for r in langid.identify(table, F.col("doc_id") < 900).where("doc_id >= 900").collect()]
+    assert got[0] == got[1] and got[0][0] == "en"
+    flat = langid.ByteConvNet(["de", "en"])
+    flat.out[:], flat.bias[:] = 0, 0
+    assert flat.langs[int(flat.probabilities(langid.windows(b"abc"))[0].argmax())] == "de"     # equal scores: the first
+
+
+def test_sharding_spreads_equal_rows(spark, monkeypatch):
+    rows = [(7, "one and the same text")] * 40_000 + [(i, f"text {i}") for i in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gathered = []
+    real = sharding.Bucketizer
+    monkeypatch.setattr(sharding, "Bucketizer", lambda **kw: gathered.append(len(kw["splits"])) or real(**kw))
+    got = sharding.shard_by_bytes(table, shards=8, sample_keys=2000).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 60_000 and sizes.max() - sizes.min() <= 2 * got["size"].max() and gathered[0] <= 2 * 2000
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    # the definition: records laid on a line in any order; a record's shard is the one its first byte falls in
+    total, want = got["size"].sum(), collections.Counter(got["shard"])
+    assert set(want) == set(range(8)) and all(abs(b - total / 8) <= 2 * got["size"].max() for b in sizes)
+    one = got[got["doc_id"] == 7].groupby("shard").size()
+    assert len(one) > 1      # copies of one text lie next to each other, over as many shards as they fill
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 18, 7])
+def test_packing_takes_as_few_sequences_as_best_fit_by_documents(spark, cell_rows):
+    rng = random.Random(21)
+    rows = [(i, " ".join(["word"] * rng.choice([3, 20, 21, 60, 130, 300]))) for i in range(400)] + [(5, "word " * 20)] * 300
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), capacity=256, cell_rows=cell_rows).collect()
+    rooms = []                                   # best fit, longest first, document by document
+    for n in sorted((r["length"] for r in got), reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(256 - n)
+    assert len({r["sequence_id"] for r in got}) == len(rooms)
+    used = collections.defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 256
+
+
+def test_decontamination_sketches_find_what_is_contained():
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(n, " ".join(word() for _ in range(size + 4)).encode()) for n, size in enumerate([1, 2, 3, 5, 8, 13, 30, 64, 150, 600, 1500, 3000] * 8)]
+    index = decontam.ContainmentIndex(items, 5, 3, 64, 512)
+    assert max(len(v) for k in index.classes.values() for c in k.values() for v in [[s for s, ids in c.slots.items() if ids == [95]]]) <= 3 * 512
+    missed = 0
+    for n, text in items:
+        w = text.decode().split()
+        cut = len(w) - (len(w) - 4) // 6            # the end is lost: over 0.8 of the shingles stay
+        doc = " ".join([*(word() for _ in range(400)), *w[:cut], *(word() for _ in range(400))])
+        parts = set(decontam.shingles(text, 5))
+        if len(parts & set(decontam.shingles(doc.encode(), 5))) >= 0.8 * len(parts):
+            missed += n not in {i for i, _, _ in index.search(doc.encode(), 0.8)}
+    assert missed == 0

@@ -188,7 +188,7 @@ def _mined(rows, scale, dim, k, j, modulus):
         if q is not None and y is not None:
             kept.append((i, (y + 1) % 10 if i is not None and i % 7 == 0 else y, [max(-2 ** 63, min(2 ** 63 - 1, x)) for x in q]))
     out = []
-    dot = lambda a, b: max(-2 ** 63 + 1, min(2 ** 63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
+    dot = lambda a, b: max(-2 ** 63, min(2 ** 63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
     order = lambda s: (-s[0], s[1] is None, s[1])
     for at, (i, y, q) in enumerate(kept):
         if i is None or i % modulus:
@@ -213,3 +213,25 @@ def test_negatives_without_rows_or_anchors(spark):
     _, table = _vectors(spark, n=20)
     assert negatives.mine_negatives(table.limit(0), F.lit(True), F.col("label")).collect() == []
     assert negatives.mine_negatives(table, F.lit(False), F.col("label")).collect() == []
+
+
+def test_heaps_keep_the_best_in_order():
+    from hubcast.llm.blocks import Heaps
+    rng = np.random.default_rng(7)
+    scores = rng.integers(-3, 3, (40, 300))
+    scores[3, 10], scores[4] = -2 ** 63, -2 ** 63
+    allowed = rng.random(scores.shape) < np.linspace(0, 1, 40)[:, None]
+    heaps = Heaps(40, 7)
+    for at in range(0, 300, 23):
+        heaps.offer(scores[:, at:at + 23], allowed[:, at:at + 23], at)
+    got = list(zip(*(x.tolist() for x in heaps.entries()), strict=True))
+    want = [(i, j, int(scores[i, j])) for i in range(40) for j in sorted(np.flatnonzero(allowed[i]), key=lambda j: (-int(scores[i, j]), j))[:7]]
+    assert got == want
+
+
+def test_topk_answers_repeated_ids_row_by_row(spark):
+    from hubcast.llm.topk import exact_topk
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (0, [1.0, 0.0]), (2, [0.25, 9.0])] + [(3, [0.125, 0.0])] * 500
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, exact_topk(table, F.col("vec_id") == 0, k=4, shard_rows=64).collect()))
+    assert got == sorted([(0, 1, 1, 131072), (0, 2, 0, 65536), (0, 3, 1, 32768), (0, 4, 2, 16384)] * 2)
