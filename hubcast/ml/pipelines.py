@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from hubcast.ml.gram import LinearFit, fit_gram
 from hubcast.operators.clean import DEFAULT_BOUNDS, TripBounds
-from hubcast.session import spread_for_iteration
+from hubcast.session import cut_lineage, spread_for_iteration
 
 
 def clean_statement(b: TripBounds = DEFAULT_BOUNDS) -> str:
@@ -188,6 +188,8 @@ def fit_clusters(trips: DataFrame, params: KMeansParams = KMeansParams(), fracti
     if collapse:
         points = points.groupBy(*feats).agg(F.count(F.lit(1)).cast("double").alias("trips"))
         rest[-1] = rest[-1].copy({rest[-1].weightCol: "trips"})
+    if partitions is None:   # the points are counted first: written once, not made twice
+        points = cut_lineage(points)
     fitted = Pipeline(stages=rest).fit(spread_for_iteration(points, partitions))
     return PipelineModel(stages=[clean, *fitted.stages])
 

@@ -15,6 +15,9 @@ from hubcast.sources import fixtures as fx
 from hubcast.sources import io
 from hubcast.sources.schemas import RUNLOG_SCHEMA, trip_schema
 
+#: The trips in two files' worth: one vendor, and all others (none is lost, whatever vendors there are).
+VENDORS = {"VTS": "vendor_name <=> 'VTS'", "others": "NOT vendor_name <=> 'VTS'"}
+
 CANONICAL = {f.name.lower(): f.dataType.simpleString() for f in trip_schema(with_id=True).fields}
 
 
@@ -47,8 +50,8 @@ def q_parquet_append(spark, sf):
     """K1 + U3: two appends into one dataset partitioned by vendor, read back whole."""
     trips = fx.raw_trips(spark, sf)
     path = shared_dir(spark, "trips-parquet")
-    for vendor in ("VTS", "CMT"):
-        io.write_parquet(trips.where(F.col("vendor_name") == vendor), path, mode="append",
+    for those in VENDORS.values():
+        io.write_parquet(trips.where(those), path, mode="append",
                          partition_by=["vendor_name"])
     return lower_columns(io.read_parquet(spark, path))
 
@@ -69,9 +72,9 @@ def q_orc_roundtrip(spark, sf):
 def q_csv_combine(spark, sf):
     """Two CSV outputs with different columns stacked by name."""
     t = fx.trips(spark, sf)
-    a = io.write_csv(t.where("vendor_name = 'VTS'").select("trip_id", "vendor_name", "fare_amt"),
+    a = io.write_csv(t.where(VENDORS["VTS"]).select("trip_id", "vendor_name", "fare_amt"),
                      shared_dir(spark, "combine-a"))
-    b = io.write_csv(t.where("vendor_name = 'CMT'").select("trip_id", "vendor_name", "tip_amt"),
+    b = io.write_csv(t.where(VENDORS["others"]).select("trip_id", "vendor_name", "tip_amt"),
                      shared_dir(spark, "combine-b"))
     out = io.combine_csv(spark, [a, b])
     return out.select(F.col("trip_id").cast("long"), "vendor_name",
@@ -90,7 +93,7 @@ def q_ingest_one_job(spark, sf):
     from hubcast.sources.schemas import trip_schema
     trips = fx.raw_trips(spark, sf)
     root = shared_dir(spark, "ingest1")
-    srcs = [io.write_csv(trips.where(F.col("vendor_name") == v), f"{root}/csv/{v}") for v in ("VTS", "CMT")]
+    srcs = [io.write_csv(trips.where(those), f"{root}/csv/{name}") for name, those in VENDORS.items()]
     target = f"{root}/parquet"
     io.ingest_one_job(spark, srcs, target, trip_schema(with_id=True), partition_by_file=True)
     return lower_columns(io.read_parquet(spark, target).drop("source_file"))
@@ -144,8 +147,8 @@ def q_ingest_loop(spark, sf):
     trips = fx.raw_trips(spark, sf)
     root = shared_dir(spark, "ingest")
     sources = []
-    for vendor in ("VTS", "CMT"):
-        sources.append(io.write_csv(trips.where(F.col("vendor_name") == vendor), f"{root}/csv/{vendor}"))
+    for name, those in VENDORS.items():
+        sources.append(io.write_csv(trips.where(those), f"{root}/csv/{name}"))
     sources.insert(1, f"{root}/csv/missing-file")
     target = f"{root}/parquet"
     results = io.ingest_files(spark, sources, lambda src: target, trip_schema(with_id=True), mode="append")

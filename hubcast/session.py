@@ -78,17 +78,17 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def spread_for_iteration(df, partitions: int | None = None, rows_per_partition: int = 1_000_000):
+def spread_for_iteration(df, partitions: int | None = None, rows_per_partition: int = 250_000):
     """One fixed layout for the input of an iterative fit.
 
     Iterative fits (k-means) cache their input and scan it once per iteration.
     Start points and sums follow the layout, so it depends on the data alone,
     never on the cluster: rows are dealt by a hash of all columns and sorted, in
-    ``partitions`` parts, or one for every ``rows_per_partition`` rows (32 at
+    ``partitions`` parts, or one for every ``rows_per_partition`` rows (8 at
     least).  The same data give the same model on any number of cores.  Select
     the columns of the fit first: every column given is shuffled.
     """
     if partitions is None:
-        partitions = max(32, -(-df.count() // rows_per_partition))
+        partitions = max(8, -(-df.count() // rows_per_partition))
     columns = [c for c, kind in df.dtypes if kind not in ("map", "variant")]
     return df.repartition(partitions, *columns).sortWithinPartitions(*columns)
