@@ -79,14 +79,16 @@ def tree_regression(df: DataFrame, y: str, x: list[str], max_depth: int = 5, see
 
 
 def forest_classifier(df: DataFrame, label: str, features: list[str], trees: int = 20,
-                      seed: int = 42) -> PipelineModel:
+                      seed: int = 42, subset: str = "auto") -> PipelineModel:
     """Random forest on categorical columns through a formula; the label is
-    indexed by descending frequency first so class names can be recovered."""
+    indexed by descending frequency first so class names can be recovered.
+    ``subset`` is the share of slots a node looks at (``all`` where few slots matter)."""
     return Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="frequencyDesc"),
         RFormula(formula=f"label_idx ~ {' + '.join(features)}", featuresCol="features",
                  labelCol="label"),
-        RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed),
+        RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, seed=seed,
+                               featureSubsetStrategy=subset),
     ]).fit(df)
 
 

@@ -182,7 +182,7 @@ def q_forest_check(spark, sf):
     of the importance."""
     fw = fx.firewall(spark, sf)
     inputs = [*FIREWALL_FEATURES, "resultcode"]
-    model = mm.forest_classifier(fw, "Action", inputs, trees=10)
+    model = mm.forest_classifier(fw, "Action", inputs, trees=10, subset="all")
     probs = mm.class_probabilities(model, fw)
     p = vector_to_array("probability")
     top = F.array_position(p, F.array_max(p)) - 1
