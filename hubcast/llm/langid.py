@@ -17,10 +17,12 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, pieces
@@ -116,14 +118,27 @@ class ByteConvNet:
 
 
 def train(labelled: DataFrame, docs_per_lang: int = 300, windows_per_doc: int = 4) -> ByteConvNet | None:
-    """Fit on at most ``docs_per_lang`` documents of each language (None without any)."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    picked = (usable.select("doc_id", "lang", "text").withColumn("at", F.row_number().over(order)).where(F.col("at") <= docs_per_lang)
-              # the windows used, cut out before anything reaches the driver
-              .select("lang", "doc_id", F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)), lambda i: F.substring(
-                  F.encode("text", "utf-8"), (F.length(F.encode("text", "utf-8")) * i / windows_per_doc).cast("int") + 1, WINDOW)).alias("parts")))
-    rows = sorted(((r["lang"], r["doc_id"] or 0, [bytes(p) for p in r["parts"]]) for r in picked.collect()), key=lambda r: r[:2])
+    """Fit on at most ``docs_per_lang`` documents of each language (None without any).
+
+    The first by hash.  A share of the hash space that should hold half as many again
+    is cut out of every language in the tasks, by a sketch of its distinct rows (equal rows
+    count once), so no task gathers a language; the driver keeps the first of these.
+    """
+    usable = (labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+              .select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("hash")))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    # one row per language, as many as the network has outputs
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], (1.5 * docs_per_lang + 60) / max(r["n"], 1)) for r in sizes], "lang string, share double")
+    raw = F.encode("text", "utf-8")
+    # the windows used, cut out before anything reaches the driver
+    parts = F.transform(F.sequence(F.lit(0), F.lit(windows_per_doc - 1)),
+                        lambda i: F.substring(raw, (F.length(raw) * i / windows_per_doc).cast("int") + 1, WINDOW))
+    picked = (usable.join(F.broadcast(shares), "lang").where(F.col("hash") / 2.0 ** 64 + 0.5 < F.col("share"))
+              .groupBy("lang", "hash").agg(F.min(F.struct("doc_id", parts.alias("parts"))).alias("kept")))
+    of_lang = defaultdict(list)
+    for r in sorted(picked.collect(), key=lambda r: r["hash"]):
+        of_lang[r["lang"]].append((r["lang"], r["kept"]["doc_id"] or 0, [bytes(p) for p in r["kept"]["parts"]]))
+    rows = sorted((row for found in of_lang.values() for row in found[:docs_per_lang]), key=lambda r: r[:2])
     pairs = [(lang, p) for lang, _, parts in rows for p in parts if _LETTER.search(p.decode("utf-8", "ignore"))]
     if not pairs:
         return None

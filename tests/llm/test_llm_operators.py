@@ -613,3 +613,19 @@ def test_decontamination_sketches_find_what_is_contained():
         if len(parts & set(decontam.shingles(doc.encode(), 5))) >= 0.8 * len(parts):
             missed += n not in {i for i, _, _ in index.search(doc.encode(), 0.8)}
     assert missed == 0
+
+
+def test_language_sample_is_the_first_by_hash_and_equal_rows_count_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(6)), "en") for i in range(3000)] + [(9000, "ein Satz der sich oft wiederholt", "de")] * 2000
+    rows += [(9001 + i, f"noch ein Satz {i}", "de") for i in range(40)] + [(None, "ohne Nummer", "de"), (1, None, "de"), (2, "no language", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    seen = []
+    monkeypatch.setattr(langid.ByteConvNet, "fit", lambda net, x, y: seen.append((net.langs, np.bincount(y).tolist(), x)) or net)
+    langid.train(table, docs_per_lang=100, windows_per_doc=1)
+    first = table.where("lang = 'en'").orderBy(F.xxhash64("doc_id", "text")).limit(100).collect()
+    want = [langid.windows(r["text"].encode())[0] for r in sorted(first, key=lambda r: r["doc_id"])]
+    (langs, counts, x), = seen
+    assert langs == ["de", "en"] and counts == [42, 100]
+    assert np.array_equal(x[42:], np.array(want))
+    assert langid.train(table.where("false")) is None
