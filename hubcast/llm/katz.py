@@ -33,8 +33,6 @@ an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -375,13 +373,21 @@ def _hot_words(base: DataFrame, size: int, shards: int, most: int = 4096) -> tup
     """Words with over two shards' worth of tokens (at most ``most``) and their exact training counts.
 
     A sample of about 500 documents names them - any choice gives the same scores -
-    and a full pass counts them, if there are any.
+    and a full pass counts them, if there are any.  Both count in tasks; the driver
+    gets the ``most`` frequent words of the sample.
     """
-    picked = base.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, (500 << 20) // max(size, 1))).limit(2000).select("text")
-    counts: Counter[int] = Counter()
-    for r in picked.toLocalIterator():
-        counts.update(tokens(bytes(r["text"])).tolist())
-    floor = sum(counts.values()) * max(2 / shards, 1 / most)
+    picked = base.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < max(1, (500 << 20) // max(size, 1))).select("text")
+
+    def sample(batches):
+        for batch in pieces(batches, 100):
+            for text in batch.column(0).to_pylist():
+                words, n = np.unique(tokens(text), return_counts=True)
+                # START, which is no token, tells how many there are
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[words, np.uint64(START)].view(np.int64)), pa.array(np.r_[n, n.sum()].astype(np.int64))], names=["word", "n"])
+    rows = (arrow_map(picked, sample, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "word").limit(most + 1).collect())
+    counts = {r["word"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
+    floor = counts.pop(START, 0) * max(2 / shards, 1 / most)
     hot = np.array(sorted(w for w, n in counts.items() if n > floor), np.uint64)
     if not len(hot):
         return hot, np.zeros(0, np.int64)
