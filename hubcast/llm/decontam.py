@@ -18,8 +18,10 @@ signature, so a document's shingles are first tested against all signature
 values and only the hits are checked for being their bin's smallest.
 
 The items' signatures are handed to every task; what is handed over is bounded
-by ``pass_bytes``, and a larger benchmark is searched in several passes.  There
-is no shuffle: hot texts or passages cannot gather in one task.
+by ``pass_bytes``, and a larger benchmark is searched in several passes, each
+written before the next begins, so that driver and tasks hold one pass's items
+at a time.  Equal items are one item with a count.  No document is shuffled:
+hot texts or passages cannot gather in one task.
 
 Defined cases: null or empty texts and items match nothing; an item with fewer
 words than a shingle is one shingle of all its words, sought among the
@@ -38,10 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix, pieces, record, utf8
+from .common import arrow_map, mix, pieces, record, stage, utf8
 
-PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-_PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
+PAIRS = "doc_id long, item_id long, n_shingles long, n_shared long, containment double, copies long"
+_PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64()),
+                    ("copies", pa.int64())])
 _FILTER = 1 << 20
 
 
@@ -95,13 +98,13 @@ class SizeClass:
 
 
 class ContainmentIndex:
-    """Signatures and shingles of one pass's items."""
+    """Signatures and shingles of one pass's items, (name, text) each."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]], length: int, permutations: int, bins_per_shingle: int, max_bins: int = 512):
+    def __init__(self, items: list[tuple[object, bytes]], length: int, permutations: int, bins_per_shingle: int, max_bins: int = 512):
         self.permutations = permutations
-        self.items: list[tuple[int | None, int, frozenset[bytes]]] = []
+        self.items: list[tuple[object, int, frozenset[bytes]]] = []
         self.classes: dict[int, dict[int, SizeClass]] = defaultdict(dict)
-        for item_id, text in items:
+        for name, text in items:
             k = min(length, len(text.split()))
             parts = frozenset(shingles(text, k)) if k else frozenset()
             if not parts:
@@ -109,15 +112,15 @@ class ContainmentIndex:
             upper = 1 << (len(parts) - 1).bit_length()
             cls = self.classes[k].setdefault(upper, SizeClass(upper, min(bins_per_shingle * upper, max_bins)))
             cls.add(len(self.items), _hashes(sorted(parts)), permutations)
-            self.items.append((item_id, k, parts))
+            self.items.append((name, k, parts))
         self.filters = {k: np.zeros((permutations, _FILTER), bool) for k in self.classes}  # values any class holds
         for k, by_size in self.classes.items():
             for cls in by_size.values():
                 for p, value in cls.slots:
                     self.filters[k][p, value & (_FILTER - 1)] = True
 
-    def search(self, text: bytes, threshold: float) -> list[tuple[int | None, int, int]]:
-        """(item_id, n_shingles, n_shared) of every item contained in the text."""
+    def search(self, text: bytes, threshold: float) -> list[tuple[object, int, int]]:
+        """(name, n_shingles, n_shared) of every item contained in the text."""
         out = []
         for k, by_size in self.classes.items():
             parts = shingles(text, k)
@@ -131,19 +134,19 @@ class ContainmentIndex:
                     found |= cls.candidates(p, h, hits)
             held = set(parts) if found else ()
             for i in sorted(found):
-                item_id, _, wanted = self.items[i]
+                name, _, wanted = self.items[i]
                 shared = sum(s in held for s in wanted)
                 if shared >= threshold * len(wanted) - 1e-9:
-                    out.append((item_id, len(wanted), shared))
+                    out.append((name, len(wanted), shared))
         return out
 
 
 def _search(index, threshold: float):
     def run(batches):
         for batch in pieces(batches, 1000):
-            rows = [(doc, item, n, shared, shared / n)
+            rows = [(doc, item, n, shared, shared / n, copies)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for item, n, shared in index.value.search(text, threshold)]
+                    for (item, copies), n, shared in index.value.search(text, threshold)]
             if rows:
                 yield record(_PAIRS, **dict(zip(_PAIRS.names, zip(*rows, strict=True), strict=True)))
     return run
@@ -153,14 +156,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, thresh
                  bins_per_shingle: int = 64, max_bins: int = 512, pass_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: items whose shingles a document holds to ``threshold`` or more."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text"))
+    items = stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text"))
+                  .groupBy("item_id", "text").agg(F.count("*").alias("copies")), "benchmark-items")
     size = items.agg(F.sum(F.length("text") + 16).alias("n")).first()["n"] or 0
     passes = max(1, -(-size // pass_bytes))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     found = None
     for n in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
-        index = ContainmentIndex([(r["item_id"], bytes(r["text"])) for r in part.collect()], shingle, permutations, bins_per_shingle, max_bins)
-        hits = arrow_map(base, _search(spark.sparkContext.broadcast(index), threshold), PAIRS)
+        index = spark.sparkContext.broadcast(ContainmentIndex(
+            [((r["item_id"], r["copies"]), bytes(r["text"])) for r in part.collect()], shingle, permutations, bins_per_shingle, max_bins))
+        hits = arrow_map(base, _search(index, threshold), PAIRS)
+        if passes > 1:
+            hits = stage(hits, f"contaminated-{n}")
+            index.destroy()
         found = hits if found is None else found.unionByName(hits)
-    return found
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

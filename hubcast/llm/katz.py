@@ -27,7 +27,8 @@ and its bigrams are spread by both words, so it cannot crowd a shard.
 Words are 64-bit hashes of their bytes.  Defined cases: null and empty texts
 are the end token alone; repeated rows count and are scored each; rows with a
 null doc_id are scored but not learned from; with no training text every token is
-unknown with probability one; extra columns are ignored; an empty table gives
+unknown with probability one; a very long text is read whole, as part of its
+block; extra columns are ignored; an empty table gives
 an empty result.
 """
 

@@ -18,7 +18,8 @@ Defined cases: a null or empty text is one empty line; a line repeated within a
 document counts once for it and is dropped or kept as a whole; rows repeating a
 doc_id are one document and keep their lines alike; rows with a null doc_id
 are passed through (neither counted nor changed); ties cannot occur (the
-smallest id wins); extra columns are ignored; an empty table gives an empty result.
+smallest id wins); a very long text is split whole, in its batch;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

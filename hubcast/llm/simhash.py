@@ -18,7 +18,8 @@ checkpointed in the shared folder; their label is the smallest doc_id.
 Defined cases: null or empty texts have fingerprint zero and are linked like
 any other; texts with fewer words than a shingle are one shingle; repeated rows
 are returned each; rows with a null doc_id link like others but give no label
-(null if nothing else is reached); extra columns are ignored; an empty table
+(null if nothing else is reached); very long texts are read whole, their hashes
+summed in slices; extra columns are ignored; an empty table
 gives an empty result.
 """
 

@@ -598,6 +598,17 @@ def test_packing_takes_as_few_sequences_as_best_fit_by_documents(spark, cell_row
         assert at <= 256
 
 
+@pytest.mark.parametrize("pass_bytes", [1 << 24, 100])
+def test_decontamination_with_repeated_items_and_null_ids(spark, pass_bytes):
+    say = lambda n: " ".join(f"{c}{n}" for c in "abcdefgh")
+    bench = spark.createDataFrame([(1, say(1)), (1, say(1)), (1, say(2)), (2, say(1)), (None, say(3)), (None, say(3))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"x {say(1)} y"), (None, f"{say(2)}\n{say(3)}"), (8, "nothing"), (7, say(2))], "doc_id long, text string")
+    got = [tuple(r)[:2] for r in decontam.contaminated(docs, bench, pass_bytes=pass_bytes).collect()]
+    want = [(7, 1), (7, 1), (7, 2), (None, 1), (None, None), (None, None), (7, 1)]
+    key = lambda p: tuple(-1 if v is None else v for v in p)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_decontamination_sketches_find_what_is_contained():
     rng = random.Random(31)
     word = lambda: f"w{rng.randrange(5000)}"
