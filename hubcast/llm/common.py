@@ -3,6 +3,7 @@
 * ``stage`` writes an intermediate table into the shared folder named by
   ``spark.checkpoint.dir`` and reads it back, which cuts lineage in a way that
   survives lost executors; shuffle files of the finished write are released.
+* ``scratch`` lists the tables staged inside it, ``discard`` deletes one.
 * ``groups`` / ``pieces`` stream Arrow batches with bounded memory.
 * ``hash_words`` / ``mix`` / ``split_shards`` are the 64-bit hashing used by the
   sharded tables.
@@ -16,6 +17,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from hubcast.session import checkpoint_root
 #: Asks Spark to drop the shuffle files of a query once it has ended.
 RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_SCRATCH: list[list[DataFrame]] = []
+
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and return a scan of it."""
@@ -41,16 +45,29 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
         spark.conf.set(RELEASE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a table written by ``stage`` that nothing reads any more (rounds of an iteration)."""
+    """Delete a table written by ``stage`` that nothing reads any more; one already deleted is no error."""
     spark = table.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables staged inside the block, in order, for its owner to discard once its result is written."""
+    tables: list[DataFrame] = []
+    _SCRATCH.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCRATCH.pop()
+
+
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the Python workers."""
     _ship(df.sparkSession)
