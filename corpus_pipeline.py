@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hubcast.llm.common import doc_part, stage
+from hubcast.llm.common import discard, doc_part, scratch, stage
 from hubcast.llm.decontam import contaminated
 from hubcast.llm.langid import UNKNOWN, identify
 from hubcast.llm.line_dedup import dedup_lines
@@ -69,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; once a stage's result is written, its input and its intermediate tables are deleted."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as tables:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        for table in spent + tables[:-1]:
+            discard(table)
+        spent = [docs]
     return docs
