@@ -55,6 +55,19 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert pairs(cp.decontamination(spark, table(rows), SF_SMALL)) == sorted([(-1, say(1)), (5, say(2)), (5, say(2)), (6, say(3))])
 
 
+def test_run_leaves_its_result_alone(spark):
+    import os
+
+    import corpus_pipeline as cp
+    from hubcast.session import checkpoint_root
+    folder = f"{checkpoint_root(spark)}/llm"
+    listed = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = listed()
+    packed = cp.run(spark, SF_SMALL)
+    assert {name.rsplit("-", 1)[0] for name in listed() - before} == {"pipeline-best_fit_packing"}
+    assert packed.count() >= packed.select("doc_id").distinct().count() > 0
+
+
 def test_kept_text_digest(spark):
     got = queries.QUERIES["op1_line_dedup"](spark, SF_SMALL).where("n_dropped = 0").first()
     text = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where(f"doc_id = {got['doc_id']}").first()["text"] or ""
