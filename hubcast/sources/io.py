@@ -37,7 +37,8 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     * ``schema`` given → typed, lazy, no inference (S1).
     * ``infer=True`` → one extra pass to infer types (S2); avoid at scale.
     * neither → every column a string (S3); type later with :func:`typed`.
-    * ``repartition > 0`` → ``repartition(n)`` after the read (S5).
+    * ``repartition > 0`` → ``repartition(n)`` after the read (S5); where the scan has more
+      splits than ``n``, as many parts as it has splits, so no task gets a fixed share of a growing input.
     """
     reader = ts_options(spark.read.option("header", header).option("sep", delimiter))
     if schema is not None:
@@ -46,7 +47,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     elif infer:
         reader = reader.option("inferSchema", True)
     df = reader.csv(path)
-    return df.repartition(repartition) if repartition > 0 else df
+    return df.repartition(max(repartition, df.rdd.getNumPartitions())) if repartition > 0 else df
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
