@@ -342,14 +342,15 @@ def q_logistic_check(spark, sf):
 
 
 def q_stream_batch_scores_check(spark, sf):
-    """X2 (whole model through ``foreachBatch``): one file per micro-batch, so hours
-    arrive in pieces; the streamed predictions equal the batch predictions."""
+    """X2 (whole model through ``foreachBatch``): one file per micro-batch (more of them where
+    the three arrivals have many), so hours arrive in pieces; the streamed predictions equal
+    the batch predictions."""
     from hubcast.plans.roundtrips import _stream_input
     from hubcast.streaming import jobs
     models, trips = _fitted(spark, sf)
     src, schema = _stream_input(spark, sf, "parquet")
     sink, ckpt = shared_dir(spark, "stream-scores"), shared_dir(spark, "stream-ckpt")
-    stream = jobs.file_stream(spark, src, schema, "parquet", max_files_per_trigger=1)
+    stream = jobs.file_stream(spark, src, schema, "parquet", max_files_per_trigger=jobs.files_per_batch(spark, src, schema))
     jobs.score_batches(stream.transform(_lower), models, sink, ckpt)
     keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour", "p_rides", "p_fpm"]
     streamed = jobs.latest_scores(spark, sink, keys)

@@ -31,6 +31,14 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return r.load(path)
 
 
+def files_per_batch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", batches: int = 8) -> int:
+    """Files of a micro-batch that drains what is in ``path`` in at most ``batches`` of them (one file each, if there
+    are no more files).  A batch has a fixed cost (plan, state commit, log) that follows neither rows nor state, so the
+    number of batches is what must not grow with the number of files.  Files are listed, not read."""
+    files = spark.read.schema(schema).format(fmt).load(path).inputFiles()
+    return max(1, -(-len(files) // batches))
+
+
 def run_to_files(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet",
                  available_now: bool = True, processing_time: str | None = None):
     """Append the stream to files; ``available_now`` drains what is there and stops."""

@@ -27,3 +27,19 @@ def test_repartitioned_csv_has_a_part_for_every_split(spark):
     assert len(parts) >= 12 and sum(parts) == 20_000 and max(parts) < 20_000 / 3
     whole = _with_conf(spark, conf, lambda: sorted(int(r["id"]) for r in read().select("id").collect()))
     assert whole == list(range(20_000))
+
+
+def test_batches_of_a_drained_stream_are_bounded(spark):
+    from pyspark.sql import types as T
+    from hubcast.streaming import jobs
+    src, sink, ckpt = (shared_dir(spark, f"batches-{x}") for x in ("in", "out", "ckpt"))
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    spark.range(0, 100, 1, 21).write.mode("append").parquet(src)
+    n = jobs.files_per_batch(spark, src, schema, batches=4)
+    assert n == 6 and jobs.files_per_batch(spark, src, schema, batches=50) == 1
+    stream = jobs.file_stream(spark, src, schema, "parquet", n).groupBy((F.col("id") % 3).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    jobs.run_updates(stream, sink, ckpt)
+    out = spark.read.parquet(sink)
+    assert out.select("epoch").distinct().count() == 4
+    last = out.groupBy("k").agg(F.max_by("rows", "epoch").alias("rows")).agg(F.sum("rows")).first()[0]
+    assert last == 100
