@@ -36,23 +36,27 @@ def clean_statement(b: TripBounds = DEFAULT_BOUNDS) -> str:
     )
 
 
+#: The trip columns that the stages of a response pipeline (clean, cluster, rollup) name.
+PIPELINE_COLUMNS = ("start_lat", "start_lon", "end_lat", "end_lon", "passenger_count", "trip_distance", "total_amt",
+                    "trip_pickup_datetime", "fare_amt", "tip_amt")
+
+# Trips are grouped by numbers; the text keys are made once an hour's row, not once a trip (2023-01-01 was a Sunday, day 1).
 ROLLUP_STATEMENT = """
-SELECT cluster, pickup_year, pickup_mon, pickup_wday, pickup_nday, pickup_hour,
+SELECT cluster,
+       date_format(make_date(y, m, 1), 'yyyy') AS pickup_year, date_format(make_date(y, m, 1), 'MM') AS pickup_mon,
+       date_format(date_add(DATE'2023-01-01', pickup_nday - 1), 'E') AS pickup_wday, pickup_nday, pickup_hour,
        rides, passengers, distance, fare, tip,
        try_divide(passengers, rides) AS ppr, try_divide(distance, rides) AS dpr,
        try_divide(fare, rides) AS fpr, try_divide(tip, rides) AS tpr,
        try_divide(fare, distance) AS fpm, try_divide(tip, distance) AS tpm
 FROM (
-  SELECT cluster,
-         date_format(trip_pickup_datetime, 'yyyy') AS pickup_year,
-         date_format(trip_pickup_datetime, 'MM') AS pickup_mon,
-         date_format(trip_pickup_datetime, 'E') AS pickup_wday,
+  SELECT cluster, year(trip_pickup_datetime) AS y, month(trip_pickup_datetime) AS m,
          CAST(dayofweek(trip_pickup_datetime) AS INT) AS pickup_nday,
          CAST(hour(trip_pickup_datetime) AS INT) AS pickup_hour,
          count(1) AS rides, sum(passenger_count) AS passengers, sum(trip_distance) AS distance,
          sum(fare_amt) AS fare, sum(tip_amt) AS tip
   FROM __THIS__
-  GROUP BY 1, 2, 3, 4, 5, 6
+  GROUP BY 1, 2, 3, 4, 5
 )
 """
 

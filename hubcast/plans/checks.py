@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from hubcast.functions.numeric import tie_round
 from hubcast.ml import hashed
 from hubcast.ml import models as mm
 from hubcast.ml.gram import Design, fit_gram, gram_table, merge_gram, solve_gram
-from hubcast.ml.pipelines import (FittedModels, KMeansParams, cluster_summary, fit_clusters, fit_models, load_models, load_pipelines,
-                                  save_models, save_pipelines)
+from hubcast.ml.pipelines import (PIPELINE_COLUMNS, FittedModels, KMeansParams, clean_statement, cluster_summary, fit_clusters,
+                                  fit_models, load_models, load_pipelines, save_models, save_pipelines)
 from hubcast.operators import sampling
 from hubcast.operators.clean import plausible_trips
 from hubcast.operators.grid import hub_week_hour_grid
@@ -249,7 +250,9 @@ def q_pipeline_refit_check(spark, sf):
     path = shared_dir(spark, "pipelines")
     save_pipelines(path, list(models.regressions))
     feats = KMeansParams().features  # the layout fit_models clusters on
-    spread = trips.repartition(32, *feats).sortWithinPartitions(*feats)
+    # dealt, sorted and kept once, with the columns that the stages name: a pipeline reads its input some four times
+    clean = SQLTransformer(statement=clean_statement()).transform(trips).select(*PIPELINE_COLUMNS)
+    spread = clean.repartition(32, *feats).sortWithinPartitions(*feats).persist()
     keys = ["cluster", "pickup_year", "pickup_mon", "pickup_nday", "pickup_hour"]
     both = models.predict(models.hourly(trips)).select(*keys, "p_rides", "p_fpm")
     bad = F.lit(False)
@@ -258,6 +261,7 @@ def q_pipeline_refit_check(spark, sf):
         both = both.join(again, keys, "full_outer")
         gap = F.abs(F.col(f"p_{r}") - F.col(f"q_{r}"))
         bad = bad | F.coalesce(gap > 1e-6 * (1 + F.abs(f"p_{r}")), F.lit(True))
+    spread.unpersist()  # the fitted pipelines read the trips themselves
     return both.agg(F.count_if(bad).alias("mismatches"))
 
 

@@ -29,6 +29,25 @@ def test_repartitioned_csv_has_a_part_for_every_split(spark):
     assert whole == list(range(20_000))
 
 
+def test_rollup_keys_are_the_formatted_pickup_time(spark):
+    from hubcast.ml.pipelines import ROLLUP_STATEMENT, rollup_transformer
+    inner = ROLLUP_STATEMENT.split("FROM (")[1]
+    assert "date_format" not in inner  # text is made for hours, not for trips
+    times = ["2009-01-31 23:59:59", "2012-02-29 00:00:00", "0987-06-05 04:03:02", "2009-01-04 10:00:00", "2009-01-11 10:30:00",
+             "2009-01-05 10:00:00", "2009-01-06 10:00:00", "2009-01-07 10:00:00", "2009-01-08 10:00:00", "2009-01-09 10:00:00", None]
+    rows = [(i % 2, t, 1.0, 2.0, float(i), 0.5) for i, t in enumerate(times)]
+    for kind in ("timestamp_ntz", "timestamp"):
+        trips = (spark.createDataFrame(rows, "cluster int, t string, passenger_count double, trip_distance double, fare_amt double, tip_amt double")
+                 .withColumn("trip_pickup_datetime", F.col("t").cast(kind)))
+        keys = ["cluster", "pickup_year", "pickup_mon", "pickup_wday", "pickup_nday", "pickup_hour"]
+        at = F.col("trip_pickup_datetime")
+        plain = trips.select("cluster", F.date_format(at, "yyyy").alias(keys[1]), F.date_format(at, "MM").alias(keys[2]),
+                             F.date_format(at, "E").alias(keys[3]), F.dayofweek(at).alias(keys[4]), F.hour(at).alias(keys[5]), "fare_amt")
+        want = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("rides"), F.sum("fare_amt").alias("fare")).collect()
+        got = rollup_transformer().transform(trips).select(*keys, "rides", "fare").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_batches_of_a_drained_stream_are_bounded(spark):
     from pyspark.sql import types as T
     from hubcast.streaming import jobs
