@@ -14,6 +14,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import FeatureHasher, StringIndexer
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 WIDTH = 1 << 18
 
@@ -39,3 +41,20 @@ def hashed_forest(label: str, categorical: list[str], trees: int = 20, width: in
     return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="frequencyDesc"), hasher(categorical, width=width),
                             RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=trees, seed=seed, maxDepth=depth,
                                                    featureSubsetStrategy=subset)])
+
+
+def squared_distances(features: str, centres) -> Column:
+    """Squared distance of a row's vector to every centre, as an array in their order.
+
+    |v - c|^2 is summed as |c|^2 plus x (x - 2 c_i) over the slots i that the row holds, so a row costs its few values
+    a centre, not ``width`` of them."""
+    held = F.unwrap_udt(features)  # a dense vector holds every slot and lists none
+    values = held["values"]
+    slots = F.coalesce(held["indices"], F.sequence(F.lit(0), F.size(values) - 1))
+
+    def distance(centre) -> Column:
+        c = F.array(*[F.lit(float(x)) for x in centre])
+        terms = F.zip_with(slots, values, lambda i, x: x * (x - 2 * F.get(c, i)))
+        return F.aggregate(terms, F.lit(float(sum(float(x) ** 2 for x in centre))), lambda s, x: s + x)
+
+    return F.array(*[distance(c) for c in centres])

@@ -207,10 +207,7 @@ def q_hashed_check(spark, sf):
     width = 512
     model = hashed.hashed_kmeans(["Address", "DestinationIP", "rule"], k=4, width=width).fit(fw)
     km = model.stages[-1]
-    pred = model.transform(fw).withColumn("v", vector_to_array("features"))
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in km.clusterCenters()])
-    gap = F.transform(centres, lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    pred = pred.withColumn("d", gap)
+    pred = model.transform(fw).withColumn("d", hashed.squared_distances("features", km.clusterCenters()))
     forest = hashed.hashed_forest("Action", ["Address", "rule", "resultcode"], trees=5, width=64, subset="all").fit(fw)
     seen = mm.class_probabilities(forest, fw)
     failed = F.col("Action") == "Failed"

@@ -62,3 +62,15 @@ def test_batches_of_a_drained_stream_are_bounded(spark):
     assert out.select("epoch").distinct().count() == 4
     last = out.groupBy("k").agg(F.max_by("rows", "epoch").alias("rows")).agg(F.sum("rows")).first()[0]
     assert last == 100
+
+
+def test_squared_distances_touch_the_slots_held(spark):
+    from pyspark.ml.linalg import Vectors
+    from hubcast.ml import hashed
+    centres = [[0.5, -1.0, 0.0, 2.0], [0.0, 0.0, 0.0, 0.0], [1.0, 0.25, 3.0, -0.125]]
+    vectors = [Vectors.sparse(4, [1, 3], [1.0, 2.0]), Vectors.dense([1.0, 0.0, -2.0, 0.5]), Vectors.sparse(4, [], []), Vectors.sparse(4, [0], [3.0])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], ["id", "features"])
+    got = {r["id"]: r["d"] for r in df.select("id", hashed.squared_distances("features", centres).alias("d")).collect()}
+    for i, v in enumerate(vectors):
+        want = [sum((a - b) ** 2 for a, b in zip(v.toArray(), c, strict=True)) for c in centres]
+        assert all(abs(a - b) <= 1e-12 for a, b in zip(got[i], want, strict=True))
