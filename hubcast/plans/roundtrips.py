@@ -18,6 +18,9 @@ from hubcast.sources.schemas import RUNLOG_SCHEMA, trip_schema
 #: The trips in two files' worth: one vendor, and all others (none is lost, whatever vendors there are).
 VENDORS = {"VTS": "vendor_name <=> 'VTS'", "others": "NOT vendor_name <=> 'VTS'"}
 
+#: Trips in a compressed CSV file, some 3 MB: a file is read by one task, a task reads many.
+TRIPS_PER_FILE = 50_000
+
 CANONICAL = {f.name.lower(): f.dataType.simpleString() for f in trip_schema(with_id=True).fields}
 
 
@@ -41,7 +44,8 @@ def q_csv_inferred(spark, sf):
 def q_csv_strings(spark, sf):
     """S3 + S5: every column read as a string, typed on demand with ``try_cast``,
     repartitioned on read."""
-    path = io.write_csv(fx.raw_trips(spark, sf), shared_dir(spark, "trips-csv-str"))
+    path = io.write_csv(fx.raw_trips(spark, sf), shared_dir(spark, "trips-csv-str"),
+                        compressed=True, rows_per_file=TRIPS_PER_FILE)
     raw = lower_columns(io.read_csv(spark, path, repartition=4))
     return io.typed(raw, CANONICAL).select(*CANONICAL)
 

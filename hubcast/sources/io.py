@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 TS_LTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
+# What stands between the packed texts of a row, and for NULL.
+PACK_SEP, PACK_NULL = "\u0002", "\u0001"
+
 
 def ts_options(rw):
     """Apply the microsecond timestamp formats to a reader or writer."""
@@ -39,6 +42,7 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     * neither → every column a string (S3); type later with :func:`typed`.
     * ``repartition > 0`` → ``repartition(n)`` after the read (S5); where the scan has more
       splits than ``n``, as many parts as it has splits, so no task gets a fixed share of a growing input.
+      The rows are dealt in turn, as with ``repartition``; see :func:`spread`.
     """
     reader = ts_options(spark.read.option("header", header).option("sep", delimiter))
     if schema is not None:
@@ -47,7 +51,32 @@ def read_csv(spark: SparkSession, path, schema: T.StructType | None = None, head
     elif infer:
         reader = reader.option("inferSchema", True)
     df = reader.csv(path)
-    return df.repartition(max(repartition, df.rdd.getNumPartitions())) if repartition > 0 else df
+    return spread(df, max(repartition, df.rdd.getNumPartitions())) if repartition > 0 else df
+
+
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """``repartition(parts)`` with the string columns of a row packed into one text on the way.
+
+    In a shuffled row each string has a word for its place and is padded to whole words, which
+    costs more than the text where strings are short.  A row whose texts hold one of the two control
+    characters used for that goes as it is.  Same rows, columns and types.  Every column is
+    shuffled, also those that are not selected later.
+    """
+    fields = df.schema.fields
+    texts = [i for i, f in enumerate(fields) if f.dataType == T.StringType()]
+    if len(texts) < 2:
+        return df.repartition(parts)
+    flat = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    rest = [f"c{i}" for i in range(len(fields)) if i not in texts]
+    values = F.array(*[f"c{i}" for i in texts])
+    joined = F.concat_ws("", values)
+    clash = F.contains(joined, F.lit(PACK_SEP)) | F.contains(joined, F.lit(PACK_NULL))
+    dealt = flat.select(*rest, F.when(~clash, F.array_join(values, PACK_SEP, PACK_NULL)).alias("packed"),
+                        F.when(clash, values).alias("unpacked")).repartition(parts)
+    split = dealt.select(*rest, "unpacked", F.split("packed", PACK_SEP, -1).alias("texts"))
+    back = {i: F.coalesce(F.nullif(F.col("texts")[k], F.lit(PACK_NULL)), F.col("unpacked")[k])
+            for k, i in enumerate(texts)}
+    return split.select(*[back.get(i, F.col(f"c{i}")).alias(f.name, metadata=f.metadata) for i, f in enumerate(fields)])
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -112,9 +141,20 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     return path
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> str:
-    """K2: CSV write with header."""
-    ts_options(df.write.mode(mode).option("header", header)).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True,
+              compressed: bool = False, rows_per_file: int = 0) -> str:
+    """K2: CSV write with header.
+
+    * ``compressed=True`` → gzip at its fastest level, about a third of the bytes; the readers
+      tell by the files' names.  Such a file is read by one task, so:
+    * ``rows_per_file > 0`` → a task goes on in a new file after so many rows.
+    """
+    w = ts_options(df.write.mode(mode).option("header", header))
+    if compressed:
+        w = w.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    if rows_per_file > 0:
+        w = w.option("maxRecordsPerFile", rows_per_file)
+    w.csv(path)
     return path
 
 

@@ -74,3 +74,74 @@ def test_squared_distances_touch_the_slots_held(spark):
     for i, v in enumerate(vectors):
         want = [sum((a - b) ** 2 for a, b in zip(v.toArray(), c, strict=True)) for c in centres]
         assert all(abs(a - b) <= 1e-12 for a, b in zip(got[i], want, strict=True))
+
+
+def _shuffled_bytes(df):
+    """Bytes that the exchanges of ``df`` wrote, after a run of it."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        inner = p.executedPlan() if kind == "AdaptiveSparkPlanExec" else p.plan() if kind.endswith("QueryStageExec") else None
+        if inner is not None:
+            plans.append(inner)
+            continue
+        if kind == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleBytesWritten").value()
+        plans.extend(p.children().apply(i) for i in range(p.children().size()))
+    return total
+
+
+def _lineitems(spark, rows):
+    sf = shared_dir(spark, "own-lineitem")
+    n = F.col("id")
+    part = F.pmod(F.xxhash64(n), F.lit(2000))
+    price = F.round(900 + F.pmod(F.xxhash64(n, F.lit(1)), F.lit(9_000_000)) / 100, 2)
+    (spark.range(0, rows, 1, 2).select(
+        F.floor(n / 4).alias("l_orderkey"), part.alias("l_partkey"), (part % 100).alias("l_suppkey"), (n % 4 + 1).cast("int").alias("l_linenumber"),
+        (F.when(n % 97 > 0, n % 50 + 1)).cast("double").alias("l_quantity"), price.alias("l_extendedprice"),
+        (n % 11 / 100).alias("l_discount"), (n % 9 / 100).alias("l_tax"), F.element_at(F.array(*map(F.lit, "ANR")), (part % 3 + 1).cast("int")).alias("l_returnflag"),
+        F.when(part % 2 == 0, "O").otherwise("F").alias("l_linestatus"),
+        F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(int(id % 2000))").alias("l_shipdate"))
+     .write.parquet(f"{sf}/lineitem.parquet"))
+    return sf
+
+
+def test_csv_strings_needs_little_disk(spark):
+    import glob
+    import os
+    from hubcast.plans import roundtrips
+    from hubcast.session import checkpoint_root
+    from hubcast.sources import fixtures as fx
+    sf = _lineitems(spark, 120_000)
+    found = lambda name: set(glob.glob(f"{checkpoint_root(spark)}/hubcast/{name}-*/part-*"))
+    kept = lambda files: sum(os.path.getsize(f) for f in files)
+    plain = io.write_csv(fx.raw_trips(spark, sf), shared_dir(spark, "plain-csv"))
+    text = kept(glob.glob(f"{plain}/part-*"))
+    before = found("trips-csv-str")
+    got = roundtrips.q_csv_strings(spark, sf)
+    files = found("trips-csv-str") - before
+    assert kept(files) < text / 2 and len(files) == 4  # two tasks of 60,000 trips, files of 50,000 at most
+    rows = spark.read.option("header", True).csv(plain).repartition(4)
+    assert 0 < _shuffled_bytes(got) < 0.75 * _shuffled_bytes(rows)
+    want = fx.trips(spark, sf).select(*[F.col(c).cast(t).alias(c) for c, t in roundtrips.CANONICAL.items()])
+    assert got.dtypes == want.dtypes and got.count() == 120_000
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_csv_strings_without_trips(spark):
+    from hubcast.plans import roundtrips
+    assert roundtrips.q_csv_strings(spark, _lineitems(spark, 0)).collect() == []
+
+
+def test_spread_gives_back_every_value(spark):
+    odd = [None, "", " ", "n", "\u0001", "\u0002", "\u0001n", "\u0001\u0001e", "\u0001s\u0002", "\u0002\u0002", 'a,"b"', "\\", "\r\n\t", "é漢🚕", "0" * 5000]
+    rows = [(a, i, b, float(i) if i % 3 else None, odd[i % len(odd)]) for a in odd for i, b in enumerate(odd)]
+    df = spark.createDataFrame(rows * 2, "`a.b` string, i int, `c``d` string, x double, last string")
+    for frame in (df, df.select("`a.b`", "last"), df.select("`a.b`"), df.select("i", "x"), df.selectExpr("i AS k", "i AS k", "last", "`a.b`")):
+        got = io.spread(frame, 7)
+        assert got.rdd.getNumPartitions() == 7 and got.dtypes == frame.dtypes
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, frame.collect())))
+    parts = io.spread(df, 5).rdd.glom().map(len).collect()
+    assert sum(parts) == len(rows) * 2 and max(parts) - min(parts) <= df.rdd.getNumPartitions()
